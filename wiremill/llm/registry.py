@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from wiremill.llm.language_id import op1_language_id
+from wiremill.llm.quality_gam import op5_quality_gam
 
-QUERIES = {"op1_language_id": op1_language_id}
+QUERIES = {"op1_language_id": op1_language_id, "op5_quality_gam": op5_quality_gam}
 
 ORACLES: dict[str, str] = {}
