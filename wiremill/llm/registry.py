@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from wiremill.llm.language_id import op1_language_id
 from wiremill.llm.quality_gam import op5_quality_gam
+from wiremill.llm.url_filter import op9_url_filter
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_quality_gam": op5_quality_gam}
+QUERIES = {"op1_language_id": op1_language_id, "op5_quality_gam": op5_quality_gam, "op9_url_filter": op9_url_filter}
 
 ORACLES: dict[str, str] = {}
