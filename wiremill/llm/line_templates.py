@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import native_words, table
+from wiremill.llm.common import SPACES, table
 from wiremill.session import written
 
 VARIABLE = "<*>"
@@ -25,7 +25,10 @@ MIN_TOKENS, MIN_DOCS, LITERAL_SHARE, DEPTH = 3, 10, 0.7, 3
 
 
 def _masked(line: Column) -> Column:
-    return F.transform(native_words(line), lambda w: F.when(w.rlike("[0-9]"), VARIABLE).otherwise(w))
+    """The line's tokens joined by single spaces, those with a digit as variable fields."""
+    spaced = F.trim(F.translate(line, SPACES[1:], " " * (len(SPACES) - 1)))
+    single = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(single)
 
 
 def document_key(key: Column, text: Column) -> Column:
@@ -38,8 +41,10 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n")
     signed = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.array_min(F.transform(lines, lambda x: F.md5(x))).alias("sig"), F.posexplode(lines).alias("line_no", "line"))
-    tokens = signed.withColumn("m", _masked(F.col("line"))).where(F.size("m") >= min_tokens)
-    placed = tokens.select("k", "line_no", "sig", F.concat_ws(" ", F.size("m"), F.slice("m", 1, depth)).alias("leaf"), F.concat_ws(" ", "m").alias("m"))
+    masked = signed.select("k", "line_no", "sig", _masked(F.col("line")).alias("m"))
+    n_tokens = F.length("m") - F.length(F.translate("m", " ", "")) + F.when(F.col("m") == "", 0).otherwise(1)
+    placed = masked.select("k", "line_no", "sig", n_tokens.alias("n"), "m").where(F.col("n") >= min_tokens)
+    placed = placed.select("k", "line_no", "sig", F.concat_ws(" ", "n", F.substring_index("m", " ", depth)).alias("leaf"), "m")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
     busy = placed.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     kinds = written(placed.join(busy, "leaf", "left_semi").select("leaf", "m", "sig").distinct(), "line-kinds")

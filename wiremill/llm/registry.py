@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from wiremill.llm.decontamination import op2_decontamination
 from wiremill.llm.language_id import op1_language_id
 from wiremill.llm.line_templates import OP4_SQL, op4_line_templates
 from wiremill.llm.packing import op10_packing
 from wiremill.llm.quality_gam import op5_quality_gam
 from wiremill.llm.quality_rules import op8_quality_rules
+from wiremill.llm.simhash_dedup import op6_simhash_dedup
 from wiremill.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op4_line_templates": op4_line_templates,
     "op5_quality_gam": op5_quality_gam,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
