@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wiremill.llm.decontamination import op2_decontamination
+from wiremill.llm.katz_lm import op7_katz_lm
 from wiremill.llm.language_id import op1_language_id
 from wiremill.llm.line_templates import OP4_SQL, op4_line_templates
 from wiremill.llm.packing import op10_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_templates": op4_line_templates,
     "op5_quality_gam": op5_quality_gam,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_katz_lm": op7_katz_lm,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
