@@ -10,11 +10,13 @@ from wiremill.llm.packing import op10_packing
 from wiremill.llm.quality_gam import op5_quality_gam
 from wiremill.llm.quality_rules import op8_quality_rules
 from wiremill.llm.simhash_dedup import op6_simhash_dedup
+from wiremill.llm.suffix_dedup import op3_suffix_dedup
 from wiremill.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_templates": op4_line_templates,
     "op5_quality_gam": op5_quality_gam,
     "op6_simhash_dedup": op6_simhash_dedup,
