@@ -173,3 +173,77 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ROWS, _BANDS = 5, 24
+_ODD = np.random.default_rng(20240229).integers(1, 1 << 63, _ROWS * _BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def min_hashes(text: str, size: int = 5) -> tuple[int, np.ndarray]:
+    """SimHash fingerprint and least hashes of a text's word shingles (all ones without words)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in spans), np.uint64, n)
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 12):
+        part = hashes[at : at + (1 << 12)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        least = np.minimum(least, (part[None, :] * _ODD[:, None]).min(1))
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), (least >> np.uint64(32)).astype(np.uint32)
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, slack: float = 0.03, radius: int = 4) -> DataFrame:
+    """``docs`` without all but the first (by ``key``) of each group of near copies.
+
+    Linked are documents whose SimHash fingerprints differ in at most
+    ``radius`` bits, and documents whose shingle sets have an estimated Jaccard
+    similarity of ``similarity`` less ``slack`` or more. Fingerprints of 64 bits
+    differ in up to 13 bits at a similarity of 0.8, where no vantage point
+    prunes; candidates of this second kind therefore share one of some bands
+    of least hashes with the first document of that band's group. All texts
+    without words are one group. Rows with a null key stay, and rows that
+    share a key stay or go together.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [min_hashes(t, size) for t in column_texts(batch.column("t"))]
+            fps = np.fromiter((f for f, _ in found), np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fps), pa.array([m.tobytes() for _, m in found], pa.binary())], ["k", "fp", "sig"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, _BANDS, _ROWS)
+            keys = np.array([[xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(sig)] for sig in sigs], np.uint64).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("x").to_numpy(), _BANDS))], ["band", "x"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, len(_ODD)) for c in ("a", "b"))
+            yield batch.filter(pa.array((a == b).mean(1) >= similarity - slack)).select(["u", "v"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(hashed, f"k {kind}, fp bigint, sig binary")
+    rows = written(rows.withColumn("x", F.xxhash64("sig")), "least-hashes")
+    kinds = rows.groupBy("x").agg(F.first("sig").alias("sig"))
+    bands = written(kinds.select("x", "sig").mapInArrow(banded, "band bigint, x bigint"), "bands")
+    heads = bands.groupBy("band").agg(F.min("x").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
+    pairs = bands.join(heads, "band").where("x != v").select(F.col("x").alias("u"), "v").distinct()
+    alike = pairs.join(kinds.select(F.col("x").alias("u"), F.col("sig").alias("a")), "u").join(kinds.select(F.col("x").alias("v"), F.col("sig").alias("b")), "v")
+    alike = alike.select("u", "v", "a", "b").mapInArrow(verified, "u bigint, v bigint")
+    of = written(rows.groupBy("fp").agg(F.min("x").alias("head")), "heads")
+    same = rows.select("fp", "x").distinct().join(of, "fp").where("x != head").select(F.col("x").alias("u"), F.col("head").alias("v"))
+    near = links(of.select("fp"), radius).join(of.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(of.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
+    roots = connected(alike.union(same).union(near.select("hu", "hv")))
+    grouped = rows.where("k is not null").groupBy("x").agg(F.min("k").alias("first")).join(roots, F.col("x") == F.col("node"), "left").withColumn("root", F.coalesce("root", "x"))
+    firsts = grouped.groupBy("root").agg(F.min("first").alias("first"))
+    of_x = grouped.drop("first").join(firsts, "root").select("x", "first")
+    gone = rows.where("k is not null").select("k", "x").join(of_x, "x").where("k != first").select(F.col("k").alias("__gone")).distinct()
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
