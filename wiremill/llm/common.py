@@ -33,6 +33,11 @@ def native_words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+def checked(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``small`` (a written table of narrow rows), to be broadcast if it has ``most_rows`` at most; beyond that, joins shuffle it."""
+    return F.broadcast(small) if small.count() <= most_rows else small
+
+
 def column_texts(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

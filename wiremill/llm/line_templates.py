@@ -17,18 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import SPACES, table
+from wiremill.llm.common import SPACES, checked, table
 from wiremill.session import written
 
 VARIABLE = "<*>"
 MIN_TOKENS, MIN_DOCS, LITERAL_SHARE, DEPTH = 3, 10, 0.7, 3
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens joined by single spaces, those with a digit as variable fields."""
-    spaced = F.trim(F.translate(line, SPACES[1:], " " * (len(SPACES) - 1)))
-    single = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(single)
+def _masked_lines(text: Column) -> Column:
+    """The lines of a text, tokens joined by single spaces, those with a digit as variable fields.
+
+    One chain of expressions over the whole text: none of them is evaluated twice.
+    """
+    spaced = F.translate(text, SPACES.replace(" ", "").replace("\n", ""), " " * (len(SPACES) - 2))
+    single = F.regexp_replace(spaced, "  +", " ")
+    masked = F.regexp_replace(single, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)
+    return F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
 
 
 def document_key(key: Column, text: Column) -> Column:
@@ -39,15 +43,15 @@ def document_key(key: Column, text: Column) -> Column:
 def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, literal_share: float = LITERAL_SHARE, depth: int = DEPTH) -> DataFrame:
     """``k, line_no``: the lines (from 0) that match a recurring template; ``k`` as of :func:`document_key`."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(t, "\n")
-    signed = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.array_min(F.transform(lines, lambda x: F.md5(x))).alias("sig"), F.posexplode(lines).alias("line_no", "line"))
-    masked = signed.select("k", "line_no", "sig", _masked(F.col("line")).alias("m"))
+    signature = F.array_min(F.transform(F.split(t, "\n"), lambda x: F.md5(x)))
+    lines = docs.select(document_key(F.col(key), F.col(text)).alias("k"), signature.alias("sig"), _masked_lines(t).alias("lines"))
+    lines = lines.select("k", "sig", F.posexplode_outer("lines").alias("line_no", "m"))  # apart, or key and signature are made for each line
     n_tokens = F.length("m") - F.length(F.translate("m", " ", "")) + F.when(F.col("m") == "", 0).otherwise(1)
-    placed = masked.select("k", "line_no", "sig", n_tokens.alias("n"), "m").where(F.col("n") >= min_tokens)
+    placed = lines.select("k", "line_no", "sig", n_tokens.alias("n"), "m").where(F.col("n") >= min_tokens)
     placed = placed.select("k", "line_no", "sig", F.concat_ws(" ", "n", F.substring_index("m", " ", depth)).alias("leaf"), "m")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
-    busy = placed.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    kinds = written(placed.join(busy, "leaf", "left_semi").select("leaf", "m", "sig").distinct(), "line-kinds")
+    busy = written(placed.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves")
+    kinds = written(placed.join(checked(busy), "leaf", "left_semi").select("leaf", "m", "sig").distinct(), "line-kinds")
     at = kinds.select("leaf", "m", "sig", F.posexplode(F.split("m", " ")).alias("pos", "token"))
     literal = at.where(F.col("token") != VARIABLE).groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
     words = kinds.select("leaf", "m").distinct().select("leaf", "m", F.posexplode(F.split("m", " ")).alias("pos", "token"))
@@ -57,7 +61,7 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     templates = templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "m", "template")
     recurring = kinds.join(templates, ["leaf", "m"]).groupBy("template").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("template")
     dropped = written(templates.join(recurring, "template", "left_semi").select("leaf", F.xxhash64("m").alias("h")).distinct(), "line-dropped")
-    return placed.select("k", "line_no", "leaf", F.xxhash64("m").alias("h")).join(dropped, ["leaf", "h"], "left_semi").select("k", "line_no")
+    return placed.select("k", "line_no", "leaf", F.xxhash64("m").alias("h")).join(checked(dropped), ["leaf", "h"], "left_semi").select("k", "line_no")
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: float) -> DataFrame:
