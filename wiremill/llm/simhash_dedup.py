@@ -8,6 +8,12 @@ within the radius of it, so only fingerprints that close to the border also
 visit the other side; the visitors of a shard meet its residents there. Every
 pair within the radius therefore meets in a shard, and no other pruning is
 done. A shard returns a spanning forest of its links, not its pairs.
+
+A radius of 4 is as wide as the spread of the distances of unlike fingerprints,
+so one tree over 64 bits sends many of them across each border. There are
+therefore four trees, each over 16 of the bits: fingerprints that differ in 4
+bits or fewer differ in one bit or none of at least one part, and only have to
+meet there.
 """
 
 from __future__ import annotations
@@ -62,9 +68,16 @@ def distances(many: np.ndarray, one: np.uint64) -> np.ndarray:
     return np.bitwise_count(many ^ one)
 
 
-def fit_tree(sample: np.ndarray, shards: int) -> tuple[Tree, int]:
-    """Tree over a sample with about ``shards`` leaves; of some candidates, the vantage point with the widest distances is taken."""
-    made = 0
+#: The bits that each tree looks at.
+VIEWS = tuple(0xFFFF << (16 * k) for k in range(4))
+
+
+def fit_tree(sample: np.ndarray, shards: int, first: int = 0) -> tuple[Tree, int]:
+    """Tree over a sample with about ``shards`` leaves, numbered from ``first``, and the next free number.
+
+    Of some candidates, the vantage point with the widest distances is taken.
+    """
+    made = first
 
     def grow(part: np.ndarray, want: int) -> Tree:
         nonlocal made
@@ -104,13 +117,16 @@ def deal(tree: Tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, bool,
     yield from go(tree, np.arange(len(fps)), True)
 
 
-def shard_forest(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between residents, and between visitors and residents, as (member, root)."""
-    far = distances(fps, fps[0]).astype(np.int64)
+def shard_forest(fps: np.ndarray, home: np.ndarray, radius: int, view: int, view_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links between residents, and between visitors and residents, as (member, root).
+
+    Pairs that differ in more than ``view_radius`` bits of ``view`` may be left to another view.
+    """
+    far = distances(fps & np.uint64(view), fps[0] & np.uint64(view)).astype(np.int64)
     order = np.argsort(far, kind="stable")
     fps, home, far = fps[order], home[order], far[order]
     parent = np.arange(len(fps))
-    lows, highs = np.searchsorted(far, far - radius), np.searchsorted(far, far + radius, side="right")
+    lows, highs = np.searchsorted(far, far - view_radius), np.searchsorted(far, far + view_radius, side="right")
     for i in np.flatnonzero(home):
         lo, hi = lows[i], highs[i]
         near = lo + np.flatnonzero(distances(fps[lo:hi], fps[i]) <= radius)
@@ -126,27 +142,35 @@ def shard_forest(fps: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.nda
     return fps[linked], fps[parent[linked]]
 
 
-def links(fps: DataFrame, radius: int = 4, shard_rows: int = 4096, most_sampled: int = 65_536) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, shard_rows: int = 8192, most_sampled: int = 65_536) -> DataFrame:
     """``u, v``: links between different fingerprints of column ``fp`` that connect all pairs within ``radius``.
 
-    The tree is fitted on a sample of about ``most_sampled`` fingerprints at
-    most and has about one shard per ``shard_rows`` of them; every fingerprint
-    is dealt by it.
+    The trees are fitted on a sample of about ``most_sampled`` fingerprints at
+    most and have about one shard per ``shard_rows`` of them; every fingerprint
+    is dealt by each tree.
     """
     spark = fps.sparkSession
     n = fps.count()
-    sample = fps.where(share_of_hash(F.col("fp")) < F.lit(min(1.0, most_sampled / max(1, n)))).toPandas()["fp"].to_numpy(np.int64)
-    tree, shards = fit_tree(sample.view(np.uint64), min(-(-n // shard_rows), most_sampled // 16)) if len(sample) else (0, 1)
-    held = spark.sparkContext.broadcast(tree)
+    sample = fps.where(share_of_hash(F.col("fp")) < F.lit(min(1.0, most_sampled / max(1, n)))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    trees, shards, view_of = [], 0, {}
+    for view in VIEWS:
+        tree, end = fit_tree(sample & np.uint64(view), min(-(-n // shard_rows), most_sampled // 16), shards)
+        trees.append(tree)
+        view_of |= dict.fromkeys(range(shards, end), view)
+        shards = end
+    near = radius // len(VIEWS)
+    held = spark.sparkContext.broadcast((trees, view_of))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for shard, home, at in deal(held.value, own.view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.full(len(at), home)), pa.array(own[at])], ["shard", "home", "fp"])
+            for view, tree in zip(VIEWS, held.value[0], strict=True):
+                for shard, home, at in deal(tree, own.view(np.uint64) & np.uint64(view), near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.full(len(at), home)), pa.array(own[at])], ["shard", "home", "fp"])
 
     def met(group: pa.Table) -> pa.Table:
-        u, v = shard_forest(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(), radius)
+        view = held.value[1][group.column("shard")[0].as_py()]
+        u, v = shard_forest(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(), radius, view, near)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 4096))
