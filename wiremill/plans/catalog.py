@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from wiremill.plans import news_queries
+
+_PARTS = (news_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in _PARTS for k, f in part.Q.items()}
+ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.SQL.items()}
