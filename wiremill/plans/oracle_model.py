@@ -42,7 +42,7 @@ runs AS (
   FROM events),
 requests AS (SELECT event_type AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS duration_ms, ts FROM events),
 scopes AS (
-  SELECT c_custkey AS id, 'all' AS scope, NULL AS ticker, c_custkey % 500 AS mark FROM customer WHERE c_custkey % 20 = 0
+  SELECT c_custkey AS id, 'all' AS scope, CAST(NULL AS VARCHAR) AS ticker, c_custkey % 500 AS mark FROM customer WHERE c_custkey % 20 = 0
   UNION ALL
   SELECT c_custkey, 'watchlist:w1', {_LIST}[CAST(floor((c_custkey / 10) % {len(SYMBOLS)}) AS INT) + 1], c_custkey % 500 FROM customer WHERE c_custkey % 10 = 0),
 raw_facts AS (
