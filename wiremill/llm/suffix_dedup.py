@@ -4,9 +4,10 @@ Every window of ``length`` bytes has a minimizer: the leftmost of its ``_GRAM``-
 pieces with the least hash. Equal windows have equal minimizers at equal places,
 so all copies of a window meet where their minimizer is sent. Only minimizers
 that occur at least twice are looked at further: the bytes of the windows that
-they own become one context each, equal contexts are folded into their first
-occurrence, and the different contexts of a minimizer are put into a suffix
-array. A stack scan over its common prefixes gives the intervals of suffixes
+they own are one context each. Contexts are first compared by 64-bit hashes
+among those of equal minimizers, and equal ones are folded into their first
+occurrence; only the bytes of different contexts of one minimizer are fetched
+and put into a suffix array. A stack scan over its common prefixes gives the intervals of suffixes
 that share ``length`` bytes or more; those whose members differ in the byte to
 their left are the maximal repeats, each with all its occurrences. Bytes of all
 occurrences but the first are removed.
@@ -21,12 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from wiremill.llm.common import mix64, table
+from wiremill.llm.common import checked, mix64, table
 from wiremill.session import written
 
 LENGTH = 100
-_GRAM = 24
+_GRAM = 16
+#: Bits of a window key that hold a place; longer texts are taken in pieces.
+_PLACE_BITS = 20
 
 
 def minimizers(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,17 +43,20 @@ def minimizers(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
     h = data.astype(np.uint64) + np.uint64(1)
-    for k, m in zip((1, 2, 4), odd, strict=False):
+    for k, m in zip((1, 2, 4, 8), odd, strict=True):
         h = h[:-k] * m + h[k:]
-    sixteen = h[:-8] * odd[3] + h[8:]
-    h = mix64(sixteen[:-8] * odd[0] + h[16:])
-    best, at, reach, width = h, np.arange(len(h)), 1, length - _GRAM + 1
-    while reach < width:
-        step = min(reach, width - reach)
-        left, right = best[:-step], best[step:]
-        later = right < left
-        best, at = np.where(later, right, left), np.where(later, at[step:], at[:-step])
-        reach += step
+    h = mix64(h)
+    width, mask = length - _GRAM + 1, np.uint64((1 << _PLACE_BITS) - 1)
+    n, step, parts = len(h) - width + 1, (1 << _PLACE_BITS) - width, []
+    for lo in range(0, n, step):  # the least key of a window names the place of its leftmost least hash
+        own = h[lo : lo + step + width - 1]
+        key, reach = (own & ~mask) | np.arange(len(own), dtype=np.uint64), 1
+        while reach < width:
+            more = min(reach, width - reach)
+            key = np.minimum(key[:-more], key[more:])
+            reach += more
+        parts.append((key & mask).astype(np.int64) + lo)
+    at = np.concatenate(parts)
     place, first = np.unique(at, return_index=True)
     return h[place].view(np.int64), place, first, np.append(first[1:], len(at)) - 1
 
@@ -142,49 +149,55 @@ def _ordered(docs: DataFrame, text: str, key: str) -> DataFrame:
     return written(rows.orderBy("k", "t").select(F.monotonically_increasing_id().alias("rid"), "k", "t"), "ordered")
 
 
+def whole_copies(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``rid, stop``: texts of ``length`` bytes or more that equal an earlier one (by MD5 and size), to be removed as a whole."""
+    sized = rows.select("rid", F.md5("t").alias("m"), F.octet_length("t").alias("stop"))
+    firsts = sized.groupBy("m", "stop").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("stop") >= length))
+    return written(sized.join(firsts.drop("n"), ["m", "stop"]).where("rid != first").select("rid", "stop"), "whole-copies")
+
+
 def duplicate_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``rid, start, stop``: byte ranges of ``t`` covered by ``length``-byte strings that also start earlier."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [minimizers(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), length)[:2] for t in batch.column("t").to_pylist()]
-            of = np.repeat(batch.column("rid").to_numpy(), [len(p) for _, p in found])
-            h, p = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of), pa.array(p, pa.int32())], ["h", "rid", "p"])
-
-    places = rows.select("rid", "t").mapInArrow(anchors, "h bigint, rid bigint, p int")
+            found = []
+            for text in batch.column("t").to_pylist():
+                data = text.encode("utf-8", "surrogatepass")
+                h, _, first, last = minimizers(np.frombuffer(data, np.uint8), length)
+                x = np.fromiter((xxh64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h))
+                found.append((h, x.view(np.int64), first, last - first + length))
+            h, x, first, size = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
+            of = np.repeat(batch.column("rid").to_numpy(), [len(f[0]) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(of), pa.array(first, pa.int32()), pa.array(size, pa.int32())], ["h", "x", "rid", "start", "size"])
+
+    copies = whole_copies(rows, length)
+    places = rows.select("rid", "t").join(checked(copies), "rid", "left_anti").mapInArrow(anchors, "h bigint, x bigint, rid bigint, start int, size int")
     again = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = places.join(again, "h", "left_semi").groupBy("rid").agg(F.collect_list("p").alias("ps"))
+    cuts = written(places.join(again, "h", "left_semi"), "contexts")
+    firsts = written(cuts.groupBy("h", "x", "size").agg(F.min(F.struct("rid", "start")).alias("f")).select("h", "x", "size", F.col("f.rid").alias("rid0"), F.col("f.start").alias("start0")), "first-contexts")
+    later = cuts.join(firsts, ["h", "x", "size"]).where("rid != rid0 or start != start0")
+    whole = later.select("rid", "start", (F.col("start") + F.col("size")).alias("stop")).union(copies.select("rid", F.lit(0), "stop"))
+    several = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    wanted = firsts.join(several, "h", "left_semi").groupBy(F.col("rid0").alias("rid")).agg(F.collect_list(F.struct("h", F.col("start0").alias("start"), "size")).alias("cuts"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, text, ps in zip(*(batch.column(c).to_pylist() for c in ("rid", "t", "ps")), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                h, place, first, last = minimizers(np.frombuffer(data, np.uint8), length)
-                at = np.flatnonzero(np.isin(place, np.array(ps)))
-                first, last = first[at], last[at]
-                cut = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(cut, pa.binary()), pa.array(np.full(len(at), rid, np.int64)), pa.array(first, pa.int32())], ["h", "bytes", "rid", "start"])
-
-    cuts = rows.select("rid", "t").join(wanted, "rid").mapInArrow(contexts, "h bigint, bytes binary, rid bigint, start int")
-    cuts = cuts.withColumn("x", F.xxhash64("bytes"))
-    kinds = cuts.groupBy("h", "x", "bytes").agg(F.min(F.struct("rid", "start")).alias("first"))
-    firsts = kinds.select("h", "x", F.length("bytes").alias("size"), F.col("first.rid").alias("rid0"), F.col("first.start").alias("start0"))
-    copies = cuts.select("h", "x", F.length("bytes").alias("size"), "rid", "start").join(firsts, ["h", "x", "size"]).where("rid != rid0 or start != start0")
-    whole = copies.select("rid", "start", (F.col("start") + F.col("size")).alias("stop"))
+            for rid, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("rid", "t", "cuts")), strict=True):
+                if cuts:
+                    data = text.encode("utf-8", "surrogatepass")
+                    columns = [pa.array([c["h"] for c in cuts], pa.int64()), pa.array([data[c["start"] : c["start"] + c["size"]] for c in cuts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(cuts), rid, np.int64)), pa.array([c["start"] for c in cuts], pa.int32())], ["h", "bytes", "rid", "start"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if held is None:
+        if not (batches := list(batches)):
             return
+        held = pa.Table.from_batches(batches)
         h = held.column("h").to_numpy()
-        order = np.argsort(mix64(h.view(np.uint64)), kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        order = order[several]  # minimizers with more than one context
-        ends = np.flatnonzero(np.concatenate((h[order][1:] != h[order][:-1], [True]))) + 1 if len(order) else []
+        order = np.argsort(h, kind="stable")
+        ends = np.flatnonzero(np.append(h[order][1:] != h[order][:-1], True)) + 1
         lo = 0
-        for hi in ends:
+        for hi in ends.tolist():
             if hi - lo < 4096 and hi != ends[-1]:
                 continue
             part = held.take(pa.array(order[lo:hi]))
@@ -196,7 +209,8 @@ def duplicate_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["rid", "start", "stop"])
 
-    met = kinds.select("h", "bytes", F.col("first.rid").alias("rid"), F.col("first.start").alias("start")).repartition("h")
+    # A left join, as in drop_repeats, so that the texts are shuffled once for both.
+    met = rows.join(wanted, "rid", "left").select("rid", "k", "t", "cuts").mapInArrow(contexts, "h bigint, bytes binary, rid bigint, start int").repartition("h")
     return whole.union(met.mapInArrow(repeats, "rid bigint, start int, stop int"))
 
 
