@@ -53,7 +53,7 @@ def page_text(page: Column) -> Column:
     """Readable text of a page: no scripts, styles, navigation or footers, cut at a "related news" heading."""
     out = F.regexp_replace(page, r"(?is)<(script|style|nav|aside|footer)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?is)<(h[1-6]|div|p|section)[^>]*>\s*related news.*$", " ")
-    return clean_summary(out)
+    return F.nullif(collapse(decode_entities(F.regexp_replace(out, "<[^>]*>", " "))), F.lit(""))
 
 
 def url_part(url: Column, part: str) -> Column:

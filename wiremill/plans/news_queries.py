@@ -110,11 +110,12 @@ def clean_titles(spark: SparkSession, d: str) -> DataFrame:
 _CUT = "html"
 for _tag in ("script", "style", "nav", "aside", "footer"):
     _CUT = f"regexp_replace({_CUT}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'gis')"
+_CUT = f"regexp_replace({_CUT}, '<[^>]*>', ' ', 'g')"
 for _name, _value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _CUT = f"replace({_CUT}, '{_name}', '{_value}')"
 
 
-@query(f"SELECT page_id, nullif(trim(regexp_replace(regexp_replace({_CUT}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS body FROM pages")
+@query(f"SELECT page_id, nullif(trim(regexp_replace({_CUT}, '\\s+', ' ', 'g')), '') AS body FROM pages")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return M.read(spark, d, "pages").select("page_id", T.page_text(F.col("html")).alias("body"))
 
