@@ -27,10 +27,17 @@ def share_of_hash(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def spaced(text: Column, kept: str = "") -> Column:
+    """``text`` with the separators of words other than ``kept`` as spaces; one pass of ``replace`` each is far cheaper than ``translate``."""
+    for c in SPACES[1:]:
+        if c not in kept:
+            text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def native_words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null gives an empty array."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced(F.coalesce(text, F.lit(""))), " "), "")
 
 
 def checked(small: DataFrame, most_rows: int = 500_000) -> DataFrame:

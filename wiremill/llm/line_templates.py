@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import SPACES, checked, table
+from wiremill.llm.common import checked, spaced, table
 from wiremill.session import written
 
 VARIABLE = "<*>"
@@ -27,12 +27,11 @@ MIN_TOKENS, MIN_DOCS, LITERAL_SHARE, DEPTH = 3, 10, 0.7, 3
 def _masked_lines(text: Column) -> Column:
     """The lines of a text, tokens joined by single spaces, those with a digit as variable fields.
 
-    One chain of expressions over the whole text: none of them is evaluated twice.
+    One chain of expressions: none of them is evaluated twice.
     """
-    spaced = F.translate(text, SPACES.replace(" ", "").replace("\n", ""), " " * (len(SPACES) - 2))
-    single = F.regexp_replace(spaced, "  +", " ")
-    masked = F.regexp_replace(single, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)
-    return F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
+    lines = F.split(F.regexp_replace(spaced(text, kept="\n"), "  +", " "), "\n")
+    trimmed = F.transform(lines, lambda x: F.trim(x))
+    return F.transform(trimmed, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(x))
 
 
 def document_key(key: Column, text: Column) -> Column:
@@ -46,7 +45,7 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     signature = F.array_min(F.transform(F.split(t, "\n"), lambda x: F.md5(x)))
     lines = docs.select(document_key(F.col(key), F.col(text)).alias("k"), signature.alias("sig"), _masked_lines(t).alias("lines"))
     lines = lines.select("k", "sig", F.posexplode_outer("lines").alias("line_no", "m"))  # apart, or key and signature are made for each line
-    n_tokens = F.length("m") - F.length(F.translate("m", " ", "")) + F.when(F.col("m") == "", 0).otherwise(1)
+    n_tokens = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + F.when(F.col("m") == "", 0).otherwise(1)
     placed = lines.select("k", "line_no", "sig", n_tokens.alias("n"), "m").where(F.col("n") >= min_tokens)
     placed = placed.select("k", "line_no", "sig", F.concat_ws(" ", "n", F.substring_index("m", " ", depth)).alias("leaf"), "m")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
