@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``node, root``: the least node of the component of each node that has a link.
+    """``node, root``: the least node of the component of each linked node; that least node itself has no row.
 
     ``edges`` are ``u, v`` in any order; loops and repeats do no harm. Each step
     is a few joins over the edges, written to the shared folder; the number of
