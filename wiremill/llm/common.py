@@ -45,6 +45,11 @@ def checked(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= most_rows else small
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """From now on hand Python workers ``rows`` rows at a time: texts that pass through them are held several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def column_texts(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import column_texts, native_words, table
+from wiremill.llm.common import column_texts, native_words, small_batches, table
 
 SEED_WORDS = 3
 _STRIP = ".,;:!?\"'()[]«»"
@@ -131,8 +131,8 @@ def blocks(benchmark: DataFrame, text: str, item: str, block_words: int) -> Iter
         yield Block(sorted(((r["i"], r["t"]) for r in own.distinct().collect()), key=lambda r: (str(r[0]), r[1])))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: dict[str, str | Column] | None = None, bench_text: str = "text", item: str = "item_id", least_score: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
-    """The columns ``keep`` (name: column) of every document and ``hits``.
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: dict[str, str | Column] | None = None, bench_text: str = "text", item: str = "item_id", least_score: float = 0.5, block_words: int = 1_000_000, text_as: str | None = None) -> DataFrame:
+    """The columns ``keep`` (name: column) of every document, its text as ``text_as`` if that is given, and ``hits``.
 
     ``hits`` lists the benchmark items found, best first: item, share of the
     perfect alignment score, the passage's words (``[start_word, end_word)``)
@@ -141,7 +141,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     """
     keep = keep or {}
     kind = benchmark.schema[item].dataType.simpleString()
-    rows = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in keep.items()], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
+    small_batches(docs)
     rows = rows.withColumn("hits", F.array().cast(HIT.format(item=kind)))
     sc = docs.sparkSession.sparkContext
     for block in blocks(benchmark, bench_text, item, block_words):
@@ -172,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, old.type)], schema=batch.schema)
 
         rows = rows.mapInArrow(matched, schema)
-    return rows.drop("__text")
+    return rows.drop("__text") if text_as is None else rows.withColumnRenamed("__text", text_as)
 
 
 def _packed(block: Block) -> tuple:
@@ -195,5 +196,5 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a benchmark passage; the columns stay as they are."""
     names = docs.columns
-    rows = contamination(docs, benchmark, keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names)})
+    rows = contamination(docs, benchmark, keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names) if c != "text"}, text_as=f"c{names.index('text')}")
     return rows.where(F.size("hits") == 0).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import chunks, column_texts, crc_of, share_of_hash, table
+from wiremill.llm.common import chunks, column_texts, crc_of, share_of_hash, small_batches, table
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -125,8 +125,8 @@ def fit(
     return LanguageModel(langs, np.log([sizes[x] / total for x in langs]), log_probs.astype(np.float32), orders, bits)
 
 
-def classify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: dict[str, str | Column] | None = None) -> DataFrame:
-    """One row per document: the columns ``keep`` (name: column), ``lang_pred``, ``score``.
+def classify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: dict[str, str | Column] | None = None, text_as: str | None = None) -> DataFrame:
+    """One row per document: the columns ``keep`` (name: column), the text as ``text_as`` if that is given, ``lang_pred``, ``score``.
 
     A null or empty text, or one without a letter, is ``und`` with score 0.
     The model goes to the executors as a broadcast of at most
@@ -136,7 +136,9 @@ def classify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: di
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_priors, model.log_probs, model.orders, model.bits))
     rows = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in keep.items()], F.col(text).alias("__text"))
 
-    names = [*keep, "lang_pred", "score"]
+    small_batches(docs)
+    shown = len(keep) + (text_as is not None)
+    names = [*keep, *[text_as] * (text_as is not None), "lang_pred", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*held.value)
@@ -146,9 +148,9 @@ def classify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: di
                 langs, scores = predict(own, texts)
             else:
                 langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:shown], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{name}` {f.dataType.simpleString()}" for name, f in zip(names, rows.schema.fields[:shown], strict=False))
     return rows.mapInArrow(score, f"{fields}, lang_pred string, score double" if fields else "lang_pred string, score double")
 
 
@@ -166,7 +168,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     whose best language has a posterior below ``least``, go.
     """
     names = docs.columns
-    scored = classify(docs, fit(docs), keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names)} | {"t": F.col("text")})
+    scored = classify(docs, fit(docs), keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names) if c != "text"}, text_as=f"c{names.index('text')}")
     kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.lit(float(least))))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import column_texts, share_of_hash, table
+from wiremill.llm.common import column_texts, share_of_hash, small_batches, table
 from wiremill.llm.components import connected
 from wiremill.session import written
 
@@ -253,6 +253,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, len(_ODD)) for c in ("a", "b"))
             yield batch.filter(pa.array((a == b).mean(1) >= similarity - slack)).select(["u", "v"])
 
+    small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(hashed, f"k {kind}, fp bigint, sig binary")
     rows = written(rows.withColumn("x", F.xxhash64("sig")), "least-hashes")
