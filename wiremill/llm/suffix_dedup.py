@@ -202,10 +202,13 @@ def duplicate_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 continue
             part = held.take(pa.array(order[lo:hi]))
             rid, start, lo = part.column("rid").to_numpy(), part.column("start").to_numpy(), hi
-            out = []
+            covered: dict[int, list[tuple[int, int]]] = {}
             for size, members in maximal_repeats(part.column("bytes").to_pylist(), length):
-                spots = sorted((int(rid[i]), int(start[i]) + k) for i, k in members)
-                out += [(r, s, s + size) for r, s in spots[1:]]
+                first = min(members, key=lambda m: (rid[m[0]], start[m[0]] + m[1]))
+                for i, k in members:
+                    if (i, k) != first:
+                        covered.setdefault(i, []).append((k, k + size))
+            out = [(int(rid[i]), int(start[i]) + x, int(start[i]) + y) for i, own in covered.items() for x, y in joined(own)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["rid", "start", "stop"])
 
@@ -214,6 +217,17 @@ def duplicate_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.union(met.mapInArrow(repeats, "rid bigint, start int, stop int"))
 
 
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges with those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(ranges):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def removed(data: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, int]:
     """What is left of a text without some byte ranges, how many bytes go, and in how many runs."""
     if not starts:
