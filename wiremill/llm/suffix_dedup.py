@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from wiremill.llm.common import checked, mix64, table
+from wiremill.llm.common import checked, mix64, small_batches, table
 from wiremill.session import written
 
 LENGTH = 100
@@ -246,6 +246,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     nothing. Documents are ordered by ``key``; with repeated or null keys, see
     :func:`_ordered`.
     """
+    small_batches(docs)
     rows = _ordered(docs, text, key)
     spans = duplicate_ranges(rows, length).groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = rows.join(spans, "rid", "left").select("k", "t", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
