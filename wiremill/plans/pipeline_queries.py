@@ -92,10 +92,14 @@ def entry_gate(spark: SparkSession, d: str) -> DataFrame:
     return E.gate(own, links(spark, d), own.where("id % 50 = 7").select("id")).select("id", "source_name")
 
 
+_DULL = ", ".join(f"'{w}'" for w in E.NAME_STOPWORDS)
+
+
 @query(
-    """WITH n AS (SELECT DISTINCT p_brand AS symbol, p_name AS fund_name FROM part), one AS (SELECT symbol, max(fund_name) AS fund_name FROM n GROUP BY 1),
-    w AS (SELECT symbol, string_split(trim(regexp_replace(lower(fund_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM one)
-    SELECT symbol, list_sort(list_distinct(list_concat(list_filter(w, lambda x: len(x) >= 4), list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS keywords FROM w"""
+    f"""WITH one AS (SELECT p_brand AS symbol, max(p_name) AS fund_name FROM part GROUP BY 1),
+    w AS (SELECT symbol, string_split(trim(regexp_replace(lower(fund_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM one),
+    t AS (SELECT symbol, w, list_transform(w, lambda x: len(x) >= 4 AND x NOT IN ({_DULL})) AS ok FROM w)
+    SELECT symbol, list_sort(list_distinct(list_concat(list_filter(w, lambda x, i: ok[i]), list_transform(list_filter(range(1, len(w)), lambda i: ok[i] OR ok[i + 1]), lambda i: w[i] || ' ' || w[i + 1])))) AS keywords FROM t"""
 )
 def keyword_profiles(spark: SparkSession, d: str) -> DataFrame:
     names = M.read(spark, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.max("p_name").alias("fund_name"))
