@@ -48,8 +48,9 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     n_tokens = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + F.when(F.col("m") == "", 0).otherwise(1)
     placed = lines.select("k", "line_no", "sig", n_tokens.alias("n"), "m").where(F.col("n") >= min_tokens)
     placed = placed.select("k", "line_no", "sig", F.concat_ws(" ", "n", F.substring_index("m", " ", depth)).alias("leaf"), "m")
+    flat = written(placed.select("k", "line_no", "sig", "leaf", F.xxhash64("m").alias("h")), "lines")  # the texts are read once more only
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
-    busy = written(placed.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves")
+    busy = written(flat.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves")
     kinds = written(placed.join(checked(busy), "leaf", "left_semi").select("leaf", "m", "sig").distinct(), "line-kinds")
     at = kinds.select("leaf", "m", "sig", F.posexplode(F.split("m", " ")).alias("pos", "token"))
     literal = at.where(F.col("token") != VARIABLE).groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
@@ -60,7 +61,7 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     templates = templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "m", "template")
     recurring = kinds.join(templates, ["leaf", "m"]).groupBy("template").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("template")
     dropped = written(templates.join(recurring, "template", "left_semi").select("leaf", F.xxhash64("m").alias("h")).distinct(), "line-dropped")
-    return placed.select("k", "line_no", "leaf", F.xxhash64("m").alias("h")).join(checked(dropped), ["leaf", "h"], "left_semi").select("k", "line_no")
+    return flat.select("k", "line_no", "leaf", "h").join(checked(dropped), ["leaf", "h"], "left_semi").select("k", "line_no")
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: float) -> DataFrame:
