@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from wiremill.llm import decontamination
+from wiremill.llm import decontamination, simhash_dedup
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -33,3 +33,20 @@ def test_decontamination_finds_all_paraphrases(spark):
     expected = {k: s for k, s in scores.items() if s >= 0.5}
     assert len(expected) > 80
     assert got == expected
+
+
+def test_near_copies_are_checked_by_their_whole_shingle_sets(spark):
+    rng = random.Random(5)
+    rows, least = [], {}
+    for group in range(60):  # pairs around the limit: some words at the end are others
+        n, other = 60, rng.randrange(6, 9)
+        text = words(rng, n, 10**6)
+        rows += [(2 * group, " ".join(text)), (2 * group + 1, " ".join(text[: n - other] + words(rng, other, 10**6)))]
+        least[group] = 5 * (n - 4 - other) >= 4 * (n - 4 + other)
+    assert 10 < sum(least.values()) < 50
+    fps = [simhash_dedup.fingerprint(t, 5) for _, t in rows]
+    far = {g for g in least if (fps[2 * g] ^ fps[2 * g + 1]).bit_count() > 4}
+    assert len(far) > 40
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_copies(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect()}
+    assert {2 * g for g in far} <= kept
+    assert {g for g in far if 2 * g + 1 in kept} == {g for g in far if not least[g]}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import column_texts, share_of_hash, small_batches, table
+from wiremill.llm.common import checked, column_texts, share_of_hash, small_batches, table
 from wiremill.llm.components import connected
 from wiremill.session import written
 
@@ -203,44 +203,54 @@ _ROWS, _BANDS = 5, 24
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, _ROWS * _BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def min_hashes(text: str, size: int = 5) -> tuple[int, np.ndarray]:
-    """SimHash fingerprint and least hashes of a text's word shingles (all ones without words)."""
+def shingles(text: str, size: int = 5) -> np.ndarray:
+    """Hashes of a text's word shingles, repeated ones repeated; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
     spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in spans), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in spans), np.uint64, n)
+
+
+def min_hashes(text: str, size: int = 5) -> tuple[int, np.ndarray, int]:
+    """SimHash fingerprint and least hashes of a text's word shingles (all ones without words), and one hash of their set."""
+    hashes = shingles(text, size)
+    n = len(hashes)
+    if not n:
+        return 0, np.full(len(_ODD), 0xFFFFFFFF, np.uint32), 0
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 12):
         part = hashes[at : at + (1 << 12)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         least = np.minimum(least, (part[None, :] * _ODD[:, None]).min(1))
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), (least >> np.uint64(32)).astype(np.uint32)
+    kind = xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), 42)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), (least >> np.uint64(32)).astype(np.uint32), kind
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, slack: float = 0.03, radius: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """``docs`` without all but the first (by ``key``) of each group of near copies.
 
     Linked are documents whose SimHash fingerprints differ in at most
-    ``radius`` bits, and documents whose shingle sets have an estimated Jaccard
-    similarity of ``similarity`` less ``slack`` or more. Fingerprints of 64 bits
+    ``radius`` bits, and documents whose shingle sets have a Jaccard
+    similarity of ``similarity`` or more. Fingerprints of 64 bits
     differ in up to 13 bits at a similarity of 0.8, where no vantage point
     prunes; candidates of this second kind therefore share one of some bands
-    of least hashes with the first document of that band's group. All texts
-    without words are one group. Rows with a null key stay, and rows that
+    of least hashes with the first document of that band's group, and are
+    checked by their whole shingle sets. All texts without words are one group. Rows with a null key stay, and rows that
     share a key stay or go together.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [min_hashes(t, size) for t in column_texts(batch.column("t"))]
-            fps = np.fromiter((f for f, _ in found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fps), pa.array([m.tobytes() for _, m in found], pa.binary())], ["k", "fp", "sig"])
+            fps, kinds = (np.fromiter((f[i] for f in found), np.uint64, len(found)).view(np.int64) for i in (0, 2))
+            sigs = pa.array([m.tobytes() for _, m, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(fps), sigs, pa.array(kinds)], ["k", "h", "fp", "sig", "x"])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,20 +258,34 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             keys = np.array([[xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(sig)] for sig in sigs], np.uint64).reshape(-1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("x").to_numpy(), _BANDS))], ["band", "x"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([np.unique(shingles(t, size)).tobytes() for t in column_texts(batch.column("t"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("x"), found], ["x", "own"])
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, len(_ODD)) for c in ("a", "b"))
-            yield batch.filter(pa.array((a == b).mean(1) >= similarity - slack)).select(["u", "v"])
+            good = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(hashed, f"k {kind}, fp bigint, sig binary")
-    rows = written(rows.withColumn("x", F.xxhash64("sig")), "least-hashes")
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(key).alias("k"), text_hash.alias("h"), F.col(text).alias("t")).mapInArrow(hashed, f"k {kind}, h bigint, fp bigint, sig binary, x bigint")
+    rows = written(rows, "least-hashes")
     kinds = rows.groupBy("x").agg(F.first("sig").alias("sig"))
     bands = written(kinds.select("x", "sig").mapInArrow(banded, "band bigint, x bigint"), "bands")
     heads = bands.groupBy("band").agg(F.min("x").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    pairs = bands.join(heads, "band").where("x != v").select(F.col("x").alias("u"), "v").distinct()
-    alike = pairs.join(kinds.select(F.col("x").alias("u"), F.col("sig").alias("a")), "u").join(kinds.select(F.col("x").alias("v"), F.col("sig").alias("b")), "v")
+    pairs = written(bands.join(heads, "band").where("x != v").select(F.col("x").alias("u"), "v").distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+    wanted = written(rows.join(wanted, "x", "left_semi").groupBy("x").agg(F.min("h").alias("h")), "wanted-texts")
+    found = docs.select(text_hash.alias("h"), F.col(text).alias("t")).join(checked(wanted), "h").select("x", "t")
+    own = written(found.mapInArrow(sets, "x bigint, own binary").groupBy("x").agg(F.first("own").alias("own")), "shingle-sets")
+    alike = pairs.join(own.select(F.col("x").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("x").alias("v"), F.col("own").alias("b")), "v")
     alike = alike.select("u", "v", "a", "b").mapInArrow(verified, "u bigint, v bigint")
     of = written(rows.groupBy("fp").agg(F.min("x").alias("head")), "heads")
     same = rows.select("fp", "x").distinct().join(of, "fp").where("x != head").select(F.col("x").alias("u"), F.col("head").alias("v"))
