@@ -7,9 +7,18 @@ position if enough documents have it there, else it is a variable field; lines
 with the same literals share a template. Templates with enough literals that
 recur across documents are boilerplate, and their lines are dropped.
 
-Copies of one document should not make its lines boilerplate. Documents are
-therefore counted by a signature, the least hash of their lines, which exact
-copies always and near copies nearly always share.
+Copies of one document should not make its lines boilerplate. For each line,
+documents are therefore counted by a signature, the least hash of their *other*
+lines, which exact copies always and near copies mostly share. A document of
+one line only has that line's own hash. Lines, leaves and templates are told
+apart by 64-bit hashes.
+
+Nulls, empty texts and repeats: a null text stays null and counts as one empty
+line; rows with a null key are documents like others; repeated rows (same key
+and text) count as one document and each lose the same lines; lines of fewer
+than ``min_tokens`` tokens always stay; an empty table gives an empty table;
+texts of any length are taken whole; other columns are passed through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,46 +44,66 @@ def _masked_lines(text: Column) -> Column:
 
 
 def document_key(key: Column, text: Column) -> Column:
-    """One string per different (key, text), null-safe; repeated rows share it."""
-    return F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("~")), F.coalesce(text, F.lit("~"))))
+    """16 bytes per different (key, text), null-safe; repeated rows share them."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("~")), F.coalesce(text, F.lit("~")))))
+
+
+def _short(digest: Column) -> Column:
+    """The first 60 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def _placed(m: Column, depth: int) -> tuple[Column, Column]:
+    """Number of tokens and leaf of a masked line."""
+    n = F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + F.when(m == "", 0).otherwise(1)
+    return n, F.xxhash64(n, F.substring_index(m, " ", depth))
 
 
 def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, literal_share: float = LITERAL_SHARE, depth: int = DEPTH) -> DataFrame:
-    """``k, line_no``: the lines (from 0) that match a recurring template; ``k`` as of :func:`document_key`."""
+    """``k, line_no``: the lines (from 0) that match a recurring template; ``k`` as of :func:`document_key`.
+
+    The texts are read twice: once for a compact table with three hashes a
+    line, once for the words of those different lines whose leaf recurs.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    signature = F.array_min(F.transform(F.split(t, "\n"), lambda x: F.md5(x)))
-    lines = docs.select(document_key(F.col(key), F.col(text)).alias("k"), signature.alias("sig"), _masked_lines(t).alias("lines"))
-    lines = lines.select("k", "sig", F.posexplode_outer("lines").alias("line_no", "m"))  # apart, or key and signature are made for each line
-    n_tokens = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + F.when(F.col("m") == "", 0).otherwise(1)
-    placed = lines.select("k", "line_no", "sig", n_tokens.alias("n"), "m").where(F.col("n") >= min_tokens)
-    placed = placed.select("k", "line_no", "sig", F.concat_ws(" ", "n", F.substring_index("m", " ", depth)).alias("leaf"), "m")
-    flat = written(placed.select("k", "line_no", "sig", "leaf", F.xxhash64("m").alias("h")), "lines")  # the texts are read once more only
+    rows = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.transform(F.split(t, "\n"), lambda x: F.md5(x)).alias("digests"), _masked_lines(t).alias("lines"))
+    rows = rows.select("k", "lines", "digests", F.array_min("digests").alias("first"))
+    rows = rows.select("k", "lines", F.transform("digests", lambda x: x == F.col("first")).alias("own"), "first", F.array_min(F.filter("digests", lambda x: x != F.col("first"))).alias("second"))
+    rows = rows.select("k", _short(F.col("first")).alias("first"), _short(F.coalesce("second", "first")).alias("second"), F.arrays_zip("lines", "own").alias("lines"))
+    n, leaf = _placed(F.col("m"), depth)
+    flat = rows.select("k", "first", "second", F.posexplode("lines").alias("line_no", "x")).select("k", "line_no", F.when(F.col("x.own"), F.col("second")).otherwise(F.col("first")).alias("sig"), F.col("x.lines").alias("m"))
+    flat = flat.select("k", "line_no", "sig", "m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
+    flat = written(flat.select("k", "line_no", "sig", "leaf", F.xxhash64("m").alias("h")), "lines")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
-    busy = written(flat.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves")
-    kinds = written(placed.join(checked(busy), "leaf", "left_semi").select("leaf", "m", "sig").distinct(), "line-kinds")
-    at = kinds.select("leaf", "m", "sig", F.posexplode(F.split("m", " ")).alias("pos", "token"))
-    literal = at.where(F.col("token") != VARIABLE).groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
-    words = kinds.select("leaf", "m").distinct().select("leaf", "m", F.posexplode(F.split("m", " ")).alias("pos", "token"))
+    busy = checked(written(flat.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves"))
+    kinds = written(flat.join(busy, "leaf", "left_semi").select("leaf", "h", "sig").distinct(), "line-kinds")
+    again = docs.select(F.explode(_masked_lines(t)).alias("m")).select("m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
+    forms = again.join(busy, "leaf", "left_semi").select("leaf", F.xxhash64("m").alias("h"), "m").distinct()
+    tokens = F.transform(F.split("m", " "), lambda x: F.when(x != VARIABLE, F.xxhash64(x)))
+    forms = written(forms.select("leaf", "h", tokens.alias("tokens")), "line-forms")
+    at = forms.join(kinds, ["leaf", "h"]).select("leaf", "sig", F.posexplode("tokens").alias("pos", "token")).where("token is not null")
+    literal = at.groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
+    words = forms.select("leaf", "h", F.posexplode("tokens").alias("pos", "token"))
     shown = words.join(literal.withColumn("kept", F.lit(True)), ["leaf", "pos", "token"], "left")
-    fields = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept"), F.col("token")).otherwise(VARIABLE).alias("token")))), lambda x: x["token"])
-    templates = shown.groupBy("leaf", "m").agg(F.concat_ws(" ", fields).alias("template"), F.count("kept").alias("literals"), F.count("*").alias("n_tokens"))
-    templates = templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "m", "template")
-    recurring = kinds.join(templates, ["leaf", "m"]).groupBy("template").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("template")
-    dropped = written(templates.join(recurring, "template", "left_semi").select("leaf", F.xxhash64("m").alias("h")).distinct(), "line-dropped")
+    fields = F.xxhash64(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept"), F.col("token")).alias("token")))))
+    templates = shown.groupBy("leaf", "h").agg(fields.alias("template"), F.count("kept").alias("literals"), F.count("*").alias("n_tokens"))
+    templates = written(templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "h", "template"), "line-templates")
+    recurring = kinds.join(checked(templates), ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
+    dropped = written(templates.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h").distinct(), "line-dropped")
     return flat.select("k", "line_no", "leaf", "h").join(checked(dropped), ["leaf", "h"], "left_semi").select("k", "line_no")
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: float) -> DataFrame:
     """``docs`` with its columns, ``text`` without its template lines, plus ``n_lines``, ``n_dropped``.
 
-    Every document stays, with an empty text if all its lines go; a null text
-    stays null and counts as one empty line. Lines with fewer than
-    ``min_tokens`` tokens always stay.
+    Every document stays, with an empty text if all its lines go. The texts are
+    dealt once, by key, to meet the numbers of their dropped lines; the plan is
+    the same at every size.
     """
     found = template_lines(docs, text, key, **rules).groupBy("k").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
     names = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)]).withColumn("__k", document_key(F.col(f"__c{names.index(key)}"), F.col(f"__c{names.index(text)}")))
-    rows = rows.join(found, F.col("__k") == F.col("k"), "left").drop("k", "__k")
+    rows = rows.join(found.hint("shuffle_hash"), F.col("__k") == F.col("k"), "left").drop("k", "__k")
     old = F.col(f"__c{names.index(text)}")
     rows = rows.withColumn("__lines", F.split(F.coalesce(old, F.lit("")), "\n"))
     bounds = F.concat(F.array(F.lit(-1)), F.coalesce("__gone", F.array().cast("array<int>")), F.array(F.size("__lines")))
@@ -98,7 +127,11 @@ OP4_SQL = f"""
 WITH base AS (
   SELECT doc_id, text, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(text, '~'))) AS k, string_split(coalesce(text, ''), chr(10)) AS lines
   FROM documents),
-signed AS (SELECT k, list_min(list_transform(lines, lambda x: md5(x))) AS sig, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM base),
+hashed AS (SELECT k, lines, list_transform(lines, lambda x: md5(x)) AS digests FROM base),
+lows AS (SELECT k, lines, digests, list_min(digests) AS low FROM hashed),
+pairs AS (SELECT k, lines, digests, low, coalesce(list_min(list_filter(digests, lambda x: x <> low)), low) AS second FROM lows),
+spelt AS (SELECT k, low, second, unnest(digests) AS digest, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM pairs),
+signed AS (SELECT k, CASE WHEN digest = low THEN second ELSE low END AS sig, line, line_no FROM spelt),
 tokens AS (
   SELECT k, sig, line_no,
     list_transform(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{VARIABLE}' ELSE w END) AS m
