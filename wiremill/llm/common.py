@@ -45,6 +45,20 @@ def checked(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= most_rows else small
 
 
+def join_skewed(big: DataFrame, small: DataFrame, on: list[str], n: str = "n", often: int = 10_000) -> DataFrame:
+    """``big`` joined with ``small``, a written table of one row per key whose column ``n`` has the key's rows in ``big``.
+
+    Keys with ``often`` rows or more, at most one in that many rows of ``big``,
+    are broadcast (checked), so that no task gets all rows of a frequent key;
+    the other keys are shuffled.
+    """
+    frequent = small.where(F.col(n) >= often)
+    if frequent.first() is None:
+        return big.join(small, on)
+    frequent = checked(frequent)
+    return big.join(frequent, on).unionByName(big.join(frequent.select(*on), on, "left_anti").join(small.where(F.col(n) < often), on))
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """From now on hand Python workers ``rows`` rows at a time: texts that pass through them are held several times over."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,15 +2,27 @@
 
 Every window of ``length`` bytes has a minimizer: the leftmost of its ``_GRAM``-byte
 pieces with the least hash. Equal windows have equal minimizers at equal places,
-so all copies of a window meet where their minimizer is sent. Only minimizers
-that occur at least twice are looked at further: the bytes of the windows that
-they own are one context each. Contexts are first compared by 64-bit hashes
-among those of equal minimizers, and equal ones are folded into their first
-occurrence; only the bytes of different contexts of one minimizer are fetched
-and put into a suffix array. A stack scan over its common prefixes gives the intervals of suffixes
-that share ``length`` bytes or more; those whose members differ in the byte to
-their left are the maximal repeats, each with all its occurrences. Bytes of all
-occurrences but the first are removed.
+so all copies of a window meet where their minimizer is sent. The bytes of the
+windows that a minimizer owns are one context.
+
+What is folded before the suffix arrays: whole copies of a text, and equal
+contexts of equal minimizers (by 64-bit hashes). The earliest of each class
+stands for it. This leaves the groups as they are: the bytes of each later
+member lie in windows that start earlier in the class's first member, so they
+are covered as a whole, and no later member can be the first occurrence of any
+window. Only different contexts that share a minimizer enter a suffix array. A
+stack scan over its common prefixes gives the intervals of suffixes that share
+``length`` bytes or more; those whose members differ in the byte to their left
+are the maximal repeats, each with all its occurrences. Bytes of all
+occurrences but the first are removed. Repeats are maximal inside their
+contexts; a longer one is the union of those of neighbouring contexts.
+
+A minimizer with more than ``MOST_CONTEXTS`` different contexts (a passage of a
+third of all documents has two, where it meets each document's own text) is
+split, exactly: windows that hold the minimizer in a narrow range of places all
+share the bytes around it, so each range goes on under a hash of these bytes.
+Ranges get narrower until the parts are small; at the narrowest, a range is one
+window and equal ones are folded. No task holds more than one part at a time.
 """
 
 from __future__ import annotations
@@ -24,13 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from wiremill.llm.common import checked, mix64, small_batches, table
+from wiremill.llm.common import checked, join_skewed, mix64, small_batches, table
 from wiremill.session import written
 
 LENGTH = 100
 _GRAM = 16
 #: Bits of a window key that hold a place; longer texts are taken in pieces.
 _PLACE_BITS = 20
+#: Different contexts of one minimizer (or part of it) that a suffix array takes.
+MOST_CONTEXTS = 2000
+#: How many places of the minimizer in the window go together, from the first split on.
+_RANGES = (17, 4, 1)
 
 
 def minimizers(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,57 +167,85 @@ def _ordered(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def whole_copies(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``rid, stop``: texts of ``length`` bytes or more that equal an earlier one (by MD5 and size), to be removed as a whole."""
-    sized = rows.select("rid", F.md5("t").alias("m"), F.octet_length("t").alias("stop"))
-    firsts = sized.groupBy("m", "stop").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("stop") >= length))
-    return written(sized.join(firsts.drop("n"), ["m", "stop"]).where("rid != first").select("rid", "stop"), "whole-copies")
-
-
-def duplicate_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    sized = rows.select("rid", F.unhex(F.md5("t")).alias("m"), F.octet_length("t").alias("stop")).where(F.col("stop") >= length)
+    firsts = sized.groupBy("m", "stop").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return written(join_skewed(sized, written(firsts, "first-copies"), ["m", "stop"]).where("rid != first").select("rid", "stop"), "whole-copies")
+
+
+CONTEXT = "h bigint, x bigint, rid bigint, start int, size int, place int, again array<struct<start:int,stop:int>>"
+PIECE = "h bigint, bytes binary, rid bigint, start int, place int"
+
+
+def contexts_of(data: bytes, length: int = LENGTH) -> tuple[list[np.ndarray], list[list[dict] | None]]:
+    """Minimizer, hash, start, size and place of the minimizer of each different context, and ranges of its later copies in the text."""
+    h, at, first, last = minimizers(np.frombuffer(data, np.uint8), length)
+    x = np.fromiter((xxh64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h)).view(np.int64)
+    columns, again = [h, x, first, last - first + length, at - first], [None] * len(h)
+    own, of = np.unique(x ^ h, return_index=True, return_inverse=True)[1:]
+    if len(own) < len(h):  # copies that overlap or touch are one range, as in a run of one byte
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(own[of] != np.arange(len(h))).tolist():
+            a, b = int(first[i]), int(last[i]) + length
+            held = ranges.setdefault(int(own[of[i]]), [])
+            if held and a <= held[-1][1]:
+                held[-1] = (held[-1][0], b)
+            else:
+                held.append((a, b))
+        keep = np.sort(own)
+        columns = [c[keep] for c in columns]
+        again = [[{"start": i, "stop": j} for i, j in ranges[k]] if k in ranges else None for k in keep.tolist()]
+    return columns, again
+
+
+def split(data: bytes, h: int, start: int, place: int, width: int, length: int = LENGTH) -> Iterator[tuple[int, bytes, int, int]]:
+    """A context's windows by the place of the minimizer in them, ``width`` places together: (key, bytes, start, place)."""
+    least, most = place - (len(data) - length), place
+    for part in range(least // width, most // width + 1):
+        low, high = part * width, part * width + width - 1
+        shared = data[max(0, place - low) : place - high + length]  # in all windows of the range
+        a, b = place - min(high, most), place - max(low, least) + length
+        key = xxh64_intdigest(h.to_bytes(8, "little", signed=True) + shared, low * 128 + high)
+        yield key - (1 << 64 if key >> 63 else 0), data[a:b], start + a, place - a
+
+
+def duplicate_ranges(rows: DataFrame, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """``rid, start, stop``: byte ranges of ``t`` covered by ``length``-byte strings that also start earlier."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            found = []
-            for text in batch.column("t").to_pylist():
-                data = text.encode("utf-8", "surrogatepass")
-                h, _, first, last = minimizers(np.frombuffer(data, np.uint8), length)
-                x = np.fromiter((xxh64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h))
-                found.append((h, x.view(np.int64), first, last - first + length))
-            h, x, first, size = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
-            of = np.repeat(batch.column("rid").to_numpy(), [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(of), pa.array(first, pa.int32()), pa.array(size, pa.int32())], ["h", "x", "rid", "start", "size"])
+            found = [contexts_of(text.encode("utf-8", "surrogatepass"), length) for text in batch.column("t").to_pylist()]
+            of = np.repeat(batch.column("rid").to_numpy(), [len(again) for _, again in found])
+            h, x, start, size, place = (pa.array(np.concatenate([np.zeros(0, np.int64), *(columns[i] for columns, _ in found)]), kind) for i, kind in enumerate(kinds))
+            again = pa.array([ranges for _, own in found for ranges in own], spans)
+            yield pa.RecordBatch.from_arrays([h, x, pa.array(of), start, size, place, again], ["h", "x", "rid", "start", "size", "place", "again"])
 
-    copies = whole_copies(rows, length)
-    places = rows.select("rid", "t").join(checked(copies), "rid", "left_anti").mapInArrow(anchors, "h bigint, x bigint, rid bigint, start int, size int")
-    again = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    cuts = written(places.join(again, "h", "left_semi"), "contexts")
-    firsts = written(cuts.groupBy("h", "x", "size").agg(F.min(F.struct("rid", "start")).alias("f")).select("h", "x", "size", F.col("f.rid").alias("rid0"), F.col("f.start").alias("start0")), "first-contexts")
-    later = cuts.join(firsts, ["h", "x", "size"]).where("rid != rid0 or start != start0")
-    whole = later.select("rid", "start", (F.col("start") + F.col("size")).alias("stop")).union(copies.select("rid", F.lit(0), "stop"))
-    several = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = firsts.join(several, "h", "left_semi").groupBy(F.col("rid0").alias("rid")).agg(F.collect_list(F.struct("h", F.col("start0").alias("start"), "size")).alias("cuts"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("rid", "t", "cuts")), strict=True):
                 if cuts:
                     data = text.encode("utf-8", "surrogatepass")
-                    columns = [pa.array([c["h"] for c in cuts], pa.int64()), pa.array([data[c["start"] : c["start"] + c["size"]] for c in cuts], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(cuts), rid, np.int64)), pa.array([c["start"] for c in cuts], pa.int32())], ["h", "bytes", "rid", "start"])
+                    yield pieces([(c["h"], data[c["start"] : c["start"] + c["size"]], rid, c["start"], c["place"]) for c in cuts])
+
+    def pieces(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], ["h", "bytes", "rid", "start", "place"])
+
+    def parts(width: int) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(k, data, rid, a, p) for h, data, rid, start, place in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, data, a, p in split(data, h, start, place, width, length)]
+                if found:
+                    yield pieces(found)
+
+        return run
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (batches := list(batches)):
-            return
-        held = pa.Table.from_batches(batches)
-        h = held.column("h").to_numpy()
-        order = np.argsort(h, kind="stable")
-        ends = np.flatnonzero(np.append(h[order][1:] != h[order][:-1], True)) + 1
-        lo = 0
-        for hi in ends.tolist():
-            if hi - lo < 4096 and hi != ends[-1]:
-                continue
-            part = held.take(pa.array(order[lo:hi]))
-            rid, start, lo = part.column("rid").to_numpy(), part.column("start").to_numpy(), hi
+        """Rows come sorted by ``h``; each suffix array takes some whole groups."""
+
+        def ranges(part: pa.Table) -> pa.RecordBatch:
+            rid, start = part.column("rid").to_numpy(), part.column("start").to_numpy()
             covered: dict[int, list[tuple[int, int]]] = {}
             for size, members in maximal_repeats(part.column("bytes").to_pylist(), length):
                 first = min(members, key=lambda m: (rid[m[0]], start[m[0]] + m[1]))
@@ -209,12 +253,58 @@ def duplicate_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     if (i, k) != first:
                         covered.setdefault(i, []).append((k, k + size))
             out = [(int(rid[i]), int(start[i]) + x, int(start[i]) + y) for i, own in covered.items() for x, y in joined(own)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["rid", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["rid", "start", "stop"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 4096:
+                continue
+            part = pa.Table.from_batches(held).combine_chunks()
+            h = part.column("h").to_numpy()
+            end = int(np.searchsorted(h, h[-1]))  # the last group may go on
+            if end:
+                yield ranges(part.slice(0, end))
+            held = part.slice(end).to_batches()
+        if held:
+            yield ranges(pa.Table.from_batches(held))
 
+    copies = whole_copies(rows, length)
+    places = rows.select("rid", "t").join(checked(copies), "rid", "left_anti").mapInArrow(anchors, CONTEXT)
+    twice = places.groupBy("h").agg(F.sum(F.when(F.col("again").isNull(), 1).otherwise(2)).alias("n")).where("n > 1").select("h")
+    cuts = written(places.join(twice, "h", "left_semi"), "contexts")
+    firsts = cuts.groupBy("h", "x", "size").agg(F.min(F.struct("rid", "start", "place")).alias("f"), F.count("*").alias("n"))
+    firsts = written(firsts.select("h", "x", "size", "n", F.col("f.rid").alias("rid0"), F.col("f.start").alias("start0"), F.col("f.place").alias("place")), "first-contexts")
+    later = join_skewed(cuts.select("h", "x", "size", "rid", "start"), firsts.where("n > 1").drop("place"), ["h", "x", "size"]).where("rid != rid0 or start != start0")
+    found = [later.select("rid", "start", (F.col("start") + F.col("size")).alias("stop")), copies.select("rid", F.lit(0), "stop"), cuts.select("rid", F.explode("again").alias("r")).select("rid", "r.start", "r.stop")]
+    several = written(firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several-contexts")
+    wanted = firsts.join(several, "h", "left_semi").groupBy(F.col("rid0").alias("rid")).agg(F.collect_list(F.struct("h", F.col("start0").alias("start"), "size", "place")).alias("cuts"))
     # A left join, as in drop_repeats, so that the texts are shuffled once for both.
-    met = rows.join(wanted, "rid", "left").select("rid", "k", "t", "cuts").mapInArrow(contexts, "h bigint, bytes binary, rid bigint, start int").repartition("h")
-    return whole.union(met.mapInArrow(repeats, "rid bigint, start int, stop int"))
+    met = rows.join(wanted, "rid", "left").select("rid", "k", "t", "cuts").mapInArrow(fetched, PIECE)
+    hot = several.where(F.col("kinds") > most_contexts).select("h")
+    if hot.first() is not None:
+        met = written(met, "context-bytes")
+        small, large = [met.join(checked(hot), "h", "left_anti")], met.join(checked(hot), "h", "left_semi")
+        for width in _RANGES:
+            cut = written(large.mapInArrow(parts(width), PIECE).withColumn("x", F.xxhash64("bytes")), "context-parts")
+            least = cut.groupBy("h", "x").agg(F.min(F.struct("rid", "start", "place", "bytes")).alias("f"), F.count("*").alias("n"))
+            least = written(least.select("h", "x", "n", F.col("f.rid").alias("rid0"), F.col("f.start").alias("start0"), "f.bytes", "f.place"), "first-parts")
+            later = join_skewed(cut.select("h", "x", "rid", "start", F.length("bytes").alias("size")), least.where("n > 1").drop("bytes", "place"), ["h", "x"])
+            found.append(later.where("rid != rid0 or start != start0").select("rid", "start", (F.col("start") + F.col("size")).alias("stop")))
+            kinds = written(least.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several-parts")
+            piece = least.select("h", "bytes", F.col("rid0").alias("rid"), F.col("start0").alias("start"), "place")
+            small.append(piece.join(kinds.where(F.col("kinds") <= most_contexts), "h", "left_semi"))
+            large = piece.join(kinds.where(F.col("kinds") > most_contexts), "h", "left_semi")
+            if kinds.where(F.col("kinds") > most_contexts).first() is None:
+                break
+        met = small[0]
+        for more in small[1:]:
+            met = met.unionByName(more)
+    found.append(met.repartition("h").sortWithinPartitions("h").select("h", "bytes", "rid", "start").mapInArrow(repeats, "rid bigint, start int, stop int"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -242,9 +332,12 @@ def removed(data: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, in
 def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` of every document, and with ``with_text`` the bytes left as ``kept``.
 
-    Texts are taken as UTF-8 (null: empty). Texts shorter than ``length`` lose
-    nothing. Documents are ordered by ``key``; with repeated or null keys, see
-    :func:`_ordered`.
+    Texts are taken as UTF-8 of any length, null as empty; a text shorter than
+    ``length`` loses nothing; an empty table gives an empty table. Documents
+    are ordered by ``key``; where keys repeat or are null, rows are numbered in
+    the order of key (null first) and text, so that of repeated rows the first
+    stays and every row has a result. Of equal strings the one that starts
+    first stays; there are no ties. Other columns are not looked at.
     """
     small_batches(docs)
     rows = _ordered(docs, text, key)
@@ -265,4 +358,5 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when each 100-byte string that starts earlier too is removed; cases as of :func:`drop_repeats`."""
     return drop_repeats(table(spark, sf_dir, "documents"))
