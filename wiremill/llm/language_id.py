@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from wiremill.llm.common import chunks, column_texts, crc_of, share_of_hash, small_batches, table
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
 
 
@@ -71,7 +69,7 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarr
         x = log_likelihoods(model, texts[lo:hi])
         best[lo:hi] = x.argmax(1)
         score[lo:hi] = 1.0 / np.exp(x - x.max(1, keepdims=True)).sum(1)
-    known = np.fromiter((_LETTER.search(t) is not None for t in texts), bool, len(texts))
+    known = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
     return [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
