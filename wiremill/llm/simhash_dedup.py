@@ -13,12 +13,17 @@ A radius of 4 is as wide as the spread of the distances of unlike fingerprints,
 so one tree over 64 bits sends many of them across each border. There are
 therefore four trees, each over 16 of the bits: fingerprints that differ in 4
 bits or fewer differ in one bit or none of at least one part, and only have to
-meet there.
+meet there. 16 bits can't tell more than 65,536 groups apart, so beyond
+``WIDE_FROM`` fingerprints there are ten trees instead, each over two of five
+parts: of five parts with 4 differing bits or fewer, two together hold at most
+one. Both forms are exact; they only differ in work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +73,11 @@ def distances(many: np.ndarray, one: np.uint64) -> np.ndarray:
     return np.bitwise_count(many ^ one)
 
 
-#: The bits that each tree looks at.
+#: The bits that each tree looks at, for few and for many fingerprints, and how far apart the fingerprints of a link are in one of them.
 VIEWS = tuple(0xFFFF << (16 * k) for k in range(4))
+_PARTS = [sum(1 << b for b in range(64 * k // 5, 64 * (k + 1) // 5)) for k in range(5)]
+WIDE_VIEWS = tuple(a | b for a, b in combinations(_PARTS, 2))
+WIDE_FROM = 1 << 25
 
 
 def fit_tree(sample: np.ndarray, shards: int, first: int = 0) -> tuple[Tree, int]:
@@ -142,29 +150,31 @@ def shard_forest(fps: np.ndarray, home: np.ndarray, radius: int, view: int, view
     return fps[linked], fps[parent[linked]]
 
 
-def links(fps: DataFrame, radius: int = 4, shard_rows: int = 8192, most_sampled: int = 65_536) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, shard_rows: int = 8192, most_sampled: int = 1 << 20, wide_from: int = WIDE_FROM) -> DataFrame:
     """``u, v``: links between different fingerprints of column ``fp`` that connect all pairs within ``radius``.
 
-    The trees are fitted on a sample of about ``most_sampled`` fingerprints at
-    most and have about one shard per ``shard_rows`` of them; every fingerprint
-    is dealt by each tree.
+    The trees are fitted on a sample of fingerprints, 16 a shard and about
+    ``most_sampled`` at most, and have about one shard per ``shard_rows`` of
+    them; every fingerprint is dealt by each tree. ``radius`` is 4 or less from
+    ``wide_from`` fingerprints on.
     """
     spark = fps.sparkSession
     n = fps.count()
-    sample = fps.where(share_of_hash(F.col("fp")) < F.lit(min(1.0, most_sampled / max(1, n)))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    shards_wanted = min(max(1, -(-n // shard_rows)), most_sampled // 16)
+    views, near = (WIDE_VIEWS, radius * 2 // 5) if n >= wide_from else (VIEWS, radius // len(VIEWS))
+    sample = fps.where(share_of_hash(F.col("fp")) < F.lit(min(1.0, max(4096, 16 * shards_wanted) / max(1, n)))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     trees, shards, view_of = [], 0, {}
-    for view in VIEWS:
-        tree, end = fit_tree(sample & np.uint64(view), min(-(-n // shard_rows), most_sampled // 16), shards)
+    for view in views:
+        tree, end = fit_tree(sample & np.uint64(view), shards_wanted, shards)
         trees.append(tree)
         view_of |= dict.fromkeys(range(shards, end), view)
         shards = end
-    near = radius // len(VIEWS)
     held = spark.sparkContext.broadcast((trees, view_of))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for view, tree in zip(VIEWS, held.value[0], strict=True):
+            for view, tree in zip(views, held.value[0], strict=True):
                 for shard, home, at in deal(tree, own.view(np.uint64) & np.uint64(view), near):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(np.full(len(at), home)), pa.array(own[at])], ["shard", "home", "fp"])
 
@@ -181,9 +191,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     """``key, fingerprint, component_id, n_copies`` of every document.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
-    ``component_id`` is the smallest ``key`` that links lead to. Repeated rows
-    stay; rows with a null key are linked like others, but name no component.
-    ``n_copies`` is the number of documents with the same fingerprint.
+    ``component_id`` is the smallest ``key`` that links lead to (null where all
+    keys of a component are null). Null, empty and wordless texts have
+    fingerprint 0 and are linked like any other; texts of any length are taken
+    whole. Repeated rows stay and share their component; rows with a null key
+    are linked like others, but name no component. An empty table gives an
+    empty table; other columns are not looked at. ``n_copies`` is the number of
+    documents with the same fingerprint.
     """
     rows = written(fingerprints(docs, text, key, size), "fingerprints")
     kinds = written(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n_copies")), "fingerprint-kinds")
@@ -196,13 +210,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; cases as of :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ROWS, _BANDS = 5, 24
-_ODD = np.random.default_rng(20240229).integers(1, 1 << 63, _ROWS * _BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def shingles(text: str, size: int = 5) -> np.ndarray:
     """Hashes of a text's word shingles, repeated ones repeated; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -216,47 +227,63 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in spans), np.uint64, n)
 
 
-def min_hashes(text: str, size: int = 5) -> tuple[int, np.ndarray, int]:
-    """SimHash fingerprint and least hashes of a text's word shingles (all ones without words), and one hash of their set."""
-    hashes = shingles(text, size)
-    n = len(hashes)
-    if not n:
-        return 0, np.full(len(_ODD), 0xFFFFFFFF, np.uint32), 0
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 12):
-        part = hashes[at : at + (1 << 12)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        least = np.minimum(least, (part[None, :] * _ODD[:, None]).min(1))
-    kind = xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), 42)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]), (least >> np.uint64(32)).astype(np.uint32), kind
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """``docs`` without all but the first (by ``key``) of each group of near copies.
+def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first entries of a set of hashes, rare ones first: sets that are similar enough share one of these.
 
-    Linked are documents whose SimHash fingerprints differ in at most
-    ``radius`` bits, and documents whose shingle sets have a Jaccard
-    similarity of ``similarity`` or more. Fingerprints of 64 bits
-    differ in up to 13 bits at a similarity of 0.8, where no vantage point
-    prunes; candidates of this second kind therefore share one of some bands
-    of least hashes with the first document of that band's group, and are
-    checked by their whole shingle sets. All texts without words are one group. Rows with a null key stay, and rows that
-    share a key stay or go together.
+    The order is that of the ``ranks`` of ``common`` hashes (all others come
+    before them), then that of the hashes. A set that shares none of its
+    first n - ceil(similarity * n) + 1 shares too few of the rest.
     """
+    n = len(own)
+    if not n:
+        return own
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, ranks[at], 0)
+    return own[np.lexsort((own, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [min_hashes(t, size) for t in column_texts(batch.column("t"))]
-            fps, kinds = (np.fromiter((f[i] for f in found), np.uint64, len(found)).view(np.int64) for i in (0, 2))
-            sigs = pa.array([m.tobytes() for _, m, _ in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(fps), sigs, pa.array(kinds)], ["k", "h", "fp", "sig", "x"])
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_shingles(docs: DataFrame, text: str, size: int, most_docs: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in three or more of a sample of texts, and how many have them.
+
+    About ``most_docs`` different texts are taken. The sample only serves to
+    order shingles: any order finds all similar sets, a good one with less work.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, _BANDS, _ROWS)
-            keys = np.array([[xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(sig)] for sig in sigs], np.uint64).reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("x").to_numpy(), _BANDS))], ["band", "x"])
+            own = [np.unique(shingles(t, size)) for t in column_texts(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["s"])
+
+    share = F.lit(min(1.0, most_docs / max(1, docs.count())))
+    sample = docs.where(share_of_hash(F.col(text)) < share).select(F.col(text).alias("t")).distinct()
+    often = sample.mapInArrow(found, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 2").toPandas()
+    order = np.argsort(often["s"].to_numpy(np.int64).view(np.uint64))
+    return often["s"].to_numpy(np.int64).view(np.uint64)[order], often["n"].to_numpy(np.int64)[order]
+
+
+def similar_sets(docs: DataFrame, kinds: DataFrame, size: int, similarity: float, base: DataFrame) -> DataFrame:
+    """``node, root`` of the components that ``base`` (``u, v``) and all pairs of sets of at least ``similarity`` make.
+
+    ``kinds`` has ``x`` (a set), its size ``s``, the hash ``h`` of a text with
+    it and its prefix ``keys``; ``docs`` has texts ``t`` by ``h``. Two sets are
+    candidates if they share a key and, by their sizes and the key's places,
+    can still have enough in common. In two rounds each key's sets are
+    compared with one of them, that whose keys are the most common (an
+    original rather than an edited copy). What these rounds leave apart is
+    then compared pair by pair; pairs that are connected already are not.
+    """
+    spark = docs.sparkSession
+    step = (1 + similarity) / similarity
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,25 +299,79 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", s
                 good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
+    spread = kinds.select("x", "s", F.size("keys").alias("m"), F.posexplode("keys").alias("i", "key"))
+    spread = spread.withColumn("reach", step * (F.col("s") - F.col("i")) - F.col("s") + 1e-6)  # no larger set can be similar if this key is the first in common
+    counts = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("least")).where("n > 1")
+    shared = spread.join(counts, "key").where("least <= reach")
+    weight = shared.groupBy("x").agg((F.sum("n") / F.first("m")).alias("w"))
+    shared = written(shared.join(weight, "x").select("key", "x", "s", "i", "reach", "w"), "shared-keys")
+    wanted = shared.select("x").distinct().join(kinds.select("x", "h"), "x")
+    own = written(docs.join(checked(written(wanted, "wanted-texts")), "h").select("x", "t").mapInArrow(sets, "x bigint, own binary").groupBy("x").agg(F.first("own").alias("own")), "shingle-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.where("x != y and y_s <= reach and s <= y_reach and s >= y_s * {0} and y_s >= s * {0}".format(similarity - 1e-9)).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "candidates")
+        both = pairs.join(own.select(F.col("x").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("x").alias("v"), F.col("own").alias("b")), "v")
+        return both.select("u", "v", "a", "b").mapInArrow(verified, "u bigint, v bigint")
+
+    members, forest = shared.withColumn("root", F.col("x")), base
+    for final in (False, False, True):
+        if final:
+            heads = members
+        else:
+            top = members.groupBy("key").agg(F.max(F.struct("w", "x", "s", "reach", "root")).alias("y"))
+            heads = top.select("key", "y.x", "y.s", "y.reach", "y.root")
+        pairs = members.join(heads.select("key", F.col("x").alias("y"), *[F.col(c).alias(f"y_{c}") for c in ("s", "reach", "root")]), "key")
+        found = alike(pairs.where("root < y_root" if final else "root != y_root"))
+        roots = connected(forest.unionByName(found))
+        forest = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        members = shared.join(roots, F.col("x") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "x"))
+        apart = written(members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key"), "open-keys")
+        if final or apart.first() is None:
+            break
+        members = written(members.join(apart, "key", "left_semi").withColumn("w", F.xxhash64("key", "x").cast("double")), "open-members")
+    return roots
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """``docs`` without all but the first (by ``key``) of each group of near copies.
+
+    Linked are documents whose SimHash fingerprints differ in at most
+    ``radius`` bits, and documents whose shingle sets have a Jaccard similarity
+    of ``similarity`` or more. Fingerprints of 64 bits differ in up to 13 bits
+    at a similarity of 0.8, where no vantage point prunes; links of this second
+    kind are therefore found by :func:`similar_sets`. No link is lost.
+
+    All texts without words (null, empty) are one group. Rows with a null key
+    stay, and rows that share a key stay or go together. Texts are taken whole;
+    an empty table gives an empty table; all columns are passed through.
+    """
     small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
-    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).alias("k"), text_hash.alias("h"), F.col(text).alias("t")).mapInArrow(hashed, f"k {kind}, h bigint, fp bigint, sig binary, x bigint")
-    rows = written(rows, "least-hashes")
-    kinds = rows.groupBy("x").agg(F.first("sig").alias("sig"))
-    bands = written(kinds.select("x", "sig").mapInArrow(banded, "band bigint, x bigint"), "bands")
-    heads = bands.groupBy("band").agg(F.min("x").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    pairs = written(bands.join(heads, "band").where("x != v").select(F.col("x").alias("u"), "v").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("x")).distinct()
-    wanted = written(rows.join(wanted, "x", "left_semi").groupBy("x").agg(F.min("h").alias("h")), "wanted-texts")
-    found = docs.select(text_hash.alias("h"), F.col(text).alias("t")).join(checked(wanted), "h").select("x", "t")
-    own = written(found.mapInArrow(sets, "x bigint, own binary").groupBy("x").agg(F.first("own").alias("own")), "shingle-sets")
-    alike = pairs.join(own.select(F.col("x").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("x").alias("v"), F.col("own").alias("b")), "v")
-    alike = alike.select("u", "v", "a", "b").mapInArrow(verified, "u bigint, v bigint")
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, size))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ranks = held.value
+        for batch in batches:
+            fps, sizes, kinds, keys = [], [], [], []
+            for t in column_texts(batch.column("t")):
+                all_of = shingles(t, size)
+                own = np.unique(all_of)
+                fps.append(majority(all_of))
+                sizes.append(len(own))
+                kinds.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                keys.append(prefix(own, common, ranks, similarity).view(np.int64))
+            fps, kinds = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, kinds))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), fps, kinds, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["k", "h", "fp", "x", "s", "keys"])
+
+    rows = written(rows.mapInArrow(hashed, f"k {kind}, h bigint, fp bigint, x bigint, s int, keys array<bigint>"), "shingle-prefixes")
+    kinds = written(rows.groupBy("x").agg(F.min("h").alias("h"), F.first("s").alias("s"), F.first("keys").alias("keys")), "different-sets")
     of = written(rows.groupBy("fp").agg(F.min("x").alias("head")), "heads")
     same = rows.select("fp", "x").distinct().join(of, "fp").where("x != head").select(F.col("x").alias("u"), F.col("head").alias("v"))
     near = links(of.select("fp"), radius).join(of.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(of.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
-    roots = connected(alike.union(same).union(near.select("hu", "hv")))
+    base = written(same.union(near.select("hu", "hv")), "fingerprint-links")
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
+    roots = similar_sets(texts, kinds, size, similarity, base)
     grouped = rows.where("k is not null").groupBy("x").agg(F.min("k").alias("first")).join(roots, F.col("x") == F.col("node"), "left").withColumn("root", F.coalesce("root", "x"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("first"))
     of_x = grouped.drop("first").join(firsts, "root").select("x", "first")
