@@ -45,7 +45,7 @@ def empty(spark):
 def test_language_id(spark):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice(a) for _ in range(80)), lang, "s", 0) for i, (a, lang) in enumerate([("abcde ", "aa"), ("éüöße ", "bb")] * 100)]
-    rows += [(900, None, "aa", "s", 0), (901, "123 ###", "bb", "s", 0), (902, "", None, "s", 0), (5, rows[5][1], None, "s", 0)]
+    rows += [(900, None, "aa", "s", 0), (901, "123 ###", "bb", "s", 0), (902, "", None, "s", 0), (903, "\u00bd \u00b2 \u2167", "aa", "s", 0), (5, rows[5][1], None, "s", 0)]
     data = spark.createDataFrame(rows, DOC).withColumnRenamed("source", "score")
     model = language_id.fit(data.where("doc_id % 2 = 0 or doc_id % 3 = 0"))
     got = language_id.classify(data, model, keep={"doc_id": "doc_id", "lang": "lang"}).collect()
@@ -86,6 +86,42 @@ def test_suffix_dedup(spark, docs, texts):
     assert suffix_dedup.drop_repeats(twice).count() == len(texts) + 1
 
 
+def gone_bytes(texts, length=100):
+    """Per text, which bytes are covered by a string that starts earlier."""
+    seen, out = set(), []
+    for t in texts:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if b[k : k + length] in seen:
+                gone[k : k + length] = True
+            seen.add(b[k : k + length])
+        out.append(gone)
+    return out
+
+
+def test_hot_minimizers_are_split_exactly(spark):
+    rng = random.Random(15)
+    passage = words(rng, 40, 10**6)
+    rows = [f"{words(rng, 12, 10**6)} {passage} {words(rng, 12, 10**6)}" for _ in range(150)]
+    rows += [words(rng, 15, 10**6) + " " * 16 + words(rng, 15, 10**6) for _ in range(150)]
+    rows += ["." * 400 + words(rng, 5), words(rng, 5) + "." * 300, "ab" * 200, rows[3], passage * 3]
+    data = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], DOC).repartition(4)
+    want = gone_bytes(rows)
+    ordered = suffix_dedup._ordered(data, "text", "doc_id")
+    for most in (2000, 20, 3):
+        gone = [np.zeros(len(t.encode()), bool) for t in rows]
+        for r in suffix_dedup.duplicate_ranges(ordered, most_contexts=most).collect():
+            gone[r["rid"]][r["start"] : r["stop"]] = True
+        assert all((a == b).all() for a, b in zip(gone, want, strict=True))
+
+
+def test_a_run_is_named_once():
+    (h, *_), again = suffix_dedup.contexts_of(b"x" * 5000)
+    assert len(h) == 1
+    assert again == [[{"start": 1, "stop": 5000}]]
+
+
 def test_maximal_repeats_find_all_occurrences():
     rng = random.Random(5)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(4, 30))) for _ in range(30)]
@@ -130,12 +166,13 @@ def test_links_over_many_shards(spark):
     fps = np.unique(np.concatenate([base, near])).view(np.int64)
     frame = spark.createDataFrame([(int(f),) for f in fps], "fp bigint")
     got = {(r["node"], r["root"]) for r in components.connected(simhash_dedup.links(frame, 4, shard_rows=20)).collect()}
+    wide = {(r["node"], r["root"]) for r in components.connected(simhash_dedup.links(frame, 4, shard_rows=20, wide_from=10)).collect()}
     want = set()
     for f in fps.view(np.uint64):
         linked = fps[np.bitwise_count(fps.view(np.uint64) ^ f) <= 4]
         if len(linked) > 1:
             want.add((int(f.view(np.int64)), int(linked.min())))
-    assert got == {(a, b) for a, b in want if a != b}
+    assert got == wide == {(a, b) for a, b in want if a != b}
 
 
 def test_components_of_paths(spark):
@@ -184,7 +221,7 @@ def test_katz_is_normalised_and_base_scores_are_exact(spark, docs, texts):
 
 
 def test_quality_rules(spark, docs, texts):
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs.withColumnRenamed("n_chars", "n_words"), least_group=20).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs.withColumnRenamed("n_chars", "n_words")).collect()}
     for i, t in enumerate(texts):
         w = WORD.findall(t or "")
         windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -209,6 +246,25 @@ def test_repeated_windows_and_outliers(spark):
     assert got[902]["n_repeat_words"] == 20
 
 
+def test_least_determinant_of_all_starts_is_kept(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in (("a", 400), ("b", 60), ("c", 1)):
+        x = rng.normal(size=(n, 6)) * 0.5
+        x[: n // 5] += 4
+        rows += [(g, *map(float, r)) for r in x]
+    data = spark.createDataFrame(rows, "group string, " + ", ".join(f"{x} double" for x in quality_rules.VECTOR)).cache()
+    starts = quality_rules.concentrated(data, quality_rules.starts(data), 0.75, 3).withColumn("log_det", quality_rules._log_determinant()).toPandas()
+    best = quality_rules.estimate(data).toPandas().set_index("group")
+    assert set(best.index) == {"a", "b", "c"}
+    assert starts.groupby("group").size()["a"] == 4
+    for g, least in starts.groupby("group")["log_det"].min().items():
+        assert abs(best.loc[g, "log_det"] - least) < 1e-9
+    own = np.array([r[1:] for r in rows if r[0] == "a"])
+    centre = best.loc["a", [f"m{i}" for i in range(6)]].to_numpy(float)
+    assert np.abs(centre - own[80:].mean(0)).max() < 0.2  # the outlying fifth does not move it
+
+
 def test_quality_model():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, len(quality_gam.FEATURES)))
@@ -259,6 +315,19 @@ def test_line_templates(spark):
     assert line_templates.drop_template_lines(empty(spark)).count() == 0
 
 
+def test_boilerplate_counts_whatever_its_digest(spark):
+    rng = random.Random(4)
+    lines = sorted((f"shared notice number {w} of this very page" for w in ("alpha", "beta", "gamma", "delta", "kappa") for _ in (0,)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    low = next(f"notice with the words {a}q {b}z at the end" for a in range(400) for b in range(40) if hashlib.md5(re.sub("x", "x", f"notice with the words {a}q {b}z at the end").encode()).hexdigest() < "001")
+    for shared in (low, lines[-1]):
+        rows = [(i, "\n".join([*(words(rng, 9, 10**6) for _ in range(4)), shared]), "en", "s", 0) for i in range(200)]
+        rows += [(500 + i, f"{words(rng, 9, 10**6)}\n{shared}", "en", "s", 0) for i in range(12)]
+        got = line_templates.drop_template_lines(spark.createDataFrame(rows, DOC)).collect()
+        assert sum(r["n_dropped"] for r in got) == len(rows)
+    few = [(i, f"{words(rng, 9, 10**6)}\n{low}", "en", "s", 0) for i in range(9)]
+    assert sum(r["n_dropped"] for r in line_templates.drop_template_lines(spark.createDataFrame(few, DOC)).collect()) == 0
+
+
 def test_decontamination(spark, docs, texts):
     rng = random.Random(12)
     item = words(rng, 40, 10**6).split()
@@ -296,6 +365,13 @@ def test_packing(spark, docs, texts):
             cost = lambda bounds: sum(c * min(b for b in bounds if b >= n) for n, c in zip(lengths, counts, strict=True))  # noqa: B023, E731
             least = min(cost([*cut, lengths[-1]]) for r in range(k) for cut in itertools.combinations(lengths[:-1], r))
             assert cost(packing.optimal_boundaries(lengths, counts, k)) == least
+    lengths = np.array(sorted(rng.sample(range(1, 5000), 300)))  # beyond 512, against the plain recurrence
+    counts = np.array([rng.randrange(1, 50) for _ in lengths])
+    before, best = np.concatenate(([0], np.cumsum(counts))), [0] + [10**12] * len(lengths)
+    for _ in range(6):
+        best = [0] + [min(best[i] + (before[j] - before[i]) * lengths[j - 1] for i in range(j)) for j in range(1, len(lengths) + 1)]
+    bounds = packing.optimal_boundaries(lengths, counts, 6)
+    assert sum(c * min(b for b in bounds if b >= n) for n, c in zip(lengths, counts, strict=True)) == best[-1]
     out = packing.pack(docs, token_budget=500, shard_tokens=3000).collect()
     assert sorted(r["doc_id"] for r in out) == list(range(len(texts)))
     batches = collections.defaultdict(list)
