@@ -63,7 +63,9 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     """``k, line_no``: the lines (from 0) that match a recurring template; ``k`` as of :func:`document_key`.
 
     The texts are read twice: once for a compact table with three hashes a
-    line, once for the words of those different lines whose leaf recurs.
+    line, once for the words of those different lines whose leaf recurs. Lines
+    are exploded as outer ones: else the planner would make them once more for
+    a filter on their number.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.transform(F.split(t, "\n"), lambda x: F.md5(x)).alias("digests"), _masked_lines(t).alias("lines"))
@@ -71,13 +73,13 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     rows = rows.select("k", "lines", F.transform("digests", lambda x: x == F.col("first")).alias("own"), "first", F.array_min(F.filter("digests", lambda x: x != F.col("first"))).alias("second"))
     rows = rows.select("k", _short(F.col("first")).alias("first"), _short(F.coalesce("second", "first")).alias("second"), F.arrays_zip("lines", "own").alias("lines"))
     n, leaf = _placed(F.col("m"), depth)
-    flat = rows.select("k", "first", "second", F.posexplode("lines").alias("line_no", "x")).select("k", "line_no", F.when(F.col("x.own"), F.col("second")).otherwise(F.col("first")).alias("sig"), F.col("x.lines").alias("m"))
+    flat = rows.select("k", "first", "second", F.posexplode_outer("lines").alias("line_no", "x")).select("k", "line_no", F.when(F.col("x.own"), F.col("second")).otherwise(F.col("first")).alias("sig"), F.col("x.lines").alias("m"))
     flat = flat.select("k", "line_no", "sig", "m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
     flat = written(flat.select("k", "line_no", "sig", "leaf", F.xxhash64("m").alias("h")), "lines")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
     busy = checked(written(flat.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves"))
     kinds = written(flat.join(busy, "leaf", "left_semi").select("leaf", "h", "sig").distinct(), "line-kinds")
-    again = docs.select(F.explode(_masked_lines(t)).alias("m")).select("m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
+    again = docs.select(F.explode_outer(_masked_lines(t)).alias("m")).select("m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
     forms = again.join(busy, "leaf", "left_semi").select("leaf", F.xxhash64("m").alias("h"), "m").distinct()
     tokens = F.transform(F.split("m", " "), lambda x: F.when(x != VARIABLE, F.xxhash64(x)))
     forms = written(forms.select("leaf", "h", tokens.alias("tokens")), "line-forms")
