@@ -40,7 +40,7 @@ def collapse(text: Column) -> Column:
 def normalize_title(title: Column, entities: bool = True) -> Column:
     """Lower-case letters, digits and single spaces of a title."""
     known = decode_entities(title) if entities else title
-    return F.regexp_replace(collapse(F.lower(known)), "[^a-z0-9 ]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(collapse(F.lower(known)), "[^a-z0-9 ]", ""), " +", " "))
 
 
 def clean_summary(text: Column, entities: bool = True) -> Column:
@@ -49,11 +49,35 @@ def clean_summary(text: Column, entities: bool = True) -> Column:
     return F.nullif(collapse(F.regexp_replace(known, "<[^>]*>", " ")), F.lit(""))
 
 
-def page_text(page: Column) -> Column:
-    """Readable text of a page: no scripts, styles, navigation or footers, cut at a "related news" heading."""
+#: Fixed value: what heads a list of other news below an article.
+RELATED = r"(?is)>\s*(?:More\s+News\s+From|Related\s+(?:News|Press\s+Releases|Articles)|Also\s+from\s+this\s+source)\b.*$"
+#: A div that a side bar's class names, and all that it holds, by number of nested divs.
+_SIDEBAR = r'<div\b[^>]*\bclass="[^"]*sidebar[^"]*"[^>]*>'
+
+
+def _balanced_div(depth: int) -> str:
+    """Pattern of what stands inside a div up to its end, other divs nested up to ``depth``."""
+    plain = r"(?:(?!</?div\b).)*+"
+    inner = plain
+    for _ in range(depth):
+        inner = rf"{plain}(?:<div\b[^>]*>{inner}</div>{plain})*+"
+    return inner
+
+
+def without_noise(page: Column, depth: int = 5) -> Column:
+    """A page without scripts, styles, navigation, asides, footers and side bars, cut at a heading of related news.
+
+    A side bar ends where its own div does, with divs nested up to ``depth``; one that never ends goes up to the page's end.
+    """
     out = F.regexp_replace(page, r"(?is)<(script|style|nav|aside|footer)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?is)<(h[1-6]|div|p|section)[^>]*>\s*related news.*$", " ")
-    return F.nullif(collapse(decode_entities(F.regexp_replace(out, "<[^>]*>", " "))), F.lit(""))
+    bars = F.regexp_replace(F.regexp_replace(out, rf"(?is){_SIDEBAR}{_balanced_div(depth)}</div>", " "), rf"(?is){_SIDEBAR}.*$", " ")
+    out = F.when(F.contains(F.lower(out), F.lit("sidebar")), bars).otherwise(out)
+    return F.regexp_replace(out, RELATED, ">")
+
+
+def page_text(page: Column) -> Column:
+    """Readable text of a page; null where nothing is left."""
+    return F.nullif(collapse(decode_entities(F.regexp_replace(without_noise(page), "<[^>]*>", " "))), F.lit(""))
 
 
 def url_part(url: Column, part: str) -> Column:
@@ -62,7 +86,9 @@ def url_part(url: Column, part: str) -> Column:
 
 
 def canonical_query(query: Column) -> Column:
-    """Parameters without tracking and blank ones, sorted by name and value."""
+    """Parameters without tracking and blank ones, decoded, sorted by name and value, and encoded again, so that spellings of one query agree."""
+    decoded = lambda c: F.coalesce(F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")), c)
+    encoded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pairs = F.transform(F.split(query, "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).otherwise("").alias("v")))
 
     def own(p: Column) -> Column:
@@ -72,7 +98,8 @@ def canonical_query(query: Column) -> Column:
             tracked = tracked | name.startswith(start)
         return (p["v"] != "") & ~tracked
 
-    return F.array_join(F.transform(F.array_sort(F.filter(pairs, own)), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    plain = F.transform(pairs, lambda p: F.struct(decoded(p["k"]).alias("k"), decoded(p["v"]).alias("v")))
+    return F.array_join(F.transform(F.array_sort(F.filter(plain, own)), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
 
 
 def canonicalize_url(url: Column) -> Column:

@@ -28,37 +28,72 @@ def clean_marks(marks: Column) -> Column:
     return F.map_filter(F.transform_values(marks, lambda k, v: v.try_cast("bigint")), lambda k, v: F.coalesce(v > 0, F.lit(False)))
 
 
-def scope_hits(scopes: DataFrame, links: DataFrame, top: DataFrame, per_scope: int = 25) -> DataFrame:
+def with_query(scopes: DataFrame) -> DataFrame:
+    """Scopes (``id, scope, tickers, provider, q, mark``) with ``query``, one text per different set of symbols, provider and text; empty for all news."""
+    parts = [F.array_join(F.array_sort(F.coalesce("tickers", F.array().cast("array<string>"))), ","), F.coalesce(F.lower("provider"), F.lit("")), F.coalesce(F.lower("q"), F.lit(""))]
+    text = F.concat_ws("|", *parts)
+    return scopes.withColumn("query", F.when(text == "||", "").otherwise(text))
+
+
+def query_matches(scopes: DataFrame, articles: DataFrame, links: DataFrame, facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``query, article_id``: the articles that each different query of ``scopes`` reaches, each once.
+
+    Without symbols a query reaches articles with any active symbol. A provider
+    that is a source's name goes by the source of an article's raw items
+    (``facts`` as of the news list: own link before newest), or by the text of
+    the provider's label where there are none; any other name by that text. A
+    text has to be in the title or in an active symbol. All joins are by
+    equality, on symbols or on labels of providers (names that hold a text are
+    found among the different labels only); queries of a text alone meet each
+    title, and are dealt once however many scopes share them.
+    """
+    asked = scopes.where("query <> ''").groupBy("query").agg(F.first("tickers").alias("tickers"), F.lower(F.first("provider")).alias("provider"), F.lower(F.first("q")).alias("q"))
+    names = sources.select(F.col("id").alias("s_id"), F.lower("name").alias("name"))
+    found = facts.withColumn("s_id", F.coalesce("canonical_source", "latest_source")).join(names, "s_id", "left").select(F.col("article_id").alias("f_id"), "name")
+    label = F.lower(F.coalesce("provider_name", F.lit("")))
+    by = F.array(F.concat(F.lit("t:"), label), F.when(F.col("f_id").isNull(), F.concat(F.lit("p:"), label)).otherwise(F.concat(F.lit("s:"), F.coalesce("name", F.lit("")))))
+    own = links.groupBy(F.col("article_id").alias("l_id")).agg(F.collect_set("symbol").alias("symbols"))
+    rows = articles.join(own, F.col("id") == F.col("l_id")).join(found, F.col("id") == F.col("f_id"), "left").select(F.col("id").alias("article_id"), F.lower("title").alias("title"), by.alias("by"), "symbols")
+    labels = articles.select(label.alias("label")).distinct()
+    wanted = asked.where("provider is not null").select("provider").distinct().join(names.select(F.col("name").alias("provider"), F.lit(True).alias("known")), "provider", "left")
+    texts = wanted.join(labels, F.contains("label", F.col("provider")), "left").groupBy("provider").agg(F.first("known").alias("known"), F.collect_set("label").alias("labels"))
+    keyed = F.when(F.col("known"), F.concat(F.array(F.concat(F.lit("s:"), "provider")), F.transform("labels", lambda x: F.concat(F.lit("p:"), x)))).otherwise(F.transform("labels", lambda x: F.concat(F.lit("t:"), x)))
+    asked = asked.join(texts.select("provider", keyed.alias("keys")), "provider", "left")
+    fits = (F.col("provider").isNull() | F.coalesce(F.arrays_overlap("by", "keys"), F.lit(False))) & (F.col("q").isNull() | F.contains("title", F.col("q")) | F.exists("symbols", lambda x: F.contains(x, F.upper("q"))))
+    by_symbol = asked.where("tickers is not null").withColumn("symbol", F.explode("tickers")).join(links, "symbol").select("query", "provider", "q", "keys", "article_id").join(rows, "article_id")
+    by_name = asked.where("tickers is null and provider is not null").withColumn("key", F.explode("keys")).join(rows.withColumn("key", F.explode("by")), "key")
+    by_text = asked.where("tickers is null and provider is null").join(rows, F.contains("title", F.col("q")) | F.exists("symbols", lambda x: F.contains(x, F.upper("q"))))
+    out = by_symbol.where(fits).select("query", "article_id").union(by_name.where(fits).select("query", "article_id")).union(by_text.select("query", "article_id"))
+    return out.union(links.select(F.lit(""), "article_id")).distinct()
+
+
+def scope_hits(scopes: DataFrame, matches: DataFrame, per_scope: int = 25) -> DataFrame:
     """``id, scope, article_id``: new articles of each scope, oldest first, ``per_scope`` at most (the limit is the feature).
 
-    ``scopes``: ``id, scope, ticker (null: all news), mark``; a scope without a
-    mark gets its newest article as its mark and alerts nothing. ``links``:
-    ``article_id, symbol``, what an article is reached by. Scopes with a symbol
-    meet links by equality. All-news scopes share one list of articles per
-    mark, so they meet it by mark: first the marks are joined to their next
-    ``per_scope`` articles, then scopes to marks.
+    ``scopes`` with ``query``; a scope without a mark gets its newest article
+    as its mark and alerts nothing. Scopes that ask the same from the same mark
+    on share one list: queries' marks meet their next articles, then scopes
+    meet these, so no scope meets all its articles.
     """
-    listed = scopes.where("ticker is not null and mark > 0").join(links, F.col("ticker") == F.col("symbol")).where("article_id > mark").select("id", "scope", "article_id")
-    place = F.row_number().over(Window.partitionBy("id", "scope").orderBy("article_id"))
-    listed = listed.distinct().withColumn("place", place).where(F.col("place") <= per_scope).drop("place")
-    marks = scopes.where("ticker is null and mark > 0").select("mark").distinct()
-    return listed.unionByName(scopes.where("ticker is null and mark > 0").select("id", "scope", "mark").join(next_after(marks, top, per_scope), "mark").select("id", "scope", "article_id"))
+    marked = scopes.where("mark > 0").select("id", "scope", "query", "mark")
+    return marked.join(next_after(marked.select("query", "mark").distinct(), matches, per_scope), ["query", "mark"]).select("id", "scope", "article_id")
 
 
 def next_after(marks: DataFrame, articles: DataFrame, n: int, width: int = 1_000_000) -> DataFrame:
-    """``mark, article_id``: the ``n`` lowest article ids above each mark.
+    """``query, mark, article_id``: the ``n`` lowest article ids of each query above each mark.
 
-    Ids and marks are numbered together inside ranges of ``width`` ids; the
-    numbers of articles before each range come from one row per range.
+    A query's ids and marks are numbered together inside ranges of ``width``
+    ids; the numbers of articles before each range come from one row per query
+    and range.
     """
-    ids = articles.select(F.col("article_id").alias("v"), F.lit(1).alias("a")).distinct()
-    both = ids.union(marks.select("mark", F.lit(0))).withColumn("part", F.floor(F.col("v") / width))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = both.groupBy("part").agg(F.sum("a").alias("c")).select("part", before.alias("before"))
-    own = F.sum("a").over(Window.partitionBy("part").orderBy("v", F.desc("a")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("own", own).join(starts, "part").select("v", "a", (F.col("own") + F.col("before")).alias("r"))
-    wanted = placed.where("a = 0").select(F.col("v").alias("mark"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + n)).alias("r"))
-    return wanted.join(placed.where("a = 1").select(F.col("v").alias("article_id"), "r"), "r").select("mark", "article_id")
+    ids = articles.select("query", F.col("article_id").alias("v"), F.lit(1).alias("a"))
+    both = ids.union(marks.select("query", "mark", F.lit(0))).withColumn("part", F.floor(F.col("v") / width))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = both.groupBy("query", "part").agg(F.sum("a").alias("c")).select("query", "part", before.alias("before"))
+    own = F.sum("a").over(Window.partitionBy("query", "part").orderBy("v", F.desc("a")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("own", own).join(starts, ["query", "part"]).select("query", "v", "a", (F.col("own") + F.col("before")).alias("r"))
+    wanted = placed.where("a = 0").select("query", F.col("v").alias("mark"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + n)).alias("r"))
+    return wanted.join(placed.where("a = 1").select("query", F.col("v").alias("article_id"), "r"), ["query", "r"]).select("query", "mark", "article_id")
 
 
 def payloads(hits: DataFrame, articles: DataFrame, symbols: DataFrame, named: int = 5) -> DataFrame:
@@ -71,23 +106,44 @@ def payloads(hits: DataFrame, articles: DataFrame, symbols: DataFrame, named: in
     return head.join(tags.select("id", text.alias("tickers")), "id", "left").select("id", "n", F.coalesce("tickers", F.lit("General")).alias("tickers"), "title", "newest")
 
 
-def advance(scopes: DataFrame, hits: DataFrame, delivered: DataFrame, newest: DataFrame) -> DataFrame:
-    """Marks after a cycle: the highest delivered id per scope; scopes without a mark start at their newest article (``scope_key, newest``)."""
+def advance(scopes: DataFrame, hits: DataFrame, delivered: DataFrame, matches: DataFrame) -> DataFrame:
+    """Marks after a cycle: the highest delivered id per scope; scopes without a mark start at the newest article that they reach."""
+    newest = matches.groupBy("query").agg(F.max("article_id").alias("newest"))
     top = hits.join(delivered.where("ok").select("id").distinct(), "id", "left_semi").groupBy("id", "scope").agg(F.max("article_id").alias("top"))
-    rows = scopes.join(top, ["id", "scope"], "left").join(newest, F.coalesce("ticker", F.lit("")) == F.col("scope_key"), "left")
+    rows = scopes.join(top, ["id", "scope"], "left").join(newest, "query", "left")
     mark = F.when(F.coalesce("mark", F.lit(0)) <= 0, F.coalesce("newest", F.lit(0))).otherwise(F.greatest("mark", "top"))
-    return rows.select("id", "scope", "ticker", mark.alias("mark"))
+    return rows.select("id", "scope", "query", mark.alias("mark"))
 
 
-def fold_outcomes(results: DataFrame, most_failures: int = 20) -> DataFrame:
-    """State of each subscription after its deliveries in order: failures since the last success, whether it is still active.
+def fold_outcomes(results: DataFrame, most_failures: int = 20, state: DataFrame | None = None, most_text: int = 500) -> DataFrame:
+    """State of each subscription after its deliveries in order: failures since the last success, whether it is still active, the last error's text.
 
-    ``results``: ``id, at, outcome (ok, gone, error)``. Gone ends it, as do ``most_failures`` errors in a row.
+    ``results``: ``id, at, outcome (ok, gone, error)``, and ``error`` if there
+    are texts; ``state``: what was stored before, in the form returned. Gone
+    ends a subscription, as do ``most_failures`` errors in a row; a success
+    clears failures and text.
     """
-    last = results.groupBy("id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("at"))).alias("last_ok"), F.bool_or(F.col("outcome") == "gone").alias("gone"))
-    fails = results.join(last, "id").where("outcome = 'error' and (last_ok is null or at > last_ok)").groupBy("id").agg(F.count("*").alias("failures"))
-    rows = last.join(fails, "id", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
-    return rows.select("id", "failures", (~F.col("gone") & (F.col("failures") < most_failures)).alias("active"), "last_ok")
+    text = F.substring("error", 1, most_text) if "error" in results.columns else F.lit(None).cast("string")
+    last = results.groupBy("id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("at"))).alias("n_ok"), F.bool_or(F.col("outcome") == "gone").alias("gone"))
+    since = results.join(last, "id").where("outcome = 'error' and (n_ok is null or at > n_ok)").groupBy("id").agg(F.count("*").alias("n_failures"), F.max_by(text, "at").alias("n_error"))
+    rows = last.join(since, "id", "left")
+    if state is None:
+        rows = rows.withColumns({"failures": F.lit(0).cast("bigint"), "active": F.lit(True), "last_ok": F.lit(None).cast(results.schema["at"].dataType), "last_error": F.lit(None).cast("string")})
+    else:
+        rows = state.join(rows, "id", "full_outer")
+    kept = F.when(F.col("n_ok").isNotNull(), 0).otherwise(F.coalesce("failures", F.lit(0)))
+    failures = kept + F.coalesce("n_failures", F.lit(0))
+    active = F.coalesce("active", F.lit(True)) & ~F.coalesce("gone", F.lit(False)) & (failures < most_failures)
+    error = F.coalesce("n_error", F.when(F.col("n_ok").isNull(), F.col("last_error")))
+    return rows.select("id", failures.alias("failures"), active.alias("active"), F.coalesce("n_ok", "last_ok").alias("last_ok"), error.alias("last_error"))
+
+
+def outcome_totals(scopes: DataFrame, results: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``scanned, sent, failed, deactivated`` of a cycle: subscriptions looked at, deliveries by outcome, and those active before and no more."""
+    looked = scopes.agg(F.count_distinct("id").alias("scanned"))
+    sent = results.agg(F.count_if(F.col("outcome") == "ok").alias("sent"), F.count_if(F.col("outcome").isin("error", "gone")).alias("failed"))
+    ended = after.where("not active").join(before.where("active").select("id"), "id", "left_semi").agg(F.count("*").alias("deactivated"))
+    return looked.crossJoin(sent).crossJoin(ended)  # one row each
 
 
 def unread(totals: DataFrame, reads: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ def _ranked(articles: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def _merged(rows: DataFrame, keys: list[str], rank: Column, tie: Column) -> DataFrame:
     """One row per group of two or more: the winner's id, and what the merge leaves it with. ``tie`` orders equally long summaries (largest first)."""
+    alerted = [F.min("first_alert_sent_at").alias("first_alert_sent_at")] if "first_alert_sent_at" in rows.columns else []
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("n_members"), F.max_by("id", rank).alias("winner"), F.max_by("summary", F.struct(F.col("n_chars"), tie)).alias("summary"), F.max("published_at").alias("published_at"),
-        F.min(F.coalesce("first_seen_at", "created_at")).alias("first_seen_at"),
+        F.min(F.coalesce("first_seen_at", "created_at")).alias("first_seen_at"), *alerted,
     )
     return out.where("n_members > 1")
 
@@ -32,15 +33,28 @@ def url_groups(articles: DataFrame, mappings: DataFrame, host: str) -> DataFrame
     return _merged(rows, ["url"], rank, -F.col("id"))
 
 
+def url_members(articles: DataFrame, host: str) -> DataFrame:
+    """``id, url`` of the articles that :func:`url_groups` looks at."""
+    return articles.where(host_is(F.col("canonical_url"), host)).select("id", article_url(canonicalize_url(F.col("canonical_url"))).alias("url"))
+
+
 def anchors(times: DataFrame, key: str, ts: str, hours: int = 48) -> DataFrame:
     """``key, anchors``: where clusters of a key start, so that each row is within ``hours`` of the first of its cluster.
 
-    The fold runs over a key's distinct times, not its rows.
+    The fold runs over a key's distinct seconds, not its rows, and takes a step
+    per hour that has any: clusters start at least ``hours`` apart, so at most
+    one starts in an hour.
     """
     t = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-    sets = times.groupBy(key).agg(F.sort_array(F.collect_set(t)).alias("ts"))
-    fold = F.aggregate("ts", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) > hours * 3600), F.array_append(a, x)).otherwise(a))
-    return sets.select(key, fold.alias("anchors"))
+    by_hour = times.select(key, t.alias("t")).groupBy(key, F.floor(F.col("t") / 3600).alias("hour")).agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    sets = by_hour.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("hour", "ts"))).alias("hours"))
+    state = F.struct(F.array().cast("array<bigint>").alias("a"), F.lit(-(1 << 60)).cast("bigint").alias("last"))
+
+    def step(s: Column, h: Column) -> Column:
+        start = F.array_min(F.filter(h["ts"], lambda x: x > s["last"] + hours * 3600))
+        return F.when(start.isNull(), s).otherwise(F.struct(F.array_append(s["a"], start).alias("a"), start.alias("last")))
+
+    return sets.select(key, F.aggregate("hours", state, step, lambda s: s["a"]).alias("anchors"))
 
 
 def clusters(articles: DataFrame, hours: int = 48) -> DataFrame:
@@ -85,8 +99,29 @@ def losers(groups: DataFrame, member_rows: DataFrame, keys: list[str]) -> DataFr
     return member_rows.join(groups.select(*keys, "winner"), keys).where("id != winner").select("id", "winner")
 
 
-def statistics(groups: DataFrame) -> DataFrame:
-    return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n_members"), F.lit(0)).alias("scanned"), F.coalesce(F.sum(F.col("n_members") - 1), F.lit(0)).alias("deleted"))
+def merged_articles(articles: DataFrame, groups: DataFrame, losers: DataFrame) -> DataFrame:
+    """Articles after a merge, all columns kept: losers are gone, winners have what the plan leaves them with, with a plan by URL also that URL and its hash."""
+    names = [c for c in ("summary", "published_at", "first_seen_at", "first_alert_sent_at") if c in groups.columns and c in articles.columns]
+    plan = groups.select(F.col("winner").alias("w_id"), *[F.col(c).alias(f"w_{c}") for c in names], *([F.col("url").alias("w_url")] if "url" in groups.columns else []))
+    rows = articles.join(losers.select("id"), "id", "left_anti").join(plan, F.col("id") == F.col("w_id"), "left")
+    won = F.col("w_id").isNotNull()
+    pick = {c: F.when(won, F.col(f"w_{c}")).otherwise(F.col(c)) for c in names}
+    if "url" in groups.columns:
+        pick |= {"canonical_url": F.coalesce("w_url", "canonical_url"), "canonical_url_hash": F.when(won, F.sha2("w_url", 256)).otherwise(F.col("canonical_url_hash"))}
+    return rows.select(*[pick.get(c, F.col(c)).alias(c) for c in articles.columns])
+
+
+def statistics(groups: DataFrame, losers: DataFrame, raw_items: DataFrame, mappings: DataFrame) -> DataFrame:
+    """One row of counts: articles in groups, groups, articles merged, raw items moved, and mappings moved, raised and deleted."""
+    gone = losers.select(F.col("id").alias("article_id"), "winner")
+    plan = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n_members"), F.lit(0)).alias("scanned"), F.coalesce(F.sum(F.col("n_members") - 1), F.lit(0)).alias("merged"))
+    items = raw_items.join(gone, "article_id", "left_semi").agg(F.count("*").alias("raw_items_relinked"))
+    moved = mappings.join(gone, "article_id").groupBy("winner", "ticker_id").agg(F.count("*").alias("n"))
+    own = mappings.select(F.col("article_id").alias("winner"), "ticker_id", F.lit(True).alias("held"))
+    moved = moved.join(own, ["winner", "ticker_id"], "left").withColumn("first", F.when(F.col("held").isNull(), 1).otherwise(0))
+    links = moved.agg(F.coalesce(F.sum("first"), F.lit(0)).cast("bigint").alias("mappings_relinked"), F.coalesce(F.sum(F.col("n") - F.col("first")), F.lit(0)).alias("mappings_deleted"))
+    raised = rises(mappings, losers).agg(F.coalesce(F.sum("updated"), F.lit(0)).alias("mappings_updated"))
+    return plan.crossJoin(items).crossJoin(links).crossJoin(raised)  # one row each
 
 
 def rises(mappings: DataFrame, losers: DataFrame) -> DataFrame:

@@ -25,11 +25,33 @@ def run_status(runs: DataFrame, sources: DataFrame) -> DataFrame:
     return by.join(sources.select(F.col("id").alias("source_id"), "code"), "source_id").select("code", "n_runs", "n_failed", "seen", "inserted", "any_skipped", "last_inserted")
 
 
+def cycle_totals(runs: DataFrame) -> DataFrame:
+    """One row: items seen and inserted, failed feeds, and whether any feed failed to notify of new items (``notified``, if there is such a column)."""
+    failed = F.bool_or(~F.coalesce("notified", F.lit(True))) if "notified" in runs.columns else F.lit(False)
+    return runs.agg(F.coalesce(F.sum("items_seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("items_inserted"), F.lit(0)).alias("inserted"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(failed, F.lit(False)).alias("notify_failed"))
+
+
+def feed_results(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """A cycle's results per feed, in order of source and URL."""
+    rows = runs.join(sources.select(F.col("id").alias("source_id"), "code"), "source_id")
+    return rows.groupBy("code", "feed_url").agg(F.sum("items_seen").alias("seen"), F.sum("items_inserted").alias("inserted"), F.count_if(F.col("status") == "failed").alias("failed")).orderBy("code", "feed_url")
+
+
+def last_cycle(runs: DataFrame, cycle: Column) -> DataFrame:
+    """Gauges of the cycle that finished last: when, how long it took, items seen and inserted, failed feeds. ``cycle`` names a run's cycle."""
+    by = runs.withColumn("cycle", cycle).groupBy("cycle").agg(
+        F.min("started_at").alias("began"), F.max("finished_at").alias("finished_at"), F.sum("items_seen").alias("seen"), F.sum("items_inserted").alias("inserted"), F.count_if(F.col("status") == "failed").alias("failed_feeds")
+    )
+    done = by.where("finished_at is not null")
+    top = done.agg(F.max_by(F.struct("cycle", "finished_at", F.timestamp_diff("SECOND", F.col("began"), F.col("finished_at")).alias("duration_s"), "seen", "inserted", "failed_feeds"), F.struct("finished_at", "cycle")).alias("t"))
+    return top.where("t is not null").select("t.*")
+
+
 def latest_runs(runs: DataFrame, sources: DataFrame, limit: int = 200, since: str | None = None) -> DataFrame:
     """The newest runs with their source's code (the limit is the feature)."""
     rows = runs if since is None else runs.where(F.col("started_at") >= F.lit(since).cast("timestamp_ntz"))
     top = rows.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
-    return top.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "code")), "source_id").select("id", "code", "feed_url", "started_at", "status")
+    return top.join(sources.select(F.col("id").alias("source_id"), "code"), "source_id").select("id", "code", "feed_url", "started_at", "status")
 
 
 def feed_backoff(runs: DataFrame, base: float = 30.0, cap: float = 3600.0) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiremill.operators import extract
+from wiremill.operators.upsert import merge_mappings
+
 VERSION = 10
 PERSIST, PRESERVE = 0.65, 0.70
 
@@ -21,10 +24,15 @@ def stale_articles(mappings: DataFrame, version: int = VERSION, limit: int | Non
     return rows if limit is None else rows.orderBy(F.desc("article_id")).limit(limit)
 
 
+def preserved_mapping() -> Column:
+    """Whether a mapping (with ``active`` of its symbol) is good enough to stay without a new look."""
+    return (F.col("confidence") >= PRESERVE) & (F.col("match_type") != "token") & F.coalesce("active", F.lit(False))
+
+
 def mapping_facts(mappings: DataFrame, tickers: DataFrame) -> DataFrame:
     """Per mapped article what a purge looks at."""
-    rows = mappings.join(F.broadcast(tickers.select(F.col("id").alias("ticker_id"), "active")), "ticker_id", "left")
-    keep = (F.col("confidence") >= PRESERVE) & (F.col("match_type") != "token") & F.coalesce("active", F.lit(False))
+    rows = mappings.join(tickers.select(F.col("id").alias("ticker_id"), "active"), "ticker_id", "left")
+    keep = preserved_mapping()
     return rows.groupBy("article_id").agg(
         F.max("confidence").alias("best"), F.bool_or(F.col("match_type") == "token").alias("has_token"), F.bool_or(F.col("extraction_version") < VERSION).alias("stale"),
         F.count("*").alias("n"), F.count_if(keep).alias("preserved"), F.count_if(~keep & (F.col("match_type") != "token")).alias("doubtful"),
@@ -83,8 +91,89 @@ def revalidate_stale(mappings: DataFrame, links: DataFrame, with_items: DataFram
     plan = old.join(found, "article_id", "left").withColumn("stamp", F.col("item").isNull() | F.col("found").isNotNull()).where("stamp").select("article_id", F.coalesce("item", F.lit(False)).alias("item"))
     new = links.join(plan.where("item"), "article_id", "left_semi").select("article_id", "ticker_id", F.col("match_type").alias("n_type"), F.col("confidence").alias("n_conf"))
     rows = mappings.join(new, ["article_id", "ticker_id"], "full_outer").join(plan.select("article_id", F.lit(True).alias("stamp")), "article_id", "left")
-    version = F.when(F.col("stamp"), VERSION).otherwise(F.col("extraction_version"))
-    return rows.select("article_id", "ticker_id", F.coalesce("n_type", "match_type").alias("match_type"), F.coalesce("n_conf", "confidence").alias("confidence"), version.cast("int").alias("extraction_version"))
+    version = F.when(F.col("stamp"), VERSION).otherwise(F.col("extraction_version")).cast("int")
+    pick = {"match_type": F.coalesce("n_type", "match_type"), "confidence": F.coalesce("n_conf", "confidence"), "extraction_version": version}
+    return rows.select(*[pick.get(c, F.col(c)).alias(c) for c in mappings.columns])
+
+
+def reextracted(contexts: DataFrame, articles: DataFrame, known: DataFrame, profile: DataFrame, pages: DataFrame | None = None, policies: DataFrame | None = None, wanted: DataFrame | None = None, table_type: str = "table") -> DataFrame:
+    """``article_id, symbol, match_type, confidence``: links of articles found anew in their raw contexts.
+
+    ``contexts`` as of :func:`raw_contexts`, looked at from the newest on: first
+    an article's own texts with the context's link and feed, then the landed
+    page of the link (``pages``: ``link, html``), both verified by the policy
+    of the context's source (``policies``: ``source_id, policy``). The highest
+    confidence counts, of equal ones the first. With ``wanted`` (``article_id,
+    symbol``), an article's later contexts don't count once all of its wanted
+    symbols are verified, as in a purge.
+    """
+    rows = contexts.join(articles.select(F.col("id").alias("article_id"), "title", "summary", "canonical_url"), "article_id")
+    rows = rows.select(F.struct("article_id", "context_order", "feed_url").alias("id"), "source_id", "title", "summary", F.coalesce("link", "canonical_url").alias("link"), "feed_url")
+    found = extract.decided(rows, known, profile).withColumn("step", F.lit(0))
+    if pages is not None:
+        found = found.unionByName(extract.page_evidence(rows.join(pages, "link"), known, profile, table_type).withColumn("step", F.lit(1)))
+    found = found.join(rows.select("id", "source_id"), "id")
+    if policies is not None:
+        found = found.join(policies, "source_id", "left")
+        found = extract.verified(found, F.coalesce("policy", F.lit("validated_mapping_required")))
+    else:
+        found = extract.verified(found)
+    hits = found.select("id.article_id", (2 * F.col("id.context_order") + F.col("step")).alias("context_order"), "symbol", "match_type", "confidence")
+    if wanted is not None:
+        hits = stop_contexts(hits, wanted)
+    top = hits.groupBy("article_id", "symbol").agg(F.max_by(F.struct("match_type", "confidence"), F.struct("confidence", -F.col("context_order"), F.col("match_type"))).alias("b"))
+    return top.select("article_id", "symbol", "b.match_type", "b.confidence")
+
+
+def applied(articles: DataFrame, mappings: DataFrame, raw_items: DataFrame, actions: DataFrame, links: DataFrame, prune: bool = True, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The next articles, mappings and raw items after a revalidation, and its counts.
+
+    ``actions``: ``article_id, action``: ``kept`` takes over ``links``
+    (``article_id, ticker_id, match_type, confidence``) and with ``prune`` loses
+    mappings that these lack; ``pruned`` loses its mappings; ``deleted`` also
+    goes itself, and its raw items are detached. Other articles stay as they are.
+    """
+    of = lambda what: actions.where(F.col("action") == what).select("article_id")
+    gone = actions.where(F.col("action").isin("pruned", "deleted")).select("article_id")
+    new = links.join(of("kept"), "article_id", "left_semi").withColumn("extraction_version", F.lit(VERSION))
+    left = mappings.join(gone, "article_id", "left_anti")
+    next_mappings = merge_mappings(left, new, force=force, prune=of("kept") if prune else None)
+    dead = of("deleted").withColumnRenamed("article_id", "d_id")
+    next_articles = articles.join(dead, F.col("id") == F.col("d_id"), "left_anti")
+    items = raw_items.join(dead, F.col("article_id") == F.col("d_id"), "left")
+    next_items = items.select(*[F.when(F.col("d_id").isNull(), F.col("article_id")).alias("article_id") if c == "article_id" else F.col(c) for c in raw_items.columns])
+    keys = ["article_id", "ticker_id"]
+    counts = actions.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("kept", "pruned", "deleted")])
+    counts = counts.crossJoin(mappings.join(next_mappings.select(*keys), keys, "left_anti").agg(F.count("*").alias("mappings_deleted")))
+    counts = counts.crossJoin(raw_items.join(dead, F.col("article_id") == F.col("d_id"), "left_semi").agg(F.count("*").alias("raw_items_detached")))  # one row each
+    return next_articles, next_mappings, next_items, counts
+
+
+def purged(articles: DataFrame, mappings: DataFrame, raw_items: DataFrame, tickers: DataFrame, plan: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The next tables after a :func:`purge_plan`, and counts.
+
+    ``preserve`` leaves an article with its good mappings only, ``apply`` with
+    the new ``links``, both stamped with the present version; ``stamp`` stamps
+    the good ones and leaves the rest for another look; ``clear`` deletes the
+    article and detaches its raw items.
+    """
+    good = mappings.join(tickers.select(F.col("id").alias("ticker_id"), "active"), "ticker_id", "left").where(preserved_mapping()).select(*mappings.columns)
+    of = lambda *what: plan.where(F.col("action").isin(*what)).select("article_id")
+    kept = good.join(of("preserve"), "article_id", "left_semi").select("article_id", "ticker_id", "match_type", "confidence")
+    new = links.join(of("apply"), "article_id", "left_semi").select("article_id", "ticker_id", "match_type", "confidence")
+    action = F.when(F.col("action").isin("preserve", "apply"), "kept").when(F.col("action") == "clear", "deleted").otherwise("left")
+    out = applied(articles, mappings, raw_items, plan.select("article_id", action.alias("action")), kept.unionByName(new))
+    marks = good.join(of("stamp"), "article_id", "left_semi").union(out[1].select(*mappings.columns).join(of("preserve", "apply"), "article_id", "left_semi")).select("article_id", "ticker_id").distinct().withColumn("stamp", F.lit(True))
+    rows = out[1].join(marks, ["article_id", "ticker_id"], "left")
+    version = F.when(F.col("stamp"), F.greatest("extraction_version", F.lit(VERSION))).otherwise(F.col("extraction_version")).cast("int")
+    next_mappings = rows.select(*[version.alias(c) if c == "extraction_version" else F.col(c) for c in mappings.columns])
+    return out[0], next_mappings, out[2], out[3]
+
+
+def remapped(mappings: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Mappings after the articles in ``chosen`` (``article_id``) were looked at anew: links are added or raised; an article without any stays as it is."""
+    new = links.join(chosen.select("article_id").distinct(), "article_id", "left_semi").withColumn("extraction_version", F.lit(VERSION))
+    return merge_mappings(mappings, new)
 
 
 def remap_candidates(articles: DataFrame, raw_items: DataFrame, mappings: DataFrame, source_id: int, only_unmapped: bool = True, limit: int = 500) -> DataFrame:
@@ -110,6 +199,13 @@ def mark_alerted(articles: DataFrame, ids: DataFrame, now: str) -> DataFrame:
     return rows.withColumn("first_alert_sent_at", at).drop("w_id")
 
 
+def alert_counts(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """``requested, marked``: different ids given, and those among them that :func:`mark_alerted` marks."""
+    wanted = ids.select("id").distinct()
+    new = articles.where("first_alert_sent_at is null").join(wanted, "id", "left_semi")
+    return wanted.agg(F.count("*").alias("requested")).crossJoin(new.agg(F.count("*").alias("marked")))  # one row each
+
+
 def newest_read_keys(reads: DataFrame, most: int = 20_000) -> DataFrame:
     """Each reader's last ``most`` keys by time of reading (the limit is the feature)."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wiremill.functions import text as T
 from wiremill.operators import health as H
 from wiremill.operators import news as N
-from wiremill.plans.oracle_model import MODEL, news, slot
+from wiremill.plans.oracle_model import MODEL, NORMAL, news, slot
 from wiremill.sources import model as M
 
 Q, SQL = {}, {}
@@ -60,6 +60,49 @@ def news_keyset_page(spark: SparkSession, d: str) -> DataFrame:
     return N.enriched(N.page(N.select_articles(f, include_unmapped=True), 60, ("2024-01-15 05:00:00", 400)), f)
 
 
+@query(f"{MODEL}, p AS (SELECT id, published_at, row_number() OVER (ORDER BY published_at DESC, id DESC) AS rn, count(*) OVER () AS n FROM articles a WHERE {MAPPED}) SELECT id, n > 20 AS has_more, CASE WHEN rn = 20 AND n > 20 THEN published_at END AS next_ts, CASE WHEN rn = 20 AND n > 20 THEN id ELSE -1 END AS next_id FROM p WHERE rn <= 20")
+def news_cursor(spark: SparkSession, d: str) -> DataFrame:
+    found = N.look_ahead(N.select_articles(feed(spark, d)), 20)
+    return found.select("id", "has_more", "next_ts", F.coalesce("next_id", F.lit(-1)).alias("next_id"))
+
+
+@query(f"{MODEL}, a1 AS (SELECT id, 'first' AS list FROM articles WHERE id % 2 = 0), a2 AS (SELECT id, 'second' AS list FROM articles WHERE id % 3 = 0) SELECT * FROM a1 UNION ALL SELECT * FROM a2 WHERE id NOT IN (SELECT id FROM a1)")
+def news_merge(spark: SparkSession, d: str) -> DataFrame:
+    ids = M.articles(spark, d).select("id")
+    return N.first_seen(ids.where("id % 2 = 0").withColumn("list", F.lit("first")), ids.where("id % 3 = 0").withColumn("list", F.lit("second")))
+
+
+@query(
+    f"""{MODEL}, own AS (SELECT a.id, a.title, a.summary, a.source_name, a.provider_name, list(symbol ORDER BY symbol) AS t FROM articles a JOIN active ON article_id = a.id GROUP BY ALL),
+    hay AS (SELECT *, lower(title || ' ' || summary || ' ' || source_name || ' ' || provider_name || ' ' || array_to_string(t, ' ')) AS h FROM own)
+    SELECT DISTINCT s.id AS scope_id, o.id AS article_id FROM (SELECT * FROM scopes WHERE scope <> 'all' AND id % 20 = 3) s JOIN hay o ON (s.tickers IS NULL OR list_has_any(s.tickers, o.t)) AND (s.provider IS NULL OR lower(s.provider) = lower(o.provider_name)) AND (s.q IS NULL OR contains(o.h, lower(s.q)))"""
+)
+def watchlist_matches(spark: SparkSession, d: str) -> DataFrame:
+    f = feed(spark, d)
+    own = N.active_mappings(f).groupBy("article_id").agg(F.sort_array(F.collect_list("symbol")).alias("tickers"))
+    rows = f.articles.join(own, F.col("id") == F.col("article_id"))
+    scopes = M.subscriptions(spark, d).where("scope <> 'all' and id % 20 = 3").withColumnRenamed("id", "scope_id")
+    return N.watchlist_match(rows, scopes)
+
+
+@query(f"{MODEL} SELECT CAST(sum(items_seen) AS BIGINT) AS seen, CAST(sum(items_inserted) AS BIGINT) AS inserted, count(*) FILTER (status = 'failed') AS failed, bool_or(id % 1000 = 1) AS notify_failed FROM runs")
+def cycle_totals(spark: SparkSession, d: str) -> DataFrame:
+    return H.cycle_totals(M.runs(spark, d).withColumn("notified", F.col("id") % 1000 != 1))
+
+
+@query(f"{MODEL} SELECT code, feed_url, CAST(sum(items_seen) AS BIGINT) AS seen, CAST(sum(items_inserted) AS BIGINT) AS inserted, count(*) FILTER (status = 'failed') AS failed FROM runs r JOIN sources s ON s.id = source_id GROUP BY ALL")
+def feed_results(spark: SparkSession, d: str) -> DataFrame:
+    return H.feed_results(M.runs(spark, d), M.sources(spark, d))
+
+
+@query(
+    f"""{MODEL}, c AS (SELECT {slot('started_at', 60)} AS cycle, min(started_at) AS began, max(finished_at) AS finished_at, CAST(sum(items_seen) AS BIGINT) AS seen, CAST(sum(items_inserted) AS BIGINT) AS inserted, count(*) FILTER (status = 'failed') AS failed_feeds FROM runs GROUP BY 1)
+    SELECT cycle, finished_at, CAST(floor(epoch(finished_at) - epoch(began)) AS BIGINT) AS duration_s, seen, inserted, failed_feeds FROM c WHERE finished_at IS NOT NULL ORDER BY finished_at DESC, cycle DESC LIMIT 1"""
+)
+def last_cycle(spark: SparkSession, d: str) -> DataFrame:
+    return H.last_cycle(M.runs(spark, d), H.slot("started_at", 60))
+
+
 @query(news("a.id = 143", 1))
 def news_by_id(spark: SparkSession, d: str) -> DataFrame:
     f = feed(spark, d)
@@ -99,7 +142,7 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, sha256(regexp_replace(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g')) AS title_hash,
+    f"""SELECT doc_id, sha256({NORMAL.format('split_part(text, chr(10), 1)')}) AS title_hash,
     nullif(trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS summary, substr(trim(split_part(text, chr(10), 1)), 1, 120) AS label FROM documents"""
 )
 def clean_titles(spark: SparkSession, d: str) -> DataFrame:

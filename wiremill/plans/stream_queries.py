@@ -1,11 +1,17 @@
-"""Feed scan and streaming queries, with their DuckDB twins."""
+"""Queries on landed files (feeds, symbol lists, pages) and streams, with their DuckDB twins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.plans.oracle_model import slot
+from wiremill.functions import text as T
+from wiremill.operators import alerts as A
+from wiremill.plans.oracle_model import MODEL, NORMAL, slot
+from wiremill.plans.pipeline_queries import _stand_ins
+from wiremill.session import shared_dir
 from wiremill.sources import feeds as S
 from wiremill.sources import model as M
 from wiremill.streaming import jobs as J
@@ -23,31 +29,79 @@ def query(sql: str | None = None):
     return put
 
 
+def _landed(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query lands and scans."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _TITLE = "trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_LINK = "'https://www.wire.example/' || lang || '/news/' || doc_id"
+_AT = "CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01 10:00:00' + to_days(CAST(doc_id % 28 AS INT)) END"
 
 
-@query(
-    f"""SELECT doc_id, {_TITLE} AS title, 'https://www.wire.example/' || lang || '/news/' || doc_id AS link, CASE WHEN doc_id % 3 <> 0 THEN 'g' || doc_id END AS raw_guid,
-    CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01 10:00:00' + to_days(CAST(doc_id % 28 AS INT)) END AS published_at, source AS provider, lang
-    FROM documents WHERE {_TITLE} <> '' AND lang = 'en'"""
-)
-def feed_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as RSS items in XML, parsed and prepared."""
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as RSS items in XML."""
     i = F.col("doc_id")
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     day = F.lpad((i % 28 + 1).cast("string"), 2, "0")
     xml = F.concat(
-        F.lit("<item><title>"), esc(F.substring_index("text", "\n", 1)), F.lit("</title><link>HTTPS://www.wire.example:443/"), F.col("lang"), F.lit("/news/"), i.cast("string"), F.lit("/?utm_source=rss</link>"),
+        F.lit("<item><title>"), _escaped(F.substring_index("text", "\n", 1)), F.lit("</title><link>HTTPS://www.wire.example:443/"), F.col("lang"), F.lit("/news/"), i.cast("string"), F.lit("/?utm_source=rss</link>"),
         F.when(i % 3 != 0, F.concat(F.lit("<guid>g"), i.cast("string"), F.lit("</guid>"))).otherwise(""), F.when(i % 5 != 0, F.concat(F.lit("<pubDate>"), day, F.lit(" Jan 2024 10:00:00 +0000</pubDate>"))).otherwise(""),
         F.lit("<source>"), F.col("source"), F.lit("</source></item>"),
     )
-    items = S.parse_items(M.read(spark, d, "documents").select("doc_id", xml.alias("xml")), "xml")
-    out = S.prepare(items, "2024-02-01 00:00:00", english_only=True)
-    return out.select("doc_id", "title", "link", "raw_guid", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "provider", "lang")
+    return M.read(spark, d, "documents").where("lang is not null and source is not null").select("doc_id", F.col("source").alias("source_code"), xml.alias("xml"))
 
 
 @query(
-    """WITH p AS (SELECT page_id AS id, url AS link FROM pages), own AS (SELECT regexp_extract(url, '^[^?#]*') AS u, max(html) AS html FROM pages GROUP BY 1)
+    f"""SELECT doc_id, {_TITLE} AS title, {_LINK} AS link, {_LINK} AS article_url, CASE WHEN doc_id % 3 <> 0 THEN 'g' || doc_id END AS raw_guid, {_AT} AS published_at, source AS provider, lang, true AS exact
+    FROM documents WHERE {_TITLE} <> '' AND (lang = 'en' OR source <> 'src0')"""
+)
+def feed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Items parsed from a column of XML and prepared; the general source is held to English."""
+    items = S.parse_items(_items(spark, d), "xml")
+    out = S.prepare(items, "2024-02-01 00:00:00", english_only=True, english_source=M.GENERAL_SOURCE, exact_host=M.GENERAL_HOST)
+    return out.select("doc_id", "title", "link", "article_url", "raw_guid", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "provider", "lang", "exact")
+
+
+@query(
+    f"""SELECT {_LINK} AS link, {_TITLE} AS title, CASE source WHEN 'src0' THEN 'General wire' WHEN 'src2' THEN 'Scoped wire' ELSE 'Channel ' || source END AS label
+    FROM documents WHERE {_TITLE} <> '' AND source IN ('src0', 'src1', 'src2')"""
+)
+def feed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents landed as RSS files of up to 100 items, a folder a source, scanned again with the title of the channel that each item stands in."""
+    path = _landed(spark, "feeds")
+    rows = _items(spark, d).where(F.col("source_code").isin("src0", "src1", "src2"))
+    files = rows.groupBy("source_code", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.array_join(F.collect_list(F.regexp_replace("xml", "[\\r\\n]", " ")), "").alias("items"))
+    rss = F.concat(F.lit("<rss><channel><title>Channel "), F.col("source_code"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>"))
+    files.select("source_code", "part", rss.alias("value")).write.partitionBy("source_code", "part").text(path)
+    channels = S.scan_channels(spark, path).distinct()
+    items = S.scan_feeds(spark, path).join(channels, "feed_file")
+    code = F.regexp_extract("feed_file", "source_code=([^/]+)", 1)
+    labels = S.registry(spark).select(F.col("code").alias("c"), "label")
+    out = S.prepare(items.withColumn("code", code), "2024-02-01 00:00:00").join(labels, F.col("code") == F.col("c"))
+    return out.select("link", "title", S.source_label(F.col("code"), F.col("feed_title"), F.col("label")).alias("label"))
+
+
+@query(
+    """SELECT upper(p_brand) || p_partkey AS symbol, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS fund_name, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS sponsor, p_partkey % 5 NOT IN (1, 2) AS active, CAST(NULL AS VARCHAR) AS validation_keywords FROM part"""
+)
+def ticker_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Parts landed as a symbol file with a header of its own spelling and scanned again."""
+    path = _landed(spark, "symbols")
+    i = F.col("p_partkey")
+    active = F.when(i % 5 == 1, "No").when(i % 5 == 2, " 0 ").when(i % 5 == 3, "").otherwise("yes")
+    rows = M.read(spark, d, "part").select(
+        F.concat(F.lit(" "), F.lower("p_brand"), i.cast("string"), F.lit(" ")).alias(" Ticker"), F.when(i % 3 != 0, F.col("p_name")).otherwise(" ").alias("FUND_NAME "), F.when(i % 4 != 0, F.col("p_type")).alias("Sponsor"), active.alias("active")
+    )
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return S.scan_tickers(spark, path)
+
+
+@query(
+    """WITH p AS (SELECT page_id AS id, url AS link FROM pages), own AS (SELECT regexp_extract(url, '^[^?#]*') AS u, arg_max(html, page_id) AS html FROM pages GROUP BY 1)
     SELECT id, CASE WHEN regexp_extract(link, '://([^/?#]*)', 1) LIKE '%.example.com' THEN length(html) ELSE 0 END AS n_html FROM p LEFT JOIN own ON u = regexp_extract(link, '^[^?#]*')"""
 )
 def landed_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +110,87 @@ def landed_pages(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.coalesce(F.length("html"), F.lit(0)).cast("bigint").alias("n_html"))
 
 
-@query("SELECT sha256(regexp_replace(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g')) AS title_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT page_id, CASE WHEN regexp_extract(url, '://([^/?#]*)', 1) LIKE '%.example.com' THEN 'https://' || regexp_extract(url, '://([^?#]*)', 1) || '/x' ELSE '' END AS fetch_url FROM pages")
+def fetch_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Where the pages of links with trade marks stand."""
+    link = F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.when(F.col("page_id") % 2 == 0, "/x%C2%AE?q=1").otherwise("/®x™%e2%84%a2#f"))
+    return M.read(spark, d, "pages").select("page_id", F.coalesce(S.fetch_url(link, "example.com", secure=True), F.lit("")).alias("fetch_url"))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT 'feed/' || user_id AS feed_url, user_id % 7 = 0 AS skipped, CASE WHEN user_id % 5 = 0 THEN 'timeout' END AS error FROM events),
+    n AS (SELECT 'feed/' || user_id AS feed_url, count(*) AS seen, count(*) FILTER (event_type = 'purchase') AS ins FROM events WHERE user_id % 3 <> 0 GROUP BY 1)
+    SELECT f.feed_url, coalesce(seen, 0) AS items_seen, coalesce(ins, 0) AS items_inserted, CASE WHEN skipped THEN 'skipped_backoff' WHEN error IS NOT NULL THEN 'failed' ELSE 'success' END AS status, coalesce(CASE WHEN NOT skipped THEN error END, '') AS error_text, TIMESTAMP '2024-02-01' AS started_at FROM f LEFT JOIN n USING (feed_url)
+    UNION ALL SELECT 'feed/old', 3, 1, 'success', '', TIMESTAMP '2024-01-31'"""
+)
+def run_log_append(spark: SparkSession, d: str) -> DataFrame:
+    """The log of a cycle in which some feeds failed and some were still in their backoff, after an older run."""
+    u, url = F.col("user_id"), F.concat(F.lit("feed/"), F.col("user_id").cast("string")).alias("feed_url")
+    events = M.read(spark, d, "events")
+    feeds = events.select(url, (u % 7 == 0).alias("skipped"), F.when(u % 5 == 0, "timeout").alias("error")).distinct()
+    rows = events.where("user_id % 3 <> 0").select(url, (F.col("event_type") == "purchase").alias("stored"))
+    old = events.limit(1).select(F.lit("feed/old").alias("feed_url"), F.lit(3).cast("bigint").alias("items_seen"), F.lit(1).cast("bigint").alias("items_inserted"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("error_text"), F.lit("2024-01-31").cast("timestamp_ntz").alias("started_at"))
+    return S.run_log(rows, "2024-02-01", feeds, old).withColumn("error_text", F.coalesce("error_text", F.lit("")))
+
+
+@query(f"{MODEL} SELECT id, title, source_name AS source, CASE WHEN id % 2 = 0 THEN canonical_url END AS link FROM articles")
+def raw_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """The stored form of entries, read back from its JSON; null fields are left out of it."""
+    rows = M.articles(spark, d)
+    link = F.when(F.col("id") % 2 == 0, F.col("canonical_url"))
+    nothing = F.lit(None).cast("string")
+    made = rows.select("id", T.payload(F.col("title"), link, F.col("published_at"), nothing, F.col("source_name"), nothing, F.array(F.lit("feed/a"))).alias("json"))
+    parsed = F.from_json("json", "title string, source string, link string")
+    return made.where("json not like '%\"language\"%'").select("id", parsed.alias("p")).select("id", "p.title", "p.source", "p.link")
+
+
+@query(
+    """SELECT c_custkey AS id, 'all' AS scope, CAST(NULL AS VARCHAR) AS tickers, CAST(NULL AS VARCHAR) AS provider FROM customer WHERE c_custkey % 3 <> 0
+    UNION ALL SELECT c_custkey, 'watchlist:w' || c_nationkey, 'LA,DE', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END FROM customer"""
+)
+def alert_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Scopes out of JSON: lists without an id and repeated ids go, symbols are upper-cased, blanks are null."""
+    c = F.col("c_custkey")
+    first = F.struct(F.concat(F.lit(" w"), F.col("c_nationkey").cast("string")).alias("id"), F.lit("x").alias("name"), F.lit(" la, de,,LA").alias("tickers"), F.when(c % 2 == 0, F.col("c_mktsegment")).otherwise(" ").alias("provider"), F.lit("").alias("q"))
+    again = F.struct(F.concat(F.lit("w"), F.col("c_nationkey").cast("string")).alias("id"), F.lit("y").alias("name"), F.lit("st").alias("tickers"), F.lit("p").alias("provider"), F.lit("q").alias("q"))
+    blank = F.struct(F.lit("  ").alias("id"), F.lit("z").alias("name"), F.lit("st").alias("tickers"), F.lit("p").alias("provider"), F.lit("q").alias("q"))
+    json = F.to_json(F.struct(F.when(c % 3 == 0, False).otherwise(F.when(c % 3 == 1, True)).alias("include_all_news"), F.array(blank, first, again).alias("watchlists")))
+    out = A.read_scopes(M.read(spark, d, "customer").select(c.alias("id"), json.alias("alert_scopes")))
+    return out.select("id", "scope", F.array_join("tickers", ",").alias("tickers"), "provider")
+
+
+@query("SELECT c_custkey AS id, 'w' || c_nationkey AS scope, c_custkey + 1 AS mark FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, 'all', 7 FROM customer")
+def alert_marks_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Marks that are positive whole numbers, of a map that also has others."""
+    c = F.col("c_custkey")
+    own = F.when(c % 4 == 0, F.concat(F.lit("-"), c.cast("string"))).otherwise((c + 1).cast("string"))
+    marks = F.create_map(F.concat(F.lit("w"), F.col("c_nationkey").cast("string")), own, F.lit("all"), F.lit("7"), F.lit("odd"), F.lit("x1"), F.lit("none"), F.lit(None).cast("string"))
+    return M.read(spark, d, "customer").select(c.alias("id"), F.explode(A.clean_marks(marks)).alias("scope", "mark"))
+
+
+@query(f"SELECT sha256({NORMAL.format('split_part(text, chr(10), 1)')}) AS title_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return J.ingest(spark, f"{d}/documents.parquet")
 
 
+def _stream_articles(spark: SparkSession, d: str) -> DataFrame:
+    return J.ingest_articles(spark, f"{d}/documents.parquet", M.as_articles, M.GENERAL_SOURCE)
+
+
+_ARRIVED = f"{MODEL}, {_stand_ins('articles')}"
+
+
+@query(f"{_ARRIVED}, more AS (SELECT first, max(published_at) AS m_at FROM articles JOIN stands USING (id) GROUP BY first) SELECT id, title, m_at AS published_at FROM articles JOIN more ON first = id")
+def stream_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles from a stream of documents, one per URL, and one per title within 48 hours."""
+    return _stream_articles(spark, d).select("id", "title", "published_at")
+
+
+@query(f"{_ARRIVED} SELECT 0 AS batch, count(DISTINCT first) AS inserted FROM stands")
+def stream_new_counts(spark: SparkSession, d: str) -> DataFrame:
+    return J.new_counts(_stream_articles(spark, d))
+
+
 @query(f"SELECT {slot('ts', 5)} + to_minutes(k * 5) AS window_end, event_type, count(*) AS n FROM (SELECT *, unnest(generate_series(1, 3)) AS k FROM events) GROUP BY ALL")
 def stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return J.sliding_outcomes(spark, f"{d}/events.parquet")

@@ -19,7 +19,19 @@ REGISTRY = (
 
 def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Items of landed RSS files, with the file they come from."""
-    return spark.read.schema(ITEM).option("rowTag", "item").format("xml").load(path).withColumn("feed_file", F.input_file_name())
+    return spark.read.schema(ITEM).option("rowTag", "item").format("xml").load(path).withColumn("feed_file", F.col("_metadata.file_path"))
+
+
+def scan_channels(spark: SparkSession, path: str) -> DataFrame:
+    """``feed_file, feed_title`` of landed RSS files."""
+    rows = spark.read.schema("title string").option("rowTag", "channel").format("xml").load(path)
+    return rows.select(F.col("_metadata.file_path").alias("feed_file"), T.clean_summary(F.col("title")).alias("feed_title"))
+
+
+def source_label(code: Column, feed_title: Column, label: Column) -> Column:
+    """What a feed's entries are labelled with: its own title, but the configured label for the general and the scoped source, or without a title."""
+    configured = code.isin(*(c for c, _, policy, _ in REGISTRY if policy != "validated_mapping_required"))
+    return T.label(F.when(configured | feed_title.isNull(), label).otherwise(feed_title))
 
 
 def parse_items(rows: DataFrame, column: str) -> DataFrame:
@@ -35,10 +47,13 @@ def item_language(link: Column, language: Column) -> Column:
     return T.primary_language(F.coalesce(F.nullif(F.trim(language), F.lit("")), code(first), code(after)))
 
 
-def prepare(items: DataFrame, now: str, english_only: bool = False) -> DataFrame:
-    """Entries of items: clean title and link (none without them), date (published, else updated, else now), guid, provider.
+def prepare(items: DataFrame, now: str, english_only: bool = False, english_source: str | None = None, exact_host: str | None = None) -> DataFrame:
+    """Entries of items: clean title and link (none without them), date (published, else updated, else now), guid, provider, article URL, language.
 
-    ``english_only`` drops items of another known language; unknown ones stay.
+    ``english_only`` drops items of another known language, with
+    ``english_source`` only those of that source (column ``source_code``);
+    unknown languages stay. ``exact`` says whether a link stands on
+    ``exact_host``.
     """
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     date = F.coalesce(T.parse_date(F.coalesce("pubDate", "published")), T.parse_date(F.col("updated")))
@@ -49,7 +64,11 @@ def prepare(items: DataFrame, now: str, english_only: bool = False) -> DataFrame
         T.label(F.coalesce(blank(F.col("source")), F.lit("unknown"))).alias("provider"), item_language(F.col("link"), F.col("language")).alias("lang"),
     )
     out = out.where("title is not null and link is not null")
-    return out.where("lang is null or lang = 'en'") if english_only else out
+    out = out.withColumns({"article_url": T.article_url(F.col("link")), "exact": T.host_is(F.col("link"), exact_host) if exact_host else F.lit(False)})
+    if not english_only:
+        return out
+    bound = F.lit(True) if english_source is None else F.col("source_code") == english_source
+    return out.where(~bound | F.col("lang").isNull() | (F.col("lang") == "en"))
 
 
 def scan_tickers(spark: SparkSession, path: str) -> DataFrame:
@@ -67,26 +86,57 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(REGISTRY), "code string, feed_url string, policy string, label string")
 
 
-def resolve_policy(entries: DataFrame, feeds: DataFrame, override: str | None = None) -> DataFrame:
-    """Policy of each entry's feed: an override, else the feed's, else that mappings are required. The registry is a short list."""
-    known = F.broadcast(feeds.select("feed_url", F.col("policy").alias("p")))
-    own = F.lit(override) if override else F.coalesce("p", F.lit("validated_mapping_required"))
-    return entries.join(known, "feed_url", "left").withColumn("policy", own).drop("p")
+def resolve_policy(entries: DataFrame, feeds: DataFrame, override: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Policy of each entry: an override, else its feed's, else its source's (``sources``: ``source_code, source_policy``), else that mappings are required."""
+    rows = entries.join(feeds.select("feed_url", F.col("policy").alias("p")), "feed_url", "left")
+    tried = [F.col("p")]
+    if sources is not None:
+        rows = rows.join(sources.select("source_code", F.col("source_policy").alias("sp")), "source_code", "left")
+        tried.append(F.col("sp"))
+    own = F.lit(override) if override else F.coalesce(*tried, F.lit("validated_mapping_required"))
+    return rows.withColumn("policy", own).drop("p", "sp")
 
 
 def strict_feeds(feeds: DataFrame) -> DataFrame:
     return feeds.where("policy <> 'general_allowed'")
 
 
-def with_pages(entries: DataFrame, pages: DataFrame, host: str) -> DataFrame:
-    """Entries with ``html`` of their landed page (null without one), found by the link without query; only links of ``host`` are looked up."""
-    own = F.when(T.host_is(F.col("link"), host), T.article_url(F.col("link")))
-    held = pages.groupBy(T.article_url(F.col("url")).alias("page_url")).agg(F.max("html").alias("html"))
-    rows = entries.withColumn("fetch_url", own)
+def fetch_url(link: Column, host: str, secure: bool = False) -> Column:
+    """Where an article's page stands: its link without query, if that is on ``host``; null else.
+
+    With ``secure``, trade marks (also as escapes) are cut out of the path and the scheme is https.
+    """
+    own = T.article_url(link)
+    if secure:
+        own = F.concat(F.lit("https://"), T.url_part(link, "host"), F.regexp_replace(T.url_part(link, "path"), "(?i)%C2%AE|%E2%84%A2|\u00ae|\u2122", ""))
+    return F.when(T.host_is(link, host), own)
+
+
+def with_pages(entries: DataFrame, pages: DataFrame, host: str, secure: bool = False) -> DataFrame:
+    """Entries with ``html`` of their landed page (null without one), found by :func:`fetch_url`.
+
+    Of several pages of one URL the newest counts: by ``fetched_at`` if there
+    is such a column, then by ``page_id``.
+    """
+    order = F.struct(*[c for c in ("fetched_at", "page_id") if c in pages.columns])
+    held = pages.groupBy(T.article_url(F.col("url")).alias("page_url")).agg(F.max_by("html", order).alias("html"))
+    rows = entries.withColumn("fetch_url", fetch_url(F.col("link"), host, secure))
     return rows.join(held, F.col("fetch_url") == F.col("page_url"), "left").drop("page_url")
 
 
-def run_log(entries: DataFrame, now: str) -> DataFrame:
-    """One row per feed of a batch: how many entries were seen and stored."""
+def run_log(entries: DataFrame, now: str, feeds: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """One row per feed run: items seen and stored, status and error text, appended to ``log`` if that is given.
+
+    ``feeds``: ``feed_url, skipped, error`` of all feeds that were due; one with
+    an error has failed, one still in its backoff was skipped; without
+    ``feeds``, the feeds of the entries succeeded.
+    """
     by = entries.groupBy("feed_url").agg(F.count("*").alias("items_seen"), F.count_if("stored").alias("items_inserted"))
-    return by.withColumns({"started_at": F.lit(now).cast("timestamp_ntz"), "status": F.lit("success")})
+    if feeds is None:
+        rows = by.withColumns({"status": F.lit("success"), "error_text": F.lit(None).cast("string")})
+    else:
+        rows = feeds.join(by, "feed_url", "left")
+        status = F.when(F.col("skipped"), "skipped_backoff").when(F.col("error").isNotNull(), "failed").otherwise("success")
+        rows = rows.select("feed_url", F.coalesce("items_seen", F.lit(0)).alias("items_seen"), F.coalesce("items_inserted", F.lit(0)).alias("items_inserted"), status.alias("status"), F.when(~F.col("skipped"), F.col("error")).alias("error_text"))
+    rows = rows.withColumn("started_at", F.lit(now).cast("timestamp_ntz"))
+    return rows if log is None else log.unionByName(rows, allowMissingColumns=True)

@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiremill.functions.text import normalize_title
+from wiremill.operators.upsert import content_hash
 
 GENERAL_SOURCE = "src0"
 GENERAL_HOST = "wire.example"
-#: (symbol, override keywords): tokens that occur in the texts.
+#: (symbol, override keywords, fund name, sponsor): tokens that occur in the texts, and one symbol each of the classes that need more support.
 SYMBOLS = (
-    ("DE", "der,und"), ("LA", "los,con"), ("DER", ""), ("ER", "the,of"), ("WAS", "was,the"), ("EN", ""), ("QUE", "qui,que"), ("ERHE", "er,the"),
-    ("OU", "ou,le"), ("LE", ""), ("ST", "th,st"), ("THAT", "that"), ("THE", "the"), ("OF", "of"), ("TO", "to"),
+    ("DE", "der,und", None, None), ("LA", "los,con", None, None), ("DER", "", None, None), ("ER", "the,of", None, None), ("WAS", "was,the", None, None), ("EN", "", None, None), ("QUE", "qui,que", None, None),
+    ("ERHE", "er,the", None, None), ("OU", "ou,le", None, None), ("LE", "", None, None), ("ST", "th,st", None, None), ("THAT", "that", None, None), ("THE", "the", None, None), ("OF", "of", None, None), ("TO", "to", None, None),
+    ("IDE", "", "Harbor Ridge Real Idea Fund", "Harbor Ridge Advisors"), ("EST", "", "Stone Peak Estate Trust", "Stone Peak"), ("FUND", "", "Golden Meadow Trust", "Golden Meadow"), ("HRO", "", "Harbor Ridge Global Opps Fd, Inc.", "Harbor Ridge Advisors"),
+)
+#: What titles of every n-th article end with.
+ENDINGS = (
+    (11, " (LA)"), (13, " NYSE: QUE"), (17, " Harbor Ridge idea dividend IDE"), (19, " Stone Peak estate call at 10:30 a.m. EST"), (23, " FUND (FUND)"), (29, " Stone Peak estate EST"), (31, " noon (EST)"),
+    (37, " monthly IDE"), (41, " The Harbor Ridge Global Opportunities Fund"),
 )
 
 
@@ -29,15 +36,21 @@ def after(hours: Column) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_articles(read(spark, sf_dir, "documents"))
+
+
+def as_articles(documents: DataFrame) -> DataFrame:
     i = F.col("doc_id")
-    title = F.concat(F.substring_index("text", "\n", 1), F.when(i % 11 == 0, " (LA)").otherwise(""), F.when(i % 13 == 0, " NYSE: QUE").otherwise(""))
+    title = F.concat(F.substring_index("text", "\n", 1), *[F.when(i % n == 0, end).otherwise("") for n, end in ENDINGS])
     url = F.concat(F.lit(f"https://www.{GENERAL_HOST}/news/"), F.floor(i / 2).cast("string"), F.when(i % 2 == 1, "?feedref=x").otherwise(""))
-    out = read(spark, sf_dir, "documents").select(
+    out = documents.select(
         i.alias("id"), title.alias("title"), F.col("text").alias("summary"), after((i * 37) % 720).alias("published_at"), after((i * 37) % 720 + 1).alias("created_at"),
         F.col("source").alias("source_name"), F.concat(F.lit("Wire "), F.col("source")).alias("provider_name"), url.alias("canonical_url"),
     )
     own = F.sha2(normalize_title(F.col("title"), entities=False), 256)
-    return out.withColumns({"canonical_url_hash": F.sha2("canonical_url", 256), "title_hash": own, "cluster_key": own, "first_seen_at": F.col("created_at")})
+    content = content_hash(own, normalize_title(F.col("summary"), entities=False))
+    keys = {"canonical_url_hash": F.sha2("canonical_url", 256), "title_hash": own, "cluster_key": own, "content_hash": content}
+    return out.withColumns(keys | {"first_seen_at": F.col("created_at"), "first_alert_sent_at": F.when(F.col("id") % 4 == 0, F.col("published_at"))})
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +75,21 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tickers(spark: SparkSession) -> DataFrame:
-    rows = [(i, s, k, i % 5 != 0) for i, (s, k) in enumerate(SYMBOLS, 1)]
-    return spark.createDataFrame(rows, "id int, symbol string, validation_keywords string, active boolean")
+    rows = [(i, *of, i % 5 != 0) for i, of in enumerate(SYMBOLS, 1)]
+    return spark.createDataFrame(rows, "id int, symbol string, validation_keywords string, fund_name string, sponsor string, active boolean")
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored links of articles to symbols: upper-case words of the summary that are symbols, with a confidence by symbol."""
+    """Stored links of articles to symbols: upper-case words of the summary that are symbols, with a confidence by symbol and article.
+
+    Every sixth article is linked to inactive symbols only.
+    """
     words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("symbol"))
-    known = tickers(spark).select(F.col("id").alias("ticker_id"), "symbol")
-    out = words.join(F.broadcast(known), "symbol")
+    known = tickers(spark).select(F.col("id").alias("ticker_id"), "symbol", "active")
+    out = words.join(known, "symbol").where("article_id % 6 <> 5 or not active")
     kind = F.when(F.col("ticker_id") % 3 == 0, "token").when(F.col("ticker_id") % 3 == 1, "paren").otherwise("exchange")
-    confidence = F.when(F.col("ticker_id") % 3 == 0, 0.62).when(F.col("ticker_id") % 3 == 1, 0.75).otherwise(0.88)
+    percent = F.when(F.col("ticker_id") % 3 == 0, 62).when(F.col("ticker_id") % 3 == 1, 75).otherwise(88) + F.col("article_id") % 3
+    confidence = percent.cast("double") / 100
     return out.select("article_id", "ticker_id", kind.alias("match_type"), confidence.alias("confidence"), (10 - F.col("article_id") % 4 % 2).cast("int").alias("extraction_version"))
 
 
@@ -91,8 +108,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One per customer of every tenth key: a scope of all news, and a watchlist of one symbol and source."""
-    c, symbols = F.col("c_custkey"), F.array(*[F.lit(s) for s, _ in SYMBOLS])
-    rows = read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(c.alias("id"), F.element_at(symbols, (c / 10 % len(SYMBOLS)).cast("int") + 1).alias("ticker"), (c % 500).alias("mark"))
-    everything = rows.where("id % 20 = 0").select("id", F.lit("all").alias("scope"), F.lit(None).cast("string").alias("ticker"), "mark")
-    return everything.union(rows.select("id", F.lit("watchlist:w1"), "ticker", "mark"))
+    """One per customer, ``id, scope, tickers, provider, q, mark``, with a scope of the kind that the market segment says and for furniture a second one, of all news."""
+    c, kind = F.col("c_custkey"), F.col("c_mktsegment")
+    symbol = F.element_at(F.array(*[F.lit(s[0]) for s in SYMBOLS]), (c % len(SYMBOLS)).cast("int") + 1)
+    other = F.element_at(F.array(*[F.lit(s[0]) for s in SYMBOLS]), (c % 7).cast("int") + 1)
+    rows = read(spark, sf_dir, "customer").select(
+        c.alias("id"), kind.alias("kind"), F.when(kind.isin("FURNITURE", "BUILDING"), F.array_distinct(F.array(symbol, other))).when(kind == "HOUSEHOLD", F.array(symbol)).alias("tickers"),
+        F.when(kind.isin("BUILDING", "MACHINERY"), F.concat(F.lit("wire SRC"), (c % 20).cast("string"))).alias("provider"), F.when((kind == "HOUSEHOLD") & (c % 3 == 0), "er").alias("q"), (c % 500).alias("mark"),
+    )
+    listed = rows.where("tickers is not null or provider is not null").select("id", F.lit("watchlist:w1").alias("scope"), "tickers", "provider", "q", "mark")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("tickers", "array<string>"), ("provider", "string"), ("q", "string"))]
+    everything = rows.where("kind in ('AUTOMOBILE', 'FURNITURE')").select("id", F.lit("all").alias("scope"), *nothing, "mark")
+    return listed.unionByName(everything)

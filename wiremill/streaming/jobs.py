@@ -1,95 +1,117 @@
-"""Structured Streaming forms: ingest in micro-batches, sliding counts, and the state of each feed."""
+"""Structured Streaming forms: ingest in micro-batches, sliding counts, and the state of each feed.
+
+Each job has a folder: its checkpoint, and a table with a version per
+micro-batch, named by the batch's number. A batch reads the version before its
+own and writes its own anew, so a batch that runs again after a failure writes
+the same, and a later run with the same folder goes on from the last version
+with the files that landed since.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wiremill.functions.text import normalize_title
+from wiremill.operators.upsert import match_articles, upsert_articles
 from wiremill.session import shared_dir
 
-STATE = "failure_count int, last_failure_at timestamp"
-
 
 def stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """A Parquet file or folder of files as a stream; only files that were not read before make a batch.
 
     The path goes in as a pattern, since a stream takes no single file by name.
     """
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+    return spark.readStream.schema(spark.read.parquet(f"{path}*").schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
 
 
-def _drain(rows: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], state: str) -> None:
-    """Run a stream over what has landed, ``sink`` per micro-batch."""
-    query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
+def _folder(spark: SparkSession, name: str, state: str | None) -> str:
+    return state or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ingest(spark: SparkSession, path: str) -> DataFrame:
-    """Title hashes of landed documents with the id that had each first, kept up to date batch by batch.
+def _drain(rows: DataFrame, mode: str, fold: Callable[[DataFrame, DataFrame | None], DataFrame], at: str, table: str = "table") -> DataFrame:
+    """Run a stream over what has landed; ``fold(batch, last version)`` gives the next version of the table, the newest of which is returned."""
+    spark = rows.sparkSession
 
-    Each batch is folded by hash and merged into the table's last version by
-    one full outer join; the version is named by the batch, so that a batch
-    that runs again writes the same.
-    """
-    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    versions: list[str] = []
+    def sink(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{at}/{table}/version={number - 1}") if number else None
+        fold(batch, before).write.mode("overwrite").parquet(f"{at}/{table}/version={number}")
+
+    query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    last = spark.read.parquet(f"{at}/{table}").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{at}/{table}/version={last}")
+
+
+def ingest(spark: SparkSession, path: str, state: str | None = None, files_per_batch: int = 64) -> DataFrame:
+    """Title hashes of landed documents with the lowest id that had each and their number, kept up to date batch by batch."""
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def fold(batch: DataFrame, before: DataFrame | None) -> DataFrame:
         new = batch.groupBy(F.sha2(normalize_title(F.substring_index("text", "\n", 1), entities=False), 256).alias("title_hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-        if versions:
-            old = batch.sparkSession.read.parquet(versions[-1]).toDF("title_hash", "o_id", "o_n")
-            rows = new.join(old, "title_hash", "full_outer")
-            new = rows.select("title_hash", F.least("first_id", "o_id").alias("first_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("o_n", F.lit(0))).alias("n"))
-        new.write.mode("overwrite").parquet(f"{at}/v{number}")
-        versions.append(f"{at}/v{number}")
+        if before is None:
+            return new
+        rows = new.join(before.toDF("title_hash", "o_id", "o_n"), "title_hash", "full_outer")
+        return rows.select("title_hash", F.least("first_id", "o_id").alias("first_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("o_n", F.lit(0))).alias("n"))
 
-    _drain(stream(spark, path), "append", merge, at)
-    return spark.read.parquet(versions[-1])
+    return _drain(stream(spark, path, files_per_batch), "append", fold, _folder(spark, "ingest", state))
 
 
-def sliding_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Events per type in windows of 15 minutes every 5, with a watermark of an hour, as counted when the stream was read up."""
-    at = f"{shared_dir(spark)}/outcomes-{uuid.uuid4().hex}"
-    versions: list[str] = []
-    rows = stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    counts = rows.groupBy(F.window("ts", "15 minutes", "5 minutes"), "event_type").agg(F.count("*").alias("n"))
+def ingest_articles(spark: SparkSession, path: str, to_entries: Callable[[DataFrame], DataFrame], general: str, state: str | None = None, files_per_batch: int = 64, hours: int = 48) -> DataFrame:
+    """Articles from landed rows: each batch's entries meet stored articles by URL, or by title within ``hours`` of publication either way, and are merged in.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n").write.mode("overwrite").parquet(f"{at}/v{number}")
-        versions.append(f"{at}/v{number}")
+    ``to_entries`` makes entries with the columns of articles from a batch.
+    Entries of one batch that share a URL or title become one article.
+    ``batch`` of an article is the batch that inserted it, so that the number
+    of new ones of a batch, of which readers are told, can be read off the table
+    (:func:`new_counts`). A late entry still meets its article, as the window
+    is on the time of publication.
+    """
 
-    _drain(counts, "complete", keep, at)
-    return spark.read.parquet(versions[-1])
+    def fold(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        entries = to_entries(batch)
+        old = before if before is not None else entries.limit(0).withColumn("batch", F.lit(0))
+        number = old.agg(F.coalesce(F.max("batch") + 1, F.lit(0)).alias("next_batch")) if before is not None else None
+        known = old.select(F.col("id").alias("article_id"), (F.col("source_name") == general).alias("from_general"))
+        out = upsert_articles(old, entries, match_articles(entries, old, known, general, hours), general)
+        if number is None:
+            return out.withColumn("batch", F.coalesce("batch", F.lit(0)))
+        return out.crossJoin(F.broadcast(number)).withColumn("batch", F.coalesce("batch", "next_batch")).drop("next_batch")  # one row
 
+    return _drain(stream(spark, path, files_per_batch), "append", fold, _folder(spark, "articles", state))
 
-def feed_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Failures since the last success of one feed; runs of a micro-batch are taken in order of time."""
-    count, last = state.get if state.exists else (0, pd.NaT)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind, ts in zip(rows["event_type"], rows["ts"], strict=True):
-        if kind == "error":
-            count, last = count + 1, ts
-        elif kind in ("view", "click", "purchase"):
-            count, last = 0, pd.NaT
-    state.update((count, None if last is pd.NaT else last.to_pydatetime()))
-    yield pd.DataFrame({"user_id": [key[0]], "failure_count": [count]})
 
+def new_counts(articles: DataFrame) -> DataFrame:
+    """``batch, inserted``: how many new articles each batch brought."""
+    return articles.groupBy("batch").agg(F.count("*").alias("inserted"))
 
-def feed_health(spark: SparkSession, path: str) -> DataFrame:
-    """``user_id, failure_count`` after all landed events: errors since the last success, from keyed state."""
-    at = f"{shared_dir(spark)}/health-{uuid.uuid4().hex}"
-    rows = stream(spark, path).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    states = rows.groupBy("user_id").applyInPandasWithState(feed_state, "user_id bigint, failure_count int", STATE, "update", GroupStateTimeout.NoTimeout)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{at}/version-{number}")
+def sliding_outcomes(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
+    """Events per type in windows of 15 minutes every 5, with a watermark of an hour, as counted when the stream was read up."""
+    rows = stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    counts = rows.groupBy(F.window("ts", "15 minutes", "5 minutes"), "event_type").agg(F.count("*").alias("n"))
+    shown = lambda batch, before: batch.select(F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+    return _drain(counts, "complete", shown, _folder(spark, "outcomes", state))
+
+
+def feed_health(spark: SparkSession, path: str, state: str | None = None, files_per_batch: int = 64) -> DataFrame:
+    """``user_id, failure_count`` after all landed events: errors since the last success.
+
+    The table holds a row per user with the time of its last success, and a row
+    per error after it. Neither order nor number of the batches matters, and no
+    task holds a user's events.
+    """
 
-    _drain(states, "update", keep, at)
-    every = spark.read.parquet(f"{at}/version-*")
-    return every.groupBy("user_id").agg(F.max_by("failure_count", "version").alias("failure_count"))
+    def fold(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        at = F.struct("ts", "event_id")
+        rows = batch.select("user_id", F.when(F.col("event_type").isin("view", "click", "purchase"), at).alias("ok"), F.when(F.col("event_type") == "error", at).alias("failed"))
+        every = rows if before is None else rows.unionByName(before)
+        last = every.groupBy("user_id").agg(F.max("ok").alias("ok"))
+        failed = every.where("failed is not null").select("user_id", "failed").join(last, "user_id").where("ok is null or failed > ok")
+        return last.select("user_id", "ok", F.lit(None).cast(rows.schema["failed"].dataType).alias("failed")).unionByName(failed.select("user_id", F.lit(None).cast(rows.schema["ok"].dataType).alias("ok"), "failed"))
+
+    rows = stream(spark, path, files_per_batch).select("user_id", "event_id", "event_type", "ts")
+    table = _drain(rows, "append", fold, _folder(spark, "health", state))
+    return table.groupBy("user_id").agg(F.count("failed").cast("int").alias("failure_count"))
