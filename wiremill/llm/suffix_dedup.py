@@ -126,6 +126,39 @@ def common_prefix_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, i
             stack.append((depth, first))
 
 
+def window_hashes(flat: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place on, put together from those of 1, 2, 4, .. bytes."""
+    n, size, offset = len(flat) - length + 1, 1, 0
+    out, h = np.zeros(max(n, 0), np.uint64), flat.astype(np.uint64) + np.uint64(1)
+    if n <= 0:
+        return out
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    while size <= length:
+        if length & size:
+            out = (out + h[offset : offset + n]) * odd
+            offset += size
+        h = mix64(h[:-size] * odd + h[size:])
+        size *= 2
+    return out
+
+
+def with_repeats(texts: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """Indices of the texts that may share a substring of ``length`` bytes with another or have one twice: those of which a window's hash occurs again."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    windows = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    begins = np.cumsum(sizes) - sizes
+    at = begins[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    if not len(at):
+        return at
+    own = window_hashes(np.frombuffer(b"".join(texts), np.uint8), length)[at]
+    order = np.argsort(own, kind="stable")
+    same = own[order][1:] == own[order][:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return np.unique(owner[again])
+
+
 def maximal_repeats(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(number of bytes, [(text, offset), ..]) of each group of equal substrings that can't be extended to either side.
 
@@ -245,6 +278,8 @@ def duplicate_ranges(rows: DataFrame, length: int = LENGTH, most_contexts: int =
         """Rows come sorted by ``h``; each suffix array takes some whole groups."""
 
         def ranges(part: pa.Table) -> pa.RecordBatch:
+            held = with_repeats(part.column("bytes").to_pylist(), length)  # the others can't take part in any repeat
+            part = part.take(pa.array(held))
             rid, start = part.column("rid").to_numpy(), part.column("start").to_numpy()
             covered: dict[int, list[tuple[int, int]]] = {}
             for size, members in maximal_repeats(part.column("bytes").to_pylist(), length):
