@@ -116,6 +116,15 @@ def test_hot_minimizers_are_split_exactly(spark):
         assert all((a == b).all() for a, b in zip(gone, want, strict=True))
 
 
+def test_texts_with_repeats_are_told_apart():
+    rng = random.Random(6)
+    for length in (5, 8, 12):
+        parts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 30))) for _ in range(40)]
+        seen = collections.Counter(p[k : k + length] for p in parts for k in range(len(p) - length + 1))
+        want = [i for i, p in enumerate(parts) if any(seen[p[k : k + length]] > 1 for k in range(len(p) - length + 1))]
+        assert suffix_dedup.with_repeats(parts, length).tolist() == want
+
+
 def test_a_run_is_named_once():
     (h, *_), again = suffix_dedup.contexts_of(b"x" * 5000)
     assert len(h) == 1
@@ -195,29 +204,87 @@ def test_near_copies_stage(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
 
 
-def test_katz_is_normalised_and_base_scores_are_exact(spark, docs, texts):
-    for most in (1 << 20, 200, 60):
-        model, table = katz_lm.fit(docs.where("doc_id % 10 <> 0"), most_entries=most)
-        width = model.width
-        for h in ((width - 1,), (0,), (width - 1, 0), (0, 0), *[(1, 2), (width - 1, 1)] * (width > 3)):
-            total = sum(10 ** model.log_probabilities(np.array((*h, x)))[-1] for x in range(width - 1))
-            assert abs(total - 1) < 1e-9
-        got = {r["doc_id"]: r for r in katz_lm.score(docs, model, table, keep={"doc_id": "doc_id"}).collect()}
-        c = collections.Counter()
-        own = {i: [*WORD.findall("".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t or "")), None] for i, t in enumerate(texts)}
-        for i, w in own.items():
-            if i % 10:
-                c.update(w)
-        n, v = sum(c.values()), len(c)
-        assert set(got) == set(own)
-        for i, w in own.items():
-            base = sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-            r = got[i]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-            assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
-            assert np.isfinite(r["score"])
-            assert r["score"] < 0
+def plain_katz(train, order):
+    """Katz backoff by its definition, over tuples of words; returns P(word | history) by recursion."""
+    counts = {k: collections.Counter() for k in range(1, order + 1)}
+    for t in train:
+        padded = ["<s>", *t]
+        for i in range(1, len(padded)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    counts[k][tuple(padded[i - k + 1 : i + 1])] += 1
+    discounts = {k: katz_lm.good_turing(np.array([sum(c == r for c in counts[k].values()) for r in range(7)], float)) for k in counts}
+    total = sum(counts[1].values())
+    kept = sum(discounts[1][min(c, 6)] * c for c in counts[1].values()) / total
+    unseen = max(1 - kept, 1 / (total + 1))
+
+    def p(history, w):
+        k = len(history) + 1
+        if k == 1:
+            c = counts[1][w,]
+            return (1 - unseen) / kept * discounts[1][min(c, 6)] * c / total if c else unseen
+        uses = sum(c for g, c in counts[k].items() if g[:-1] == history)
+        if not uses:
+            return p(history[1:], w)
+        seen = {g[-1]: discounts[k][min(c, 6)] * c / (uses + 1) for g, c in counts[k].items() if g[:-1] == history}
+        if w in seen:
+            return seen[w]
+        return (1 - sum(seen.values())) / (1 - sum(p(history[1:], x) for x in seen)) * p(history[1:], w)
+
+    return p, counts
+
+
+def test_katz_equals_its_definition(spark):
+    rng = random.Random(31)
+    texts = [words(rng, rng.randrange(0, 25), 12) for _ in range(60)] + [None, "", "W1 w2", "w1 w2 w3 never seen"]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC).repartition(3)
+    split = [[*(t or "").lower().split(), "</s>"] for t in texts]
+    for order in (1, 2, 3):
+        model = katz_lm.fit(rows.where("doc_id % 4 <> 0"), order=order)
+        got = {r["doc_id"]: r["score"] for r in katz_lm.score(rows, model, keep={"doc_id": "doc_id"}).collect()}
+        p, counts = plain_katz([t for i, t in enumerate(split) if i % 4], order)
+        for i, t in enumerate(split):
+            padded = ["<s>", *t]
+            want = sum(np.log10(p(tuple(padded[max(0, k - order + 1) : k]), padded[k])) for k in range(1, len(padded)))
+            assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), (order, i)
+        vocabulary = [w for (w,) in counts[1]]
+        for history in [(), ("w1",), ("w1", "w2"), ("<s>", "w3"), ("never", "w4")]:
+            if len(history) < order:
+                assert abs(sum(p(history, w) for w in [*vocabulary, "anything unseen"]) - 1) < 1e-9
+
+
+def test_kept_grams_do_not_depend_on_the_size_of_the_corpus(spark):
+    rng = random.Random(32)
+    few = [(i, words(rng, 30, 50), "en", "s", 0) for i in range(20)]
+    more = few + [(100 + i, f"{rng.random()} {rng.random()}", "en", "s", 0) for i in range(2000)]
+    grams = [{tuple(r)[:-1] for r in katz_lm.fit(spark.createDataFrame(x, DOC)).grams[3].drop("__c").collect()} for x in (few, more)]
+    assert {g[:3] for g in grams[0]} <= {g[:3] for g in grams[1]}
+    assert len(grams[0]) > 400
+
+
+def test_base_scores_are_exact(spark, docs, texts):
+    model = katz_lm.fit(docs.where("doc_id % 10 <> 0"))
+    odd = docs.withColumnRenamed("lang", "row").withColumnRenamed("source", "score")
+    got = {r["doc_id"]: r for r in katz_lm.score(odd, model, keep={"doc_id": "doc_id", "row": "row", "__n": "score"}).collect()}
+    assert list(got[0].asDict())[:3] == ["doc_id", "row", "__n"]
+    c = collections.Counter()
+    own = {i: [*WORD.findall("".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t or "")), None] for i, t in enumerate(texts)}
+    for i, w in own.items():
+        if i % 10:
+            c.update(w)
+    n, v = sum(c.values()), len(c)
+    assert set(got) == set(own)
+    for i, w in own.items():
+        base = sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+        assert np.isfinite(r["score"])
+        assert r["score"] < 0
     assert katz_lm.good_turing(np.array([0, 100, 40, 20, 12, 8, 5])).min() > 0
+    nothing = katz_lm.fit(empty(spark))
+    assert katz_lm.score(empty(spark), nothing).count() == 0
+    assert all(np.isfinite(r["score"]) for r in katz_lm.score(docs, nothing).collect())
 
 
 def test_quality_rules(spark, docs, texts):
