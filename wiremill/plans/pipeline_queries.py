@@ -473,9 +473,11 @@ def dedupe_raw_links(spark: SparkSession, d: str) -> DataFrame:
     return _filled(D.relink(M.raw_items(spark, d), _losers(spark, d)).select("id", "article_id"))
 
 
-@query(f"{LOSERS}, {RISES} SELECT * FROM rises")
+@query(f"{URL_GROUPS}, losers AS (SELECT g.id, winner FROM g JOIN groups USING (url) WHERE g.id <> winner), {RISES} SELECT * FROM rises")
 def dedupe_rises(spark: SparkSession, d: str) -> DataFrame:
-    return D.rises(M.mappings(spark, d), _losers(spark, d))
+    every = M.articles(spark, d)
+    groups = D.url_groups(every, M.mappings(spark, d), M.GENERAL_HOST)
+    return D.rises(M.mappings(spark, d), D.losers(groups, D.url_members(every, M.GENERAL_HOST), ["url"]))
 
 
 @query(f"{MODEL} SELECT article_id, -id AS context_order, source_id, raw_link AS link, feed_url FROM raw_items WHERE article_id IS NOT NULL")
