@@ -193,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     ``hits`` lists the benchmark items found, best first: item, share of the
     perfect alignment score, the passage's words (``[start_word, end_word)``)
     and its text. A null or empty text has none; an item of fewer than three
-    words, or null, matches nothing; repeated items each count.
+    words, or null, matches nothing; repeated rows of an item count once.
     """
     keep = keep or {}
     kind = benchmark.schema[item].dataType.simpleString()
