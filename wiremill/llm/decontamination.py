@@ -242,14 +242,18 @@ def _unpacked(held: tuple) -> Block:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and benchmark item found in it."""
+    """A row for each document and benchmark item found in it; cases as of :func:`contamination`. Repeated documents each have their rows."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep={"doc_id": "doc_id"})
     hit = found.select("doc_id", F.explode("hits").alias("h"))
     return hit.select("doc_id", "h.item_id", F.round("h.score", 6).alias("score"), "h.start_word", "h.end_word", "h.passage")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a benchmark passage; the columns stay as they are."""
+    """Documents without a benchmark passage; the columns, whatever their names, stay as they are.
+
+    Null and empty texts stay; without any item everything stays; repeated rows
+    stay or go together.
+    """
     names = docs.columns
     rows = contamination(docs, benchmark, keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names) if c != "text"}, text_as=f"c{names.index('text')}")
     return rows.where(F.size("hits") == 0).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -126,8 +126,11 @@ def fit(
 def classify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: dict[str, str | Column] | None = None, text_as: str | None = None) -> DataFrame:
     """One row per document: the columns ``keep`` (name: column), the text as ``text_as`` if that is given, ``lang_pred``, ``score``.
 
-    A null or empty text, or one without a letter, is ``und`` with score 0.
-    The model goes to the executors as a broadcast of at most
+    A null or empty text, or one without a letter, is ``und`` with score 0;
+    texts of any length are taken whole; repeated rows and null keys are rows
+    like others; of equally likely languages the first by name counts; an
+    empty table gives an empty table; other columns are not looked at. The
+    model goes to the executors as a broadcast of at most
     languages x 2**bits floats.
     """
     keep = keep or {}
@@ -153,7 +156,7 @@ def classify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: di
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of every document; learns from those with crc32(doc_id) mod 5 other than 0."""
+    """Predicted language of every document; learns from those with crc32(doc_id) mod 5 other than 0 (a null id is not held out). Cases as of :func:`classify`."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False))
     return classify(docs, fit(docs.where(~held_out)), keep={"doc_id": "doc_id", "held_out": held_out})
@@ -162,8 +165,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Documents with a language that the model is sure of; the columns stay as they are.
 
-    Learns from all rows with a language. Documents without a letter, and those
-    whose best language has a posterior below ``least``, go.
+    Learns from all rows with a language; where there are none, all go.
+    Documents without a letter (null and empty texts too), and those whose best
+    language has a posterior below ``least``, go; repeated rows go or stay
+    together. Other columns, whatever their names, are passed through.
     """
     names = docs.columns
     scored = classify(docs, fit(docs), keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(names) if c != "text"}, text_as=f"c{names.index('text')}")

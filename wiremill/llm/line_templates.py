@@ -120,7 +120,7 @@ def drop_template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, dropped lines and the MD5 of the text that is left."""
+    """Per document: lines, dropped lines and the MD5 of the text that is left (null for a null text); cases as of the module."""
     out = drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import column_texts, crc_of, share_of_hash, table
+from wiremill.llm.common import checked, column_texts, crc_of, share_of_hash, small_batches, table
 
 FEATURES = ("log_bytes", "log_words", "word_length", "letters", "upper", "digits", "symbols", "stops", "shouts", "beyond_ascii", "distinct_words", "top_word", "dup_lines", "log_line_words")
 _CLASS = np.zeros(256, np.uint8)
@@ -166,13 +166,15 @@ def _feature_rows(column: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most_rows: int = 20_000) -> AdditiveModel:
     """Fit on about ``most_rows`` labelled documents at most, picked by a hash of ``key``.
 
-    Rows whose key or label is null teach nothing. The driver gets that many
-    short feature vectors, not texts.
+    Rows whose key or label is null teach nothing; repeated labels each count;
+    without any label all scores are 0.5. The driver gets that many short
+    feature vectors, not texts.
     """
+    small_batches(docs)
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).where("k is not null and y is not null")
     share = min(1.0, most_rows / max(1, marked.count()))
     marked = marked.where(share_of_hash(F.col("k")) < F.lit(share))
-    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(marked), "k").select("t", "y").repartition(8)
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(checked(marked), "k").select("t", "y").repartition(8)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: dict[str, str | Column] | None = None) -> DataFrame:
-    """The columns ``keep`` (name: column) and ``score`` of each document; null counts as empty."""
+    """The columns ``keep`` (name: column) and ``score`` of each document.
+
+    A null text counts as empty; an empty one has all features 0 and a score
+    like any other; texts of any length are taken whole; repeated rows and null
+    keys are rows like others; an empty table gives an empty table; other
+    columns are not looked at.
+    """
     keep = keep or {}
+    small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast((model.intercept, model.edges, model.tables, model.coarse, model.pairs))
     rows = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in keep.items()], F.col(text).alias("__text"))
     names = [*keep, "score"]
@@ -201,7 +210,7 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: dict[
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; labels of those with crc32(doc_id) mod 5 = 0 are held out."""
+    """Quality score of every document; labels of those with crc32(doc_id) mod 5 = 0 are held out (a null id is not). Cases as of :func:`score`."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(crc_of("doc_id") % 5 != 0))
     held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False))

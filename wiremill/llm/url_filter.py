@@ -66,6 +66,7 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", sizes: Sequ
     rows = rows.withColumn("g", found).orderBy("u").coalesce(2).select("label", array_to_vector(dense).alias("features")).cache()
     kinds = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:
+        rows.unpersist()
         return (5.0 if kinds == [1.0] else -5.0), [0.0] * width
     model = LogisticRegression(regParam=regularisation, maxIter=40, standardization=False, featuresCol="features", labelCol="label").fit(rows)
     rows.unpersist()
@@ -79,7 +80,7 @@ def block_probability(host: Column, path: Column, intercept: float, weights: Seq
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's URL; the labelled table is the URLs that a rule decides."""
+    """Verdict on every page's URL; the labelled table is the URLs that a rule decides. Cases as of :func:`judge`."""
     return judge(table(spark, sf_dir, "pages"), rules=RULES)
 
 
@@ -89,7 +90,10 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, url: str = "url",
     A URL that a rule fits gets the rule's verdict; all others get that of the
     regression (block from a probability of 0.5). ``labelled`` is a small table
     ``url, label``; without one, the URLs that the rules decide are it. A null
-    URL has an empty host and path and is judged by the regression.
+    URL, or one without ``://``, has an empty host and path and is judged by
+    the regression. Of rules of equal length the later one counts. Repeated
+    rows get equal verdicts; null keys are rows like others; an empty table
+    gives an empty table; other columns are not looked at.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("u")).withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u"))})
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
