@@ -1,7 +1,10 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes what its predecessor kept, as a table; all but the last return
-the columns of ``documents``.
+the columns of ``documents`` (and any others that it has). Null and empty texts
+go with the first stage; repeated rows stay or go together up to the third,
+which leaves one row per key of a group; rows with a null key are documents
+like others and never stand for a group; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,28 +16,28 @@ from wiremill.session import written
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that the model is sure of go."""
+    """Documents without a language that the model is sure of go, those without a letter too (null and empty texts)."""
     return language_id.keep_identified(docs)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; ``n_chars`` follows the text."""
+    """Lines of recurring templates go; ``n_chars`` follows the text. Every document stays, if with an empty text."""
     out = line_templates.drop_template_lines(docs).drop("n_lines", "n_dropped")
     return out.selectExpr(*["cast(length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays."""
+    """The first document (by key) of each group of near copies stays, of texts without words one; rows with a null key stay."""
     return simhash_dedup.drop_near_copies(docs)
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go; null and empty texts stay."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length bucket, batch and place."""
+    """Each document's length bucket, batch and place; a document without words is padded to one."""
     return packing.pack(docs)
 
 

@@ -25,10 +25,12 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, local
-    runs) is a folder under the warehouse used instead.
+    It is ``spark.checkpoint.dir``; only where that is unset in local mode
+    (tests, local runs) is a folder under the warehouse used instead.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
