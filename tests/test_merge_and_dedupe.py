@@ -222,7 +222,7 @@ def test_arriving_articles_meet_within_48_hours(spark, tmp_path):
 
     kind = "id bigint, title string, summary string, published_at timestamp_ntz, canonical_url_hash string, source_name string"
     keyed = lambda batch: batch.withColumn("title_hash", A.F.sha2(normalize_title(A.F.col("title"), entities=False), 256)).withColumn("cluster_key", A.F.col("title_hash"))
-    for n, rows in enumerate([[(1, "Reef", "a", hours(0), "u1", "w"), (2, "reef!", "longer", hours(10), "u2", "w")], [(3, "Reef", "b", hours(-40), "u3", "w"), (4, "Reef", "c", hours(70), "u4", "w")]]):
+    for n, rows in enumerate([[(1, "Reef", "a", hours(0), "u1", "w"), (2, "reef!", "longer", hours(10), "u2", "w")], [(3, "Reef", "b", hours(-30), "u3", "w"), (4, "Reef", "c", hours(70), "u4", "w")]]):
         spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{n}.parquet")
         out = J.ingest_articles(spark, f"{tmp_path}/in/", keyed, "gen", state=f"{tmp_path}/state")
     assert {r["id"]: (r["summary"], r["batch"]) for r in out.collect()} == {1: ("longer", 0), 4: ("c", 1)}
