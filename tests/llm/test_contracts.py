@@ -20,6 +20,9 @@ SCHEMAS = {
     "op8": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op9": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     "op10": {"doc_id": "bigint", "n_tokens": "bigint", "bucket": "int", "padded_to": "bigint"},
+    "op11": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op12": {"conv_id": "bigint", **dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), "bigint"), "audit": "string", "repaired_sha256": "string"},
+    "op13": {"doc_id": "bigint", **dict.fromkeys(("n_runs", "start", "length", "period", "exponent_milli"), "bigint"), "runs_sha256": "string", "collapsed_sha256": "string"},
 }
 
 
@@ -32,6 +35,8 @@ def land(spark, path, docs, pages, labels, bench):
     spark.createDataFrame(pages, "page_id bigint, url string, html string, host string").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    turns = [(d[0], 0, "user", d[1], "clash") for d in docs]  # each document as a conversation of one turn
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, audit string").write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
 
@@ -67,12 +72,12 @@ def test_query(spark, odd, nothing, name):
     if n == "op2":
         assert {r["doc_id"] for r in rows} == {66}
         return
-    key, ids = ("page_id", [p[0] for p in pages]) if n == "op9" else ("doc_id", [d[0] for d in docs])
+    key, ids = {"op9": ("page_id", [p[0] for p in pages]), "op12": ("conv_id", {d[0] for d in docs})}.get(n, ("doc_id", [d[0] for d in docs]))
     assert sorted(-1 if r[key] is None else r[key] for r in rows) == sorted(-1 if i is None else i for i in ids)
     of = {"op1": 5, "op5": 5, "op7": 10}.get(n)
     if of:
         assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % of == 0) for r in rows)
-    same = [tuple(round(x, 6) if isinstance(x, float) else x for x in tuple(r)[1:]) for r in rows if r[key] in (3, 63, 64) or (n == "op9" and r[key] == 1)]
+    same = [tuple(round(x, 6) if isinstance(x, float) else x for x in tuple(r)[1:]) for r in rows if r[key] in ((1,) if n == "op9" else (3, 63, 64))]
     if n in ("op1", "op5", "op6", "op7", "op8", "op9"):  # equal inputs, equal results
         drop = 1 if n in ("op1", "op5", "op7") else 0
         assert len({str(s[drop:]) for s in same}) == 1 or n == "op8"
@@ -91,6 +96,11 @@ def test_query(spark, odd, nothing, name):
     if n == "op8":
         assert by[60]["base_failed"]
         assert not by[60]["kept"]
+    if n == "op11":
+        assert [by[i]["n_tokens"] for i in (60, 61, 62)] == [1, 1, 1]
+        assert sorted(r["start"] for r in rows)[-1] + by[68]["n_tokens"] == sum(r["n_tokens"] for r in rows)
+    if n == "op13":
+        assert (by[60]["n_runs"], by[60]["start"], by[68]["n_runs"]) == (0, None, 0)
     if n == "op10":
         batches = {}
         for r in rows:
