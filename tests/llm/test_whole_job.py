@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from wiremill.llm import decontamination, simhash_dedup
+from wiremill.llm import decontamination, line_templates, simhash_dedup
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -50,3 +50,29 @@ def test_near_copies_are_checked_by_their_whole_shingle_sets(spark):
     kept = {r["doc_id"] for r in simhash_dedup.drop_near_copies(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect()}
     assert {2 * g for g in far} <= kept
     assert {g for g in far if 2 * g + 1 in kept} == {g for g in far if not least[g]}
+
+
+def test_blocks_of_lines_are_dropped_and_copies_are_not(spark):
+    """Unlike documents that share blocks of any length lose them; groups of exact and of near copies lose nothing."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, blocks = [], {}
+    for size, docs, own in ((1, 12, 1), (2, 12, 2), (6, 12, 2), (8, 40, 2), (10, 100, 1), (20, 30, 3), (20, 12, 1)):
+        block = [line(rng.choice((3, 5, 12))) for _ in range(size)]
+        for _ in range(docs):
+            blocks[len(rows)] = (block, [line(10) for _ in range(own)])
+            rows.append((len(rows), "\n".join([*blocks[len(rows)][1], *block]), "en", "s", 0))
+    base = len(rows)
+    copied = [line(12) for _ in range(8)]
+    rows += [(base + i, "\n".join(copied), "en", "s", 0) for i in range(60)]
+    near = [line(rng.choice((9, 12, 15))).split() for _ in range(10)]
+    for _ in range(300):
+        edited = [list(t) for t in near]
+        for _ in range(rng.randrange(3)):
+            t = rng.choice(edited)
+            t[rng.randrange(len(t))] = word()
+        rows.append((len(rows), "\n".join(map(" ".join, edited)), "en", "s", 0))
+    got = {r["doc_id"]: r for r in line_templates.drop_template_lines(spark.createDataFrame(rows, DOC).repartition(4)).collect()}
+    assert {i: got[i]["text"].split("\n") for i in blocks} == {i: own for i, (_, own) in blocks.items()}
+    assert sum(got[i]["n_dropped"] for i in range(base, len(rows))) == 0

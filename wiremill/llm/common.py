@@ -59,6 +59,16 @@ def join_skewed(big: DataFrame, small: DataFrame, on: list[str], n: str = "n", o
     return big.join(frequent, on).unionByName(big.join(frequent.select(*on), on, "left_anti").join(small.where(F.col(n) < often), on))
 
 
+def left_join_skewed(big: DataFrame, small: DataFrame, on: list[str], n: str = "n", often: int = 10_000) -> DataFrame:
+    """``big`` left joined with ``small`` as :func:`join_skewed` does; rows of ``big`` without a match have nulls."""
+    frequent = small.where(F.col(n) >= often)
+    if frequent.first() is None:
+        return big.join(small, on, "left")
+    frequent = checked(frequent)
+    rest = big.join(frequent.select(*on), on, "left_anti").join(small.where(F.col(n) < often), on, "left")
+    return big.join(frequent, on).unionByName(rest)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """From now on hand Python workers ``rows`` rows at a time: texts that pass through them are held several times over."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,11 +7,19 @@ position if enough documents have it there, else it is a variable field; lines
 with the same literals share a template. Templates with enough literals that
 recur across documents are boilerplate, and their lines are dropped.
 
-Copies of one document should not make its lines boilerplate. For each line,
-documents are therefore counted by a signature, the least hash of their *other*
-lines, which exact copies always and near copies mostly share. A document of
-one line only has that line's own hash. Lines, leaves and templates are told
-apart by 64-bit hashes.
+Copies of one document should not make its lines boilerplate, while a block of
+lines that stand together in unlike documents is. For each document a signature
+is therefore taken of what is its own: the least hash of its lines that fewer
+than ``min_docs`` documents have. Near copies in large groups have most lines in
+common and no own lines but those edited in a few words, so in a document with
+as many common lines as others, lines that begin or end like a common one (four
+tokens), or are too short to tell, are no own ones. A document without own lines
+has the least hash of its common lines, which copies share. Since some edits
+escape this, the signatures of a template also have to be a tenth of its
+documents. Templates are counted by signatures; a line with enough signatures
+makes its tokens literal without further counting, and joins on lines broadcast
+the frequent ones, so no task meets all documents of a line. Lines, leaves and
+templates are told apart by hashes of 60 and 64 bits.
 
 Nulls, empty texts and repeats: a null text stays null and counts as one empty
 line; rows with a null key are documents like others; repeated rows (same key
@@ -26,21 +34,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiremill.llm.common import checked, spaced, table
+from wiremill.llm.common import checked, join_skewed, left_join_skewed, spaced, table
 from wiremill.session import written
 
 VARIABLE = "<*>"
-MIN_TOKENS, MIN_DOCS, LITERAL_SHARE, DEPTH = 3, 10, 0.7, 3
+MIN_TOKENS, MIN_DOCS, LITERAL_SHARE, DEPTH, UNLIKE_SHARE = 3, 10, 0.7, 3, 0.1
 
 
-def _masked_lines(text: Column) -> Column:
-    """The lines of a text, tokens joined by single spaces, those with a digit as variable fields.
+def _lines(text: Column) -> Column:
+    """The lines of a text, tokens joined by single spaces."""
+    return F.transform(F.split(F.regexp_replace(spaced(text, kept="\n"), "  +", " "), "\n"), lambda x: F.trim(x))
 
-    One chain of expressions: none of them is evaluated twice.
-    """
-    lines = F.split(F.regexp_replace(spaced(text, kept="\n"), "  +", " "), "\n")
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    return F.transform(trimmed, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(x))
+
+def _masked(line: Column) -> Column:
+    """A line with its tokens that hold a digit as variable fields."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(line)
 
 
 def document_key(key: Column, text: Column) -> Column:
@@ -59,40 +67,69 @@ def _placed(m: Column, depth: int) -> tuple[Column, Column]:
     return n, F.xxhash64(n, F.substring_index(m, " ", depth))
 
 
-def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, literal_share: float = LITERAL_SHARE, depth: int = DEPTH) -> DataFrame:
+#: Tokens at either end by which an edited line is known (half of a shorter line's).
+EDGE = 4
+
+
+def _own_signatures(rows: DataFrame, min_docs: int) -> DataFrame:
+    """``k, sig``: each document's signature, from its different lines (``k, d, head, tail``)."""
+    common = written(rows.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "common-lines")
+    marked = written(left_join_skewed(rows, common, ["d"]).select("k", "d", "head", "tail", F.col("n").isNotNull().alias("common")), "marked-lines")
+    least = lambda of: F.min(F.when(of, F.col("d")))
+    by = marked.groupBy("k").agg(least(F.col("common")).alias("shared"), least(~F.col("common")).alias("own"), F.count_if("common").alias("n_common"), F.count_if(~F.col("common")).alias("n_own"))
+    doubtful = written(by.where("n_own > 0 and n_own <= n_common").select("k", "shared"), "doubtful-documents")
+    edges = [written(marked.where("common").groupBy(c).agg(F.count("*").alias("n")).where(f"{c} is not null"), f"common-{c}s") for c in ("head", "tail")]
+    own = marked.where("not common").join(doubtful, "k")
+    for c, known in zip(("head", "tail"), edges, strict=True):
+        own = left_join_skewed(own, known, [c]).withColumn(f"like_{c}", F.col("n").isNotNull()).drop("n")
+    judged = own.groupBy("k").agg(F.coalesce(F.min(F.when(~(F.col("like_head") | F.col("like_tail")) & F.col("head").isNotNull(), F.col("d"))), F.first("shared")).alias("sig"))
+    plain = by.where("not (n_own > 0 and n_own <= n_common)").select("k", F.coalesce("own", "shared").alias("sig"))
+    return plain.unionByName(judged)
+
+
+def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, literal_share: float = LITERAL_SHARE, depth: int = DEPTH, unlike_share: float = UNLIKE_SHARE) -> DataFrame:
     """``k, line_no``: the lines (from 0) that match a recurring template; ``k`` as of :func:`document_key`.
 
-    The texts are read twice: once for a compact table with three hashes a
+    The texts are read twice: once for a compact table with hashes of each
     line, once for the words of those different lines whose leaf recurs. Lines
     are exploded as outer ones: else the planner would make them once more for
     a filter on their number.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.transform(F.split(t, "\n"), lambda x: F.md5(x)).alias("digests"), _masked_lines(t).alias("lines"))
-    rows = rows.select("k", "lines", "digests", F.array_min("digests").alias("first"))
-    rows = rows.select("k", "lines", F.transform("digests", lambda x: x == F.col("first")).alias("own"), "first", F.array_min(F.filter("digests", lambda x: x != F.col("first"))).alias("second"))
-    rows = rows.select("k", _short(F.col("first")).alias("first"), _short(F.coalesce("second", "first")).alias("second"), F.arrays_zip("lines", "own").alias("lines"))
     n, leaf = _placed(F.col("m"), depth)
-    flat = rows.select("k", "first", "second", F.posexplode_outer("lines").alias("line_no", "x")).select("k", "line_no", F.when(F.col("x.own"), F.col("second")).otherwise(F.col("first")).alias("sig"), F.col("x.lines").alias("m"))
-    flat = flat.select("k", "line_no", "sig", "m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
-    flat = written(flat.select("k", "line_no", "sig", "leaf", F.xxhash64("m").alias("h")), "lines")
+    flat = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.posexplode_outer(_lines(t)).alias("line_no", "x"))
+    flat = flat.select("k", "line_no", "x", _masked(F.col("x")).alias("m")).select("k", "line_no", "x", "m", n.alias("n"))
+    edge = f"cast(least({EDGE}, floor(n / 2)) as int)"
+    ends = {c: F.when(F.expr(edge) >= 2, F.xxhash64(F.expr(f"substring_index(x, ' ', {sign}{edge})"))) for c, sign in (("head", ""), ("tail", "-"))}
+    flat = flat.select("k", "line_no", F.when(F.col("n") >= min_tokens, leaf).alias("leaf"), F.xxhash64("m").alias("h"), _short(F.md5("x")).alias("d"), *[e.alias(c) for c, e in ends.items()])
+    flat = written(flat, "lines")
+    rows = written(flat.groupBy("k", "d").agg(*[F.first(c).alias(c) for c in ("leaf", "h", "head", "tail")]), "document-lines")
+    sigs = _own_signatures(rows.drop("leaf", "h"), min_docs)
+    flat = flat.where("leaf is not null").select("k", "line_no", "leaf", "h")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
-    busy = checked(written(flat.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves"))
-    kinds = written(flat.join(busy, "leaf", "left_semi").select("leaf", "h", "sig").distinct(), "line-kinds")
-    again = docs.select(F.explode_outer(_masked_lines(t)).alias("m")).select("m", n.alias("n"), leaf.alias("leaf")).where(F.col("n") >= min_tokens)
+    kinds = written(rows.where("leaf is not null").join(sigs, "k").groupBy("leaf", "h", "sig").agg(F.count("*").alias("docs")), "line-kinds")
+    busy = checked(written(kinds.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves"))
+    counts = written(kinds.groupBy("leaf", "h").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")).join(busy, "leaf", "left_semi"), "line-counts")
+    frequent = F.col("n") >= min_docs
+    rare = written(join_skewed(kinds.drop("docs"), counts.drop("docs"), ["leaf", "h"]).where(~frequent).select("leaf", "h", "sig"), "rare-kinds")  # fewer than min_docs a line
+    again = docs.select(F.explode_outer(_lines(t)).alias("x")).select(_masked(F.col("x")).alias("m")).select("m", n.alias("n")).where(F.col("n") >= min_tokens).select("m", leaf.alias("leaf"))
     forms = again.join(busy, "leaf", "left_semi").select("leaf", F.xxhash64("m").alias("h"), "m").distinct()
     tokens = F.transform(F.split("m", " "), lambda x: F.when(x != VARIABLE, F.xxhash64(x)))
-    forms = written(forms.select("leaf", "h", tokens.alias("tokens")), "line-forms")
-    at = forms.join(kinds, ["leaf", "h"]).select("leaf", "sig", F.posexplode("tokens").alias("pos", "token")).where("token is not null")
-    literal = at.groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
-    words = forms.select("leaf", "h", F.posexplode("tokens").alias("pos", "token"))
+    forms = written(forms.select("leaf", "h", tokens.alias("tokens")).join(counts, ["leaf", "h"]), "line-forms")
+    words = forms.select("leaf", "h", "n", "docs", F.posexplode("tokens").alias("pos", "token"))
+    sure = words.where(frequent & F.col("token").isNotNull()).select("leaf", "pos", "token")
+    at = forms.where(~frequent).join(rare, ["leaf", "h"]).select("leaf", "sig", F.posexplode("tokens").alias("pos", "token")).where("token is not null")
+    counted = at.groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(frequent).select("leaf", "pos", "token")
+    literal = sure.union(counted).distinct()
     shown = words.join(literal.withColumn("kept", F.lit(True)), ["leaf", "pos", "token"], "left")
     fields = F.xxhash64(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept"), F.col("token")).alias("token")))))
-    templates = shown.groupBy("leaf", "h").agg(fields.alias("template"), F.count("kept").alias("literals"), F.count("*").alias("n_tokens"))
-    templates = written(templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "h", "template"), "line-templates")
-    recurring = kinds.join(checked(templates), ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
-    dropped = written(templates.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h").distinct(), "line-dropped")
-    return flat.select("k", "line_no", "leaf", "h").join(checked(dropped), ["leaf", "h"], "left_semi").select("k", "line_no")
+    templates = shown.groupBy("leaf", "h").agg(fields.alias("template"), F.first("n").alias("n"), F.first("docs").alias("docs"), F.count("kept").alias("literals"), F.count("*").alias("n_tokens"))
+    templates = written(templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "h", "template", "n", "docs"), "line-templates")
+    met = join_skewed(kinds.drop("docs"), templates.drop("docs"), ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("sig").alias("sigs"))
+    held = templates.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"))
+    recurring = met.join(held, ["leaf", "template"]).where((F.col("sigs") >= min_docs) & (F.col("sigs") >= unlike_share * F.col("docs"))).select("leaf", "template")
+    dropped = written(templates.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h", "n"), "line-dropped")
+    return join_skewed(flat, dropped, ["leaf", "h"]).select("k", "line_no")
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules: float) -> DataFrame:
@@ -129,20 +166,28 @@ OP4_SQL = f"""
 WITH base AS (
   SELECT doc_id, text, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(text, '~'))) AS k, string_split(coalesce(text, ''), chr(10)) AS lines
   FROM documents),
-hashed AS (SELECT k, lines, list_transform(lines, lambda x: md5(x)) AS digests FROM base),
-lows AS (SELECT k, lines, digests, list_min(digests) AS low FROM hashed),
-pairs AS (SELECT k, lines, digests, low, coalesce(list_min(list_filter(digests, lambda x: x <> low)), low) AS second FROM lows),
-spelt AS (SELECT k, low, second, unnest(digests) AS digest, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM pairs),
-signed AS (SELECT k, CASE WHEN digest = low THEN second ELSE low END AS sig, line, line_no FROM spelt),
-tokens AS (
-  SELECT k, sig, line_no,
-    list_transform(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{VARIABLE}' ELSE w END) AS m
-  FROM signed),
+spelt AS (SELECT k, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM base),
+words AS (SELECT k, line_no, list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]'), lambda w: w <> '') AS x FROM spelt),
+tokens AS (SELECT k, line_no, x, list_transform(x, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{VARIABLE}' ELSE w END) AS m FROM words),
+edges AS (
+  SELECT DISTINCT k, md5(array_to_string(x, ' ')) AS d, CASE WHEN len(x) >= 4 THEN array_to_string(x[1:least({EDGE}, len(x) // 2)], ' ') END AS head,
+    CASE WHEN len(x) >= 4 THEN array_to_string(x[len(x) - least({EDGE}, len(x) // 2) + 1:], ' ') END AS tail
+  FROM tokens),
+common AS (SELECT d FROM edges GROUP BY d HAVING count(DISTINCT k) >= {MIN_DOCS}),
+marked AS (SELECT *, d IN (SELECT d FROM common) AS is_common FROM edges),
+shares AS (SELECT k, min(d) FILTER (is_common) AS shared, count(*) FILTER (NOT is_common) AS n_own, count(*) FILTER (is_common) AS n_common FROM marked GROUP BY k),
+heads AS (SELECT DISTINCT head FROM marked WHERE is_common AND head IS NOT NULL),
+tails AS (SELECT DISTINCT tail FROM marked WHERE is_common AND tail IS NOT NULL),
+own AS (
+  SELECT k, d FROM marked m JOIN shares USING (k)
+  WHERE NOT is_common AND (n_own > n_common OR head IS NOT NULL AND NOT (EXISTS (SELECT 1 FROM heads WHERE heads.head = m.head) OR EXISTS (SELECT 1 FROM tails WHERE tails.tail = m.tail)))),
+sigs AS (SELECT k, coalesce((SELECT min(d) FROM own WHERE own.k = shares.k), shared) AS sig FROM shares),
+signed AS (SELECT k, sig, x, m, line_no FROM tokens JOIN sigs USING (k)),
 placed AS (
-  SELECT k, sig, line_no, CAST(len(m) AS VARCHAR) || ' ' || array_to_string(m[1:{DEPTH}], ' ') AS leaf, array_to_string(m, ' ') AS m
-  FROM tokens WHERE len(m) >= {MIN_TOKENS}),
+  SELECT k, sig, line_no, x, CAST(len(m) AS VARCHAR) || ' ' || array_to_string(m[1:{DEPTH}], ' ') AS leaf, array_to_string(m, ' ') AS m
+  FROM signed WHERE len(m) >= {MIN_TOKENS}),
 busy AS (SELECT leaf FROM placed GROUP BY leaf HAVING count(DISTINCT sig) >= {MIN_DOCS}),
-kinds AS (SELECT DISTINCT leaf, m, sig FROM placed WHERE leaf IN (SELECT leaf FROM busy)),
+kinds AS (SELECT leaf, m, sig, count(DISTINCT row(k, x)) AS docs FROM placed WHERE leaf IN (SELECT leaf FROM busy) GROUP BY leaf, m, sig),
 spread AS (SELECT leaf, m, sig, unnest(string_split(m, ' ')) AS token, unnest(range(len(string_split(m, ' ')))) AS pos FROM kinds),
 literal AS (SELECT leaf, pos, token FROM spread WHERE token <> '{VARIABLE}' GROUP BY ALL HAVING count(DISTINCT sig) >= {MIN_DOCS}),
 shown AS (
@@ -151,8 +196,8 @@ shown AS (
 templates AS (
   SELECT leaf, m, string_agg(coalesce(kept, '{VARIABLE}'), ' ' ORDER BY pos) AS template
   FROM shown GROUP BY leaf, m HAVING count(kept) >= {LITERAL_SHARE} * count(*)),
-recurring AS (SELECT template FROM kinds JOIN templates USING (leaf, m) GROUP BY template HAVING count(DISTINCT sig) >= {MIN_DOCS}),
-dropped AS (SELECT DISTINCT m FROM templates WHERE template IN (SELECT template FROM recurring)),
+recurring AS (SELECT leaf, template FROM kinds JOIN templates USING (leaf, m) GROUP BY leaf, template HAVING count(DISTINCT sig) >= {MIN_DOCS} AND count(DISTINCT sig) >= {UNLIKE_SHARE} * sum(docs)),
+dropped AS (SELECT DISTINCT m FROM templates SEMI JOIN recurring USING (leaf, template)),
 gone AS (SELECT DISTINCT k, line_no FROM placed WHERE m IN (SELECT m FROM dropped)),
 per_doc AS (SELECT k, list(line_no) AS g FROM gone GROUP BY k)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_dropped,
