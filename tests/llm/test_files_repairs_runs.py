@@ -48,8 +48,9 @@ def test_words_encode_like_whole_texts():
     with open(FILE, encoding="utf-8") as f:
         encoder = token_files.WordEncoder(f.read())
     rng = random.Random(9)
-    pieces = ["a", "The", "'s", "́", "é", "İ", "<|endoftext|>", "<|endof", "42", "#!", "Σ", "中", "\x1f", " ", "‍", "don't"]
-    texts = [t or "" for t in ODD_TEXTS] + ["".join(rng.choice(pieces) + rng.choice(("", "", " ", "\n", "\x0b")) for _ in range(rng.randrange(60))) for _ in range(300)]
+    assert encoder._alike
+    pieces = ["Été", "Größe", "d'été", "x'll", "'VE", "«ñ»", "×÷", "½", "ª", "a", "The", "'s", "́", "é", "İ", "<|endoftext|>", "<|endof", "42", "#!", "Σ", "中", "\x1f", " ", "‍", "don't"]
+    texts = [t or "" for t in ODD_TEXTS] + ["".join(rng.choice(pieces) + rng.choice(("", "", " ", "\n", "\x0b")) for _ in range(rng.randrange(60))) for _ in range(600)]
     for lo in range(0, len(texts), 50):
         ids, sizes = encoder.encode([t.encode() for t in texts[lo : lo + 50]], 2)
         parts = np.split(ids, np.cumsum(sizes)[:-1])

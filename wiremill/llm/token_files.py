@@ -23,7 +23,9 @@ index lets a reader take any block alone (:func:`ids_at`).
 
 Words are separated by ASCII white space, which the tokenizer drops and never
 looks across; so each different word of a task is encoded once and its ids are
-put together. That the result equals that of whole texts is tested.
+put together. Words of ASCII and Latin-1 letters are cut up as the tokenizer
+would, so that its model sees each different piece once; all others go through
+the whole tokenizer. That the result equals that of whole texts is tested.
 
 Nulls, empty and very long texts, ties, repeats: a null or empty text has the
 end id only; null keys come first; rows of equal key are ordered by a hash of
@@ -34,9 +36,12 @@ gives no files and an empty table; columns with other names are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -52,8 +57,8 @@ from wiremill.session import shared_dir, written
 MAGIC, BLOCK = b"WMTOKEN1", 128
 _HEAD = 6
 _PERCENTILES = (0.5, 0.75, 0.9, 0.95, 1.0)
-_ROWS = 1 << 12
-_CACHED_IDS = 1 << 23
+_ROWS = 1 << 11
+_CACHED_IDS = 1 << 21
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -158,36 +163,80 @@ class _Words(dict):
         return n
 
 
+#: How the tokenizer of ``word_bpe_49k.json`` cuts up lower-case words, for letters and signs that it leaves as they are; and the characters that stand for the bytes of UTF-8 in its model.
+_SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = "".join(chr(b) if b in _SHOWN else chr(0x100 + sum(x not in _SHOWN for x in range(b))) for b in range(256))
+_NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+
+def _cuts_up_alike(spec: str) -> bool:
+    """Whether a tokenizer is of the kind that ``_PIECES`` stands for."""
+    parts = json.loads(spec)
+    steps = lambda name, key: [x["type"] for x in (parts.get(name) or {}).get(key, [])]
+    if steps("normalizer", "normalizers") != _NORMALIZERS or steps("pre_tokenizer", "pretokenizers") != _PRE_TOKENIZERS:
+        return False
+    pattern = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "")
+    return pattern == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" and all("<|" in t["content"] for t in parts["added_tokens"])
+
+
+class _Pieces(dict):
+    """Ids of pieces by the tokenizer's model."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self._model = tokenizer.model
+
+    def __missing__(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
+        self[piece] = ids = [t.id for t in self._model.tokenize(shown)]
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops ASCII white space; each different word is encoded once while the cache lasts."""
 
     def __init__(self, spec: str) -> None:
         self._tokenizer = Tokenizer.from_str(spec)
+        self._alike = _cuts_up_alike(spec)
         self._clear()
 
     def _clear(self) -> None:
-        self._words = _Words()
-        self._ids, self._first, self._size = [np.empty(0, np.uint32)], np.empty(0, np.int64), np.empty(0, np.int64)
+        self._words, self._pieces = _Words(), _Pieces(self._tokenizer)
+        self._ids, self._first, self._size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of different words."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out: list[list[int] | None] = [None] * len(texts)
+        if self._alike:
+            pieces, simple, cut = self._pieces, _SIMPLE.fullmatch, _PIECES.findall
+            for i, text in enumerate(texts):
+                if text.isascii() and text.isalpha():
+                    out[i] = pieces[text.lower()]
+                elif simple(text) and "<|" not in text:
+                    found = cut(text.lower())
+                    out[i] = pieces[found[0]] if len(found) == 1 else [x for p in found for x in pieces[p]]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self._tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with ``end`` appended, and how many each has."""
-        if sum(map(len, self._ids)) > _CACHED_IDS:
+        if len(self._ids) > _CACHED_IDS:
             self._clear()
         words = self._words
-        numbers, counts = [], []
-        for text in texts:
-            found = text.split()
-            numbers += map(words.__getitem__, found)
-            counts.append(len(found))
+        parts = [text.split() for text in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        n = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if words.new:
-            fresh = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words.new], add_special_tokens=False)]
+            fresh = self._ids_of(words.new)
             size = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            held = sum(map(len, self._ids))
-            self._ids = [np.concatenate([*self._ids, np.fromiter((i for f in fresh for i in f), np.uint32, int(size.sum()))])]
-            self._first = np.concatenate([self._first, held + np.cumsum(size) - size])
+            self._first = np.concatenate([self._first, len(self._ids) + np.cumsum(size) - size])
             self._size = np.concatenate([self._size, size])
+            self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(fresh), np.uint32, int(size.sum()))])
             words.new = []
-        n = np.array(numbers, np.int64)
         size = self._size[n]
         of = np.repeat(np.arange(len(texts)), counts)
         lengths = np.bincount(of, size, minlength=len(texts)).astype(np.int64) + 1
@@ -195,11 +244,11 @@ class WordEncoder:
         inner = np.ones(len(out), bool)
         inner[np.cumsum(lengths) - 1] = False
         places = np.repeat(self._first[n] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[inner] = self._ids[0][places]
+        out[inner] = self._ids[places]
         return out, lengths
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end: int = 2, text: str = "text", key: str = "doc_id", frame_ids: int = 1 << 23) -> None:
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end: int = 2, text: str = "text", key: str = "doc_id", frame_ids: int = 1 << 22) -> None:
     """Write the ids of ``docs`` (an integer ``key``) to ``path``, in order of the key over all files; cases as of the module."""
     small_batches(docs)
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))  # the driver reads it; executors need no copy
