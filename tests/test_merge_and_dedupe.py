@@ -174,7 +174,7 @@ def test_purge_and_reextraction_are_applied(spark):
     tickers = spark.createDataFrame([(1, True), (2, True), (3, True)], "id int, active boolean")
     fresh = spark.createDataFrame([(2, 1, "exchange", 0.88)], LINK)
     pages = spark.createDataFrame([(3,)], "article_id bigint")
-    plan = R.purge_plan(links, tickers, raw, 0, fresh, pages)
+    plan = R.purge_plan(R.suspects(links, tickers, raw, 0), fresh, pages)
     assert {r["article_id"]: r["action"] for r in plan.collect()} == {1: "preserve", 2: "apply", 3: "clear", 4: "stamp"}
     arts, maps, items, counts = R.purged(articles, links, raw, tickers, plan, fresh)
     assert sorted(r["id"] for r in arts.collect()) == [1, 2, 4, 5]

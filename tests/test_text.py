@@ -34,6 +34,22 @@ def test_clean_summary(spark, text, want):
     assert one(spark, T.clean_summary, text) == want
 
 
+@pytest.mark.parametrize("depth", [1, 6, 50])
+def test_side_bars_end_with_their_own_div(spark, depth):
+    inner = "x" + "<div id=1>y" * depth + "</div>" * depth
+    assert one(spark, T.page_text, f'<p>Start</p><div class="b sidebar">{inner}z</div>Story<DIV CLASS="sidebar">{inner}</DIV> body <div>stays</div>') == "Start Story body stays"
+    assert one(spark, T.page_text, f'<div>Start</div></div><div class="sidebar">{inner} never closed <div class="sidebar">z</div>') == "Start"
+    assert one(spark, T.page_text, '<p>no sidebar</p> 1 <> 2') == "no sidebar 1 <> 2"
+
+
+def test_only_texts_with_rare_entities_reach_python(spark):
+    rows = spark.createDataFrame([("a &amp; b",), ("na&iuml;ve &#8211; &amp;lt;",), ("plain",), (None,)], "x string")
+    out = rows.select(T.decode_entities(F.col("x")).alias("y"))
+    assert [r["y"] for r in out.collect()] == ["a & b", "na\u00efve \u2013 &lt;", "plain", None]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [_unescape(CASE WHEN" in plan
+
+
 def test_page_text(spark):
     page = "<nav>top</nav><h1>Harbour</h1><script>f()</script><p>Ships 3&gt;2</p><h2>Also from this source</h2><p>more</p><footer>end</footer>"
     assert one(spark, T.page_text, page) == "Harbour Ships 3>2"
@@ -42,7 +58,9 @@ def test_page_text(spark):
     assert one(spark, T.page_text, "<div>kept</div><p>Related weather</p>") == "kept Related weather"
 
 
-@pytest.mark.parametrize(("text", "want"), [("Wed, 11 Feb 2026 08:30:00 +0200", "2026-02-11 06:30:00"), ("11 Feb 2026 08:30:00 GMT", "2026-02-11 08:30:00"), ("2026-02-11T00:00:00Z", "2026-02-11 00:00:00"), ("later", None), (None, None)])
+@pytest.mark.parametrize(("text", "want"), [("Wed, 11 Feb 2026 08:30:00 +0200", "2026-02-11 06:30:00"), ("11 Feb 2026 08:30:00 GMT", "2026-02-11 08:30:00"), ("2026-02-11T00:00:00Z", "2026-02-11 00:00:00"), ("later", None), (None, None),
+    ("2026-02-11 08:30", "2026-02-11 08:30:00"), ("2026-02-11", "2026-02-11 00:00:00"), ("2026-02-11T08:30:00+02:00", "2026-02-11 06:30:00"), ("Wednesday, February 11, 2026 8:30 a.m. EST", "2026-02-11 13:30:00"),
+    ("Feb 11, 2026 at 8:30 PM", "2026-02-11 20:30:00"), ("February 11th, 2026", "2026-02-11 00:00:00"), ("11 February 2026 08:30", "2026-02-11 08:30:00"), ("2/11/2026 8:30pm", "2026-02-11 20:30:00"), ("Wed, 11 Feb 2026 08:30 EDT", "2026-02-11 12:30:00"), ("", None)])
 def test_parse_date(spark, text, want):
     assert one(spark, lambda c: T.parse_date(c).cast("string"), text) == want
 

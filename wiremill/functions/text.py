@@ -25,12 +25,17 @@ def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def decode_entities(text: Column) -> Column:
-    """HTML entities decoded: the common ones by ``replace``, texts with others in Arrow batches."""
+    """HTML entities decoded: the common ones by ``replace``, texts with others in Arrow batches, to which all other texts are null."""
     plain = text
     for name, value in NAMED_ENTITIES:
         plain = F.replace(plain, F.lit(name), F.lit(value))
     rest = F.regexp_replace(text, "&(?:lt|gt|quot|#39|nbsp|amp);", "").rlike("&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);?")
-    return F.when(~F.contains(text, F.lit("&")), text).when(rest, _unescape(text)).otherwise(plain)
+    return F.coalesce(_unescape(F.when(rest, text)), plain)
+
+
+def none_if_empty(text: Column) -> Column:
+    """``text``, named once (a task's Python function may be in it); null for an empty one."""
+    return F.try_element_at(F.array_remove(F.array(text), ""), F.lit(1))
 
 
 def collapse(text: Column) -> Column:
@@ -46,38 +51,47 @@ def normalize_title(title: Column, entities: bool = True) -> Column:
 def clean_summary(text: Column, entities: bool = True) -> Column:
     """Text without tags and double spaces; null where nothing is left."""
     known = decode_entities(text) if entities else text
-    return F.nullif(collapse(F.regexp_replace(known, "<[^>]*>", " ")), F.lit(""))
+    return none_if_empty(collapse(F.regexp_replace(known, "<[^>]+>", " ")))
 
 
 #: Fixed value: what heads a list of other news below an article.
 RELATED = r"(?is)>\s*(?:More\s+News\s+From|Related\s+(?:News|Press\s+Releases|Articles)|Also\s+from\s+this\s+source)\b.*$"
-#: A div that a side bar's class names, and all that it holds, by number of nested divs.
-_SIDEBAR = r'<div\b[^>]*\bclass="[^"]*sidebar[^"]*"[^>]*>'
+#: Fixed value: a div that a side bar's class names, at the start of a text.
+SIDEBAR = r'(?i)^<div\b[^>]*\bclass="[^"]*sidebar[^"]*"[^>]*>'
 
 
-def _balanced_div(depth: int) -> str:
-    """Pattern of what stands inside a div up to its end, other divs nested up to ``depth``."""
-    plain = r"(?:(?!</?div\b).)*+"
-    inner = plain
-    for _ in range(depth):
-        inner = rf"{plain}(?:<div\b[^>]*>{inner}</div>{plain})*+"
-    return inner
+def without_side_bars(page: Column) -> Column:
+    """A page with a space for each side bar, up to the end of its own div at any depth; one that never ends goes up to the page's end.
 
+    The page is cut at its div tags, and one pass over these keeps the running
+    depth; a side bar ends where the depth is what it was before it.
+    """
 
-def without_noise(page: Column, depth: int = 5) -> Column:
-    """A page without scripts, styles, navigation, asides, footers and side bars, cut at a heading of related news.
+    def step(state: Column, piece: Column) -> Column:
+        closes = F.lower(F.substring(piece, 1, 6)) == "</div>"
+        depth = state["depth"] + F.when(closes, -1).when(F.lower(F.substring(piece, 1, 4)) == "<div", 1).otherwise(0)
+        outside = state["base"].isNull()
+        starts = outside & piece.rlike(SIDEBAR)
+        ends = closes & F.coalesce(depth == state["base"], F.lit(False))
+        base = F.when(starts, state["depth"]).when(~ends, state["base"])
+        rest = F.when(ends, F.substring(piece, 7, F.length(piece))).when(starts, " ").when(outside, piece)  # a bar's own end tag goes
+        kept = F.when(rest.isNotNull(), F.array_append(state["kept"], rest)).otherwise(state["kept"])
+        return F.struct(depth.alias("depth"), base.alias("base"), kept.alias("kept"))
 
-    A side bar ends where its own div does, with divs nested up to ``depth``; one that never ends goes up to the page's end.
-    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("base"), F.array().cast("array<string>").alias("kept"))
+    cut = F.aggregate(F.split(page, "(?i)(?=<div|</div>)"), start, step, lambda state: F.array_join(state["kept"], ""))
+    return F.when(F.contains(F.lower(page), F.lit("sidebar")), cut).otherwise(page)
+
+
+def without_noise(page: Column) -> Column:
+    """A page without scripts, styles, navigation, asides, footers and side bars, cut at a heading of related news."""
     out = F.regexp_replace(page, r"(?is)<(script|style|nav|aside|footer)\b[^>]*>.*?</\1\s*>", " ")
-    bars = F.regexp_replace(F.regexp_replace(out, rf"(?is){_SIDEBAR}{_balanced_div(depth)}</div>", " "), rf"(?is){_SIDEBAR}.*$", " ")
-    out = F.when(F.contains(F.lower(out), F.lit("sidebar")), bars).otherwise(out)
-    return F.regexp_replace(out, RELATED, ">")
+    return F.regexp_replace(without_side_bars(out), RELATED, ">")
 
 
 def page_text(page: Column) -> Column:
     """Readable text of a page; null where nothing is left."""
-    return F.nullif(collapse(decode_entities(F.regexp_replace(without_noise(page), "<[^>]*>", " "))), F.lit(""))
+    return none_if_empty(collapse(decode_entities(F.regexp_replace(without_noise(page), "<[^>]+>", " "))))
 
 
 def url_part(url: Column, part: str) -> Column:
@@ -123,11 +137,51 @@ def host_is(url: Column, host: str) -> Column:
     return url_part(url, "scheme").isin("http", "https") & ((own == host) | own.endswith(f".{host}"))
 
 
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Spellings of a day: pattern, and the groups of year, month, day.
+_DAYS = (
+    (r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})\b", (3, 2, 1)),
+    (r"^([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})\b", (3, 1, 2)),
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?!\d)", (1, 2, 3)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})\b", (3, 1, 2)),
+    (r"^(\d{4})(\d{2})(\d{2})(?!\d)", (1, 2, 3)),
+)
+_CLOCK = r"(?i)^,?(?:T| (?:at )?)(\d{1,2})(?::(\d{2})(?::(\d{2}))?)?(?:\.\d+)? ?(a\.?m|p\.?m)?(?![\d/-])"
+#: Hours of named zones from UTC; others count as UTC.
+_ZONES = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "CET": 1, "CEST": 2, "BST": 1}
+
+
 def parse_date(text: Column) -> Column:
-    """RFC 2822 and ISO dates as UTC; null where neither fits."""
-    bare = F.trim(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""))
-    tries = [F.try_to_timestamp(bare, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z")]
-    return F.coalesce(*tries, F.try_to_timestamp(bare))
+    """Dates as UTC: RFC 2822, ISO, and the usual free forms (``February 11, 2026 8:30 AM EST``); those without a zone are taken as UTC, and null stands for what is no date.
+
+    The parts are found by patterns and put into one ISO text, so a date is
+    parsed once however it is spelt.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? ", "")
+
+    def padded(part: Column, size: int = 2) -> Column:
+        return F.lpad(part, size, "0")
+
+    def month(part: Column) -> Column:
+        at = F.call_function("instr", F.lit(_MONTHS), F.lower(F.substring(part, 1, 3)))
+        return F.when(part.rlike("^\\d"), part).when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string"))
+
+    days = []
+    for pattern, (y, m, d) in _DAYS:
+        part = lambda g, p=pattern: F.regexp_extract(bare, p, g)
+        days.append(F.when(part(y) != "", F.concat(part(y), F.lit("-"), padded(month(part(m))), F.lit("-"), padded(part(d)))))
+    rest = F.regexp_replace(bare, "|".join(p for p, _ in _DAYS), "")
+    clock = lambda g: F.regexp_extract(rest, _CLOCK, g)
+    half = F.lower(F.substring(clock(4), 1, 1))
+    hour = F.when(clock(1) == "", 0).otherwise(clock(1).cast("int"))
+    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    minute = lambda g: padded(F.when(clock(g) == "", "0").otherwise(clock(g)))
+    shift = F.regexp_extract(bare, r":\d{2}(?:\.\d+)? ?([+-]\d{2}:?\d{2})(?: ?\([A-Z]+\))?$", 1)
+    name = F.regexp_extract(bare, r"\b([A-Z]{3,4})$", 1)
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in _ZONES.items() for x in (k, f"{v:+03d}:00")]), name), F.lit("+00:00"))
+    zone = F.when(shift != "", F.concat(F.substring(shift, 1, 3), F.lit(":"), F.substring(shift, -2, 2))).otherwise(named)
+    spelt = F.concat(F.coalesce(*days), F.lit("T"), padded(hour.cast("string")), F.lit(":"), minute(2), F.lit(":"), minute(3), zone)
+    return spelt.try_cast("timestamp")
 
 
 def label(text: Column, most: int = 120) -> Column:

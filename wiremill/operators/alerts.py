@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiremill.functions.text import symbol_list
+from wiremill.operators.substrings import containing
 
 SCOPES = "struct<include_all_news:boolean,watchlists:array<struct<id:string,name:string,tickers:string,provider:string,q:string>>>"
 
@@ -43,9 +44,8 @@ def query_matches(scopes: DataFrame, articles: DataFrame, links: DataFrame, fact
     (``facts`` as of the news list: own link before newest), or by the text of
     the provider's label where there are none; any other name by that text. A
     text has to be in the title or in an active symbol. All joins are by
-    equality, on symbols or on labels of providers (names that hold a text are
-    found among the different labels only); queries of a text alone meet each
-    title, and are dealt once however many scopes share them.
+    equality: on symbols, on labels of providers, and on trigrams where a text
+    is looked for (:func:`containing`), each different text once.
     """
     asked = scopes.where("query <> ''").groupBy("query").agg(F.first("tickers").alias("tickers"), F.lower(F.first("provider")).alias("provider"), F.lower(F.first("q")).alias("q"))
     names = sources.select(F.col("id").alias("s_id"), F.lower("name").alias("name"))
@@ -56,13 +56,18 @@ def query_matches(scopes: DataFrame, articles: DataFrame, links: DataFrame, fact
     rows = articles.join(own, F.col("id") == F.col("l_id")).join(found, F.col("id") == F.col("f_id"), "left").select(F.col("id").alias("article_id"), F.lower("title").alias("title"), by.alias("by"), "symbols")
     labels = articles.select(label.alias("label")).distinct()
     wanted = asked.where("provider is not null").select("provider").distinct().join(names.select(F.col("name").alias("provider"), F.lit(True).alias("known")), "provider", "left")
-    texts = wanted.join(labels, F.contains("label", F.col("provider")), "left").groupBy("provider").agg(F.first("known").alias("known"), F.collect_set("label").alias("labels"))
+    within = containing(wanted.select("provider"), labels.select("label", F.col("label").alias("hay")), "provider", "label")
+    texts = wanted.join(within, "provider", "left").groupBy("provider").agg(F.first("known").alias("known"), F.collect_set("label").alias("labels"))
     keyed = F.when(F.col("known"), F.concat(F.array(F.concat(F.lit("s:"), "provider")), F.transform("labels", lambda x: F.concat(F.lit("p:"), x)))).otherwise(F.transform("labels", lambda x: F.concat(F.lit("t:"), x)))
     asked = asked.join(texts.select("provider", keyed.alias("keys")), "provider", "left")
     fits = (F.col("provider").isNull() | F.coalesce(F.arrays_overlap("by", "keys"), F.lit(False))) & (F.col("q").isNull() | F.contains("title", F.col("q")) | F.exists("symbols", lambda x: F.contains(x, F.upper("q"))))
     by_symbol = asked.where("tickers is not null").withColumn("symbol", F.explode("tickers")).join(links, "symbol").select("query", "provider", "q", "keys", "article_id").join(rows, "article_id")
     by_name = asked.where("tickers is null and provider is not null").withColumn("key", F.explode("keys")).join(rows.withColumn("key", F.explode("by")), "key")
-    by_text = asked.where("tickers is null and provider is null").join(rows, F.contains("title", F.col("q")) | F.exists("symbols", lambda x: F.contains(x, F.upper("q"))))
+    only = asked.where("tickers is null and provider is null").select("query", "q")
+    in_titles = containing(only.select("q"), rows.select("article_id", F.col("title").alias("hay")), "q", "article_id")
+    shown = links.select("symbol").distinct()
+    in_symbols = containing(only.select("q"), shown.select("symbol", F.lower("symbol").alias("hay")), "q", "symbol").join(links, "symbol").select("q", "article_id")
+    by_text = only.join(in_titles.union(in_symbols), "q")
     out = by_symbol.where(fits).select("query", "article_id").union(by_name.where(fits).select("query", "article_id")).union(by_text.select("query", "article_id"))
     return out.union(links.select(F.lit(""), "article_id")).distinct()
 

@@ -39,18 +39,24 @@ def mapping_facts(mappings: DataFrame, tickers: DataFrame) -> DataFrame:
     )
 
 
-def purge_plan(mappings: DataFrame, tickers: DataFrame, raw_items: DataFrame, general_source: int, fresh: DataFrame, pages: DataFrame) -> DataFrame:
-    """``article_id, action`` of mapped articles that look wrong.
+def suspects(mappings: DataFrame, tickers: DataFrame, raw_items: DataFrame, general_source: int) -> DataFrame:
+    """Mapped articles that look wrong, with their :func:`mapping_facts`.
 
-    Looked at are those with raw items, none of the general source, whose best
+    These are those with raw items, none of the general source, whose best
     confidence is under the threshold, or with a token mapping, or a stale one.
+    """
+    items = raw_items.where("article_id is not null").groupBy("article_id").agg(F.bool_or(F.col("source_id") == general_source).alias("general"))
+    return mapping_facts(mappings, tickers).where((F.col("best") < PERSIST) | F.col("has_token") | F.col("stale")).join(items.where("not general"), "article_id").drop("general")
+
+
+def purge_plan(looked: DataFrame, fresh: DataFrame, pages: DataFrame) -> DataFrame:
+    """``article_id, action`` of the articles that :func:`suspects` found.
+
     ``fresh``: ``article_id`` with links by a new extraction; ``pages``:
     ``article_id`` with a landed page. In order: all doubtful ones are tokens
     beside preserved ones: keep those (``preserve``); new links: ``apply``;
     preserved ones but no page: ``stamp``; else ``clear``.
     """
-    items = raw_items.where("article_id is not null").groupBy("article_id").agg(F.bool_or(F.col("source_id") == general_source).alias("general"))
-    looked = mapping_facts(mappings, tickers).join(items, "article_id").where(~F.col("general") & ((F.col("best") < PERSIST) | F.col("has_token") | F.col("stale")))
     for name, ids in (("fresh", fresh), ("page", pages)):
         looked = looked.join(ids.select("article_id").distinct().withColumn(name, F.lit(True)), "article_id", "left")
     some = F.col("preserved") > 0

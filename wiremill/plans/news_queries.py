@@ -75,13 +75,13 @@ def news_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""{MODEL}, own AS (SELECT a.id, a.title, a.summary, a.source_name, a.provider_name, list(symbol ORDER BY symbol) AS t FROM articles a JOIN active ON article_id = a.id GROUP BY ALL),
     hay AS (SELECT *, lower(title || ' ' || summary || ' ' || source_name || ' ' || provider_name || ' ' || array_to_string(t, ' ')) AS h FROM own)
-    SELECT DISTINCT s.id AS scope_id, o.id AS article_id FROM (SELECT * FROM scopes WHERE scope <> 'all' AND id % 20 = 3) s JOIN hay o ON (s.tickers IS NULL OR list_has_any(s.tickers, o.t)) AND (s.provider IS NULL OR lower(s.provider) = lower(o.provider_name)) AND (s.q IS NULL OR contains(o.h, lower(s.q)))"""
+    SELECT DISTINCT s.id AS scope_id, o.id AS article_id FROM (SELECT * FROM scopes WHERE scope <> 'all') s JOIN hay o ON (s.tickers IS NULL OR list_has_any(s.tickers, o.t)) AND (s.provider IS NULL OR lower(s.provider) = lower(o.provider_name)) AND (s.q IS NULL OR contains(o.h, lower(s.q)))"""
 )
 def watchlist_matches(spark: SparkSession, d: str) -> DataFrame:
     f = feed(spark, d)
     own = N.active_mappings(f).groupBy("article_id").agg(F.sort_array(F.collect_list("symbol")).alias("tickers"))
     rows = f.articles.join(own, F.col("id") == F.col("article_id"))
-    scopes = M.subscriptions(spark, d).where("scope <> 'all' and id % 20 = 3").withColumnRenamed("id", "scope_id")
+    scopes = M.subscriptions(spark, d).where("scope <> 'all'").withColumnRenamed("id", "scope_id")
     return N.watchlist_match(rows, scopes)
 
 
@@ -143,7 +143,7 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, sha256({NORMAL.format('split_part(text, chr(10), 1)')}) AS title_hash,
-    nullif(trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS summary, substr(trim(split_part(text, chr(10), 1)), 1, 120) AS label FROM documents"""
+    nullif(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS summary, substr(trim(split_part(text, chr(10), 1)), 1, 120) AS label FROM documents"""
 )
 def clean_titles(spark: SparkSession, d: str) -> DataFrame:
     title = F.substring_index("text", "\n", 1)
@@ -153,7 +153,7 @@ def clean_titles(spark: SparkSession, d: str) -> DataFrame:
 _CUT = "html"
 for _tag in ("script", "style", "nav", "aside", "footer"):
     _CUT = f"regexp_replace({_CUT}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'gis')"
-_CUT = f"regexp_replace({_CUT}, '<[^>]*>', ' ', 'g')"
+_CUT = f"regexp_replace({_CUT}, '<[^>]+>', ' ', 'g')"
 for _name, _value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _CUT = f"replace({_CUT}, '{_name}', '{_value}')"
 

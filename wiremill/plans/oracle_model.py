@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wiremill.sources.model import ENDINGS, GENERAL_HOST, SYMBOLS
+from wiremill.sources.model import ENDINGS, GENERAL_HOST, SYMBOLS, TEXTS
 
 _ROWS = ", ".join(f"({i}, '{s}', '{k}', {str(i % 5 != 0).lower()})" for i, (s, k, _, _) in enumerate(SYMBOLS, 1))
 _LIST = "[" + ", ".join(f"'{s[0]}'" for s in SYMBOLS) + "]"
+_TEXTS = "[" + ", ".join(f"'{t}'" for t in TEXTS) + "]"
 _ENDS = " || ".join(f"CASE WHEN doc_id % {n} = 0 THEN '{end}' ELSE '' END" for n, end in ENDINGS)
 #: Normal form of a title in SQL.
 NORMAL = "trim(regexp_replace(regexp_replace(trim(regexp_replace(lower({}), '\\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
@@ -50,7 +51,8 @@ scopes AS (
   SELECT id, 'all' AS scope, CAST(NULL AS VARCHAR[]) AS tickers, CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS VARCHAR) AS q, mark FROM scopes0 WHERE kind IN ('AUTOMOBILE', 'FURNITURE')
   UNION ALL
   SELECT id, 'watchlist:w1', CASE WHEN kind IN ('FURNITURE', 'BUILDING') THEN list_distinct([s1, s2]) WHEN kind = 'HOUSEHOLD' THEN [s1] END,
-    CASE WHEN kind IN ('BUILDING', 'MACHINERY') THEN 'wire SRC' || (id % 20) END, CASE WHEN kind = 'HOUSEHOLD' AND id % 3 = 0 THEN 'er' END, mark FROM scopes0 WHERE kind <> 'AUTOMOBILE'),
+    CASE WHEN kind = 'BUILDING' OR kind = 'MACHINERY' AND id % 4 <> 1 THEN 'wire SRC' || (id % 20) END,
+    CASE WHEN kind = 'HOUSEHOLD' AND id % 3 = 0 THEN 'er' WHEN kind = 'MACHINERY' AND id % 4 = 1 THEN {_TEXTS}[id % {len(TEXTS)} + 1] END, mark FROM scopes0 WHERE kind <> 'AUTOMOBILE'),
 raw_facts AS (
   SELECT article_id, arg_max(source_id, r.id) AS latest_source, arg_max(CASE WHEN raw_link = canonical_url THEN source_id END, CASE WHEN raw_link = canonical_url THEN r.id END) AS canonical_source
   FROM raw_items r JOIN articles a ON a.id = r.article_id GROUP BY article_id),

@@ -493,9 +493,14 @@ def stale_mappings(spark: SparkSession, d: str) -> DataFrame:
 FRESH = f"{LINKS}, fresh AS (SELECT l.id AS article_id, t.id AS ticker_id, match_type, confidence FROM links l JOIN tickers t USING (symbol) WHERE confidence >= 0.65)"
 
 
-def _fresh(spark: SparkSession, d: str) -> DataFrame:
+def _fresh(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Verified links of the articles in ``of`` (``article_id``), of all without it; only these are read for links."""
     known = M.tickers(spark).select(F.col("id").alias("ticker_id"), "symbol")
-    return E.verified(links(spark, d)).join(known, "symbol").select(F.col("id").alias("article_id"), "ticker_id", "match_type", "confidence")
+    rows = entries(spark, d)
+    if of is not None:
+        rows = rows.join(of.select(F.col("article_id").alias("id")), "id", "left_semi")
+    found = E.links(rows, M.tickers(spark).where("active"), E.profiles(M.tickers(spark)))
+    return E.verified(found).join(known, "symbol").select(F.col("id").alias("article_id"), "ticker_id", "match_type", "confidence")
 
 
 PURGE = f"""{FRESH}, facts AS (SELECT article_id, max(confidence) AS best, bool_or(match_type = 'token') AS has_token, bool_or(extraction_version < 10) AS stale, count(*) AS n,
@@ -507,17 +512,22 @@ PURGE = f"""{FRESH}, facts AS (SELECT article_id, max(confidence) AS best, bool_
 
 @query(f"{PURGE} SELECT * FROM plan")
 def purge_plan(spark: SparkSession, d: str) -> DataFrame:
-    return _purge_plan(spark, d, _fresh(spark, d))
+    suspects = _suspects(spark, d)
+    return _purge_plan(spark, d, suspects, _fresh(spark, d, suspects))
 
 
-def _purge_plan(spark: SparkSession, d: str, fresh: DataFrame) -> DataFrame:
-    pages = M.read(spark, d, "pages").select(F.col("page_id").alias("article_id"))
-    return R.purge_plan(M.mappings(spark, d), M.tickers(spark), M.raw_items(spark, d), 0, fresh, pages)
+def _suspects(spark: SparkSession, d: str) -> DataFrame:
+    return written(R.suspects(M.mappings(spark, d), M.tickers(spark), M.raw_items(spark, d), 0), "suspects")
+
+
+def _purge_plan(spark: SparkSession, d: str, suspects: DataFrame, fresh: DataFrame) -> DataFrame:
+    return R.purge_plan(suspects, fresh, M.read(spark, d, "pages").select(F.col("page_id").alias("article_id")))
 
 
 def _purged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    fresh = written(_fresh(spark, d), "fresh-links")
-    plan = written(_purge_plan(spark, d, fresh), "purge-plan")
+    suspects = _suspects(spark, d)
+    fresh = written(_fresh(spark, d, suspects), "fresh-links")
+    plan = written(_purge_plan(spark, d, suspects, fresh), "purge-plan")
     return R.purged(M.articles(spark, d), M.mappings(spark, d), M.raw_items(spark, d), M.tickers(spark), plan, fresh)
 
 
@@ -556,7 +566,8 @@ def reextract(spark: SparkSession, d: str) -> DataFrame:
 )
 def remap_apply(spark: SparkSession, d: str) -> DataFrame:
     chosen = R.remap_candidates(M.articles(spark, d), M.raw_items(spark, d), M.mappings(spark, d), 7, only_unmapped=False)
-    return R.remapped(M.mappings(spark, d), _fresh(spark, d), chosen.select(F.col("id").alias("article_id")))
+    chosen = chosen.select(F.col("id").alias("article_id"))
+    return R.remapped(M.mappings(spark, d), _fresh(spark, d, chosen), chosen)
 
 
 @query(
@@ -590,7 +601,7 @@ def revalidation_plan(spark: SparkSession, d: str) -> DataFrame:
 )
 def revalidate_stale(spark: SparkSession, d: str) -> DataFrame:
     items = M.raw_items(spark, d).where("article_id is not null")
-    return R.revalidate_stale(M.mappings(spark, d), _fresh(spark, d), items)
+    return R.revalidate_stale(M.mappings(spark, d), _fresh(spark, d, R.stale_articles(M.mappings(spark, d))), items)
 
 
 @query(f"{MODEL} SELECT id, title FROM articles a WHERE id IN (SELECT article_id FROM raw_items WHERE source_id = 7) AND id NOT IN (SELECT article_id FROM mappings) ORDER BY published_at DESC, id DESC LIMIT 500")
@@ -616,11 +627,11 @@ def mark_alerted_counts(spark: SparkSession, d: str) -> DataFrame:
 
 HITS = f"""{MODEL},
 place AS (SELECT a.id AS article_id, lower(a.title) AS title, lower(a.provider_name) AS label, f.article_id IS NOT NULL AS has_items, lower(s.name) AS of_source FROM articles a LEFT JOIN raw_facts f ON f.article_id = a.id LEFT JOIN sources s ON s.id = coalesce(f.canonical_source, f.latest_source) WHERE a.id IN (SELECT article_id FROM active)),
-asked AS (SELECT DISTINCT list_sort(tickers) AS tickers, lower(provider) AS provider, q FROM scopes),
+asked AS (SELECT DISTINCT list_sort(tickers) AS tickers, lower(provider) AS provider, lower(q) AS q FROM scopes),
 known AS (SELECT *, provider IN (SELECT lower(name) FROM sources) AS is_source FROM asked),
 met AS (SELECT k.tickers, k.provider, k.q, p.article_id FROM known k JOIN place p ON (k.tickers IS NULL OR p.article_id IN (SELECT article_id FROM active WHERE list_contains(k.tickers, symbol)))
   AND (k.provider IS NULL OR CASE WHEN is_source AND has_items THEN of_source = k.provider ELSE contains(label, k.provider) END) AND (k.q IS NULL OR contains(title, k.q) OR p.article_id IN (SELECT article_id FROM active WHERE contains(symbol, upper(k.q))))),
-reach AS (SELECT s.id, s.scope, s.mark, m.article_id FROM scopes s JOIN met m ON list_sort(s.tickers) IS NOT DISTINCT FROM m.tickers AND lower(s.provider) IS NOT DISTINCT FROM m.provider AND s.q IS NOT DISTINCT FROM m.q),
+reach AS (SELECT s.id, s.scope, s.mark, m.article_id FROM scopes s JOIN met m ON list_sort(s.tickers) IS NOT DISTINCT FROM m.tickers AND lower(s.provider) IS NOT DISTINCT FROM m.provider AND lower(s.q) IS NOT DISTINCT FROM m.q),
 hits AS (SELECT id, scope, article_id FROM (SELECT *, row_number() OVER (PARTITION BY id, scope ORDER BY article_id) AS rn FROM reach WHERE article_id > mark AND mark > 0) WHERE rn <= 25)"""
 
 

@@ -34,7 +34,7 @@ def _landed(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_TITLE = "trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _LINK = "'https://www.wire.example/' || lang || '/news/' || doc_id"
 _AT = "CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01 10:00:00' + to_days(CAST(doc_id % 28 AS INT)) END"
 

@@ -6,6 +6,7 @@ only the symbol universe is a short literal list.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ ENDINGS = (
     (37, " monthly IDE"), (41, " The Harbor Ridge Global Opportunities Fund"),
 )
 
+#: What watchlists of a text only look for.
+TEXTS = ("tion", "hr", "Est ", "no such text", "a")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,8 +79,10 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tickers(spark: SparkSession) -> DataFrame:
-    rows = [(i, *of, i % 5 != 0) for i, of in enumerate(SYMBOLS, 1)]
-    return spark.createDataFrame(rows, "id int, symbol string, validation_keywords string, fund_name string, sponsor string, active boolean")
+    """The symbols as a relation whose size the planner knows, so that it broadcasts them instead of texts or words that meet them."""
+    names = ("symbol", "validation_keywords", "fund_name", "sponsor")
+    columns = {"id": pa.array(range(1, len(SYMBOLS) + 1), pa.int32())} | {n: pa.array([s[k] for s in SYMBOLS], pa.string()) for k, n in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns | {"active": pa.array([i % 5 != 0 for i in range(1, len(SYMBOLS) + 1)])}))
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,7 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every sixth article is linked to inactive symbols only.
     """
-    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("symbol"))
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.explode(F.array_intersect(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array(*[F.lit(x[0]) for x in SYMBOLS]))).alias("symbol"))
     known = tickers(spark).select(F.col("id").alias("ticker_id"), "symbol", "active")
     out = words.join(known, "symbol").where("article_id % 6 <> 5 or not active")
     kind = F.when(F.col("ticker_id") % 3 == 0, "token").when(F.col("ticker_id") % 3 == 1, "paren").otherwise("exchange")
@@ -112,11 +118,13 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, kind = F.col("c_custkey"), F.col("c_mktsegment")
     symbol = F.element_at(F.array(*[F.lit(s[0]) for s in SYMBOLS]), (c % len(SYMBOLS)).cast("int") + 1)
     other = F.element_at(F.array(*[F.lit(s[0]) for s in SYMBOLS]), (c % 7).cast("int") + 1)
+    text_only = c % 4 == 1
+    text = F.when((kind == "HOUSEHOLD") & (c % 3 == 0), "er").when((kind == "MACHINERY") & text_only, F.element_at(F.array(*[F.lit(t) for t in TEXTS]), (c % len(TEXTS)).cast("int") + 1))
     rows = read(spark, sf_dir, "customer").select(
         c.alias("id"), kind.alias("kind"), F.when(kind.isin("FURNITURE", "BUILDING"), F.array_distinct(F.array(symbol, other))).when(kind == "HOUSEHOLD", F.array(symbol)).alias("tickers"),
-        F.when(kind.isin("BUILDING", "MACHINERY"), F.concat(F.lit("wire SRC"), (c % 20).cast("string"))).alias("provider"), F.when((kind == "HOUSEHOLD") & (c % 3 == 0), "er").alias("q"), (c % 500).alias("mark"),
+        F.when((kind == "BUILDING") | ((kind == "MACHINERY") & ~text_only), F.concat(F.lit("wire SRC"), (c % 20).cast("string"))).alias("provider"), text.alias("q"), (c % 500).alias("mark"),
     )
-    listed = rows.where("tickers is not null or provider is not null").select("id", F.lit("watchlist:w1").alias("scope"), "tickers", "provider", "q", "mark")
+    listed = rows.where("tickers is not null or provider is not null or q is not null").select("id", F.lit("watchlist:w1").alias("scope"), "tickers", "provider", "q", "mark")
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("tickers", "array<string>"), ("provider", "string"), ("q", "string"))]
     everything = rows.where("kind in ('AUTOMOBILE', 'FURNITURE')").select("id", F.lit("all").alias("scope"), *nothing, "mark")
     return listed.unionByName(everything)
