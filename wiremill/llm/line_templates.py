@@ -52,8 +52,8 @@ def _masked(line: Column) -> Column:
 
 
 def document_key(key: Column, text: Column) -> Column:
-    """16 bytes per different (key, text), null-safe; repeated rows share them."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("~")), F.coalesce(text, F.lit("~")))))
+    """A 64-bit hash per different (key, text), null-safe; repeated rows share it."""
+    return F.xxhash64(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("~")), F.coalesce(text, F.lit("~"))))
 
 
 def _short(digest: Column) -> Column:
@@ -71,20 +71,27 @@ def _placed(m: Column, depth: int) -> tuple[Column, Column]:
 EDGE = 4
 
 
-def _own_signatures(rows: DataFrame, min_docs: int) -> DataFrame:
-    """``k, sig``: each document's signature, from its different lines (``k, d, head, tail``)."""
-    common = written(rows.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "common-lines")
-    marked = written(left_join_skewed(rows, common, ["d"]).select("k", "d", "head", "tail", F.col("n").isNotNull().alias("common")), "marked-lines")
+def _own_signatures(lines: DataFrame, min_docs: int) -> DataFrame:
+    """``k, sig``: each document's signature, from ``lines`` (``k, d, head, tail``, a row for each different line of a document).
+
+    A document's lines stand together, so all that is shuffled are counts of
+    lines and a row per document; the common lines and their ends are met by
+    broadcast joins while they are few, and otherwise by joins that split the
+    frequent ones.
+    """
+    common = written(lines.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "common-lines")
+    few = checked(common) is not common
+    met = (lambda rows, known, on: rows.join(F.broadcast(known), on, "left")) if few else left_join_skewed  # as many ends as common lines at most
+    held = lines.join(checked(common.select("d")), "d", "left_semi")
+    edges = {c: written(held.groupBy(c).agg(F.count("*").alias("n")).where(f"{c} is not null"), f"common-{c}s") for c in ("head", "tail")}
+    rows = met(lines, common, ["d"]).withColumn("common", F.col("n").isNotNull()).drop("n")
+    for c, known in edges.items():
+        rows = met(rows, known, [c]).withColumn(f"like_{c}", F.col("n").isNotNull()).drop("n")
     least = lambda of: F.min(F.when(of, F.col("d")))
-    by = marked.groupBy("k").agg(least(F.col("common")).alias("shared"), least(~F.col("common")).alias("own"), F.count_if("common").alias("n_common"), F.count_if(~F.col("common")).alias("n_own"))
-    doubtful = written(by.where("n_own > 0 and n_own <= n_common").select("k", "shared"), "doubtful-documents")
-    edges = [written(marked.where("common").groupBy(c).agg(F.count("*").alias("n")).where(f"{c} is not null"), f"common-{c}s") for c in ("head", "tail")]
-    own = marked.where("not common").join(doubtful, "k")
-    for c, known in zip(("head", "tail"), edges, strict=True):
-        own = left_join_skewed(own, known, [c]).withColumn(f"like_{c}", F.col("n").isNotNull()).drop("n")
-    judged = own.groupBy("k").agg(F.coalesce(F.min(F.when(~(F.col("like_head") | F.col("like_tail")) & F.col("head").isNotNull(), F.col("d"))), F.first("shared")).alias("sig"))
-    plain = by.where("not (n_own > 0 and n_own <= n_common)").select("k", F.coalesce("own", "shared").alias("sig"))
-    return plain.unionByName(judged)
+    own, unlike = ~F.col("common"), F.col("head").isNotNull() & ~F.col("like_head") & ~F.col("like_tail")
+    by = rows.groupBy("k").agg(least(F.col("common")).alias("shared"), least(own).alias("own"), least(own & unlike).alias("unlike"), F.count_if("common").alias("n_common"), F.count_if(own).alias("n_own"))
+    doubtful = F.col("n_own") <= F.col("n_common")
+    return by.select("k", F.coalesce(F.when(doubtful, F.col("unlike")).otherwise(F.col("own")), "shared", "own").alias("sig"))
 
 
 def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, literal_share: float = LITERAL_SHARE, depth: int = DEPTH, unlike_share: float = UNLIKE_SHARE) -> DataFrame:
@@ -93,35 +100,42 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     The texts are read twice: once for a compact table with hashes of each
     line, once for the words of those different lines whose leaf recurs. Lines
     are exploded as outer ones: else the planner would make them once more for
-    a filter on their number.
+    a filter on their number. A document's lines are sorted by their hash, so
+    that each knows whether it is the first of its kind there.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     n, leaf = _placed(F.col("m"), depth)
-    flat = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.posexplode_outer(_lines(t)).alias("line_no", "x"))
-    flat = flat.select("k", "line_no", "x", _masked(F.col("x")).alias("m")).select("k", "line_no", "x", "m", n.alias("n"))
+    made = F.array_sort(F.transform(_lines(t), lambda x, i: F.struct(_short(F.md5(x)).alias("d"), i.alias("line_no"), x.alias("x"), _masked(x).alias("m"))))
+    marked = F.transform(F.array(made), lambda a: F.transform(a, lambda e, i: F.struct(e["d"].alias("d"), e["line_no"].alias("line_no"), e["x"].alias("x"), e["m"].alias("m"), F.coalesce(F.get(a, i - 1)["d"] != e["d"], F.lit(True)).alias("new"))))
+    flat = docs.select(document_key(F.col(key), F.col(text)).alias("k"), F.explode_outer(F.get(marked, F.lit(0))).alias("e")).select("k", "e.*")
+    flat = flat.select("k", "d", "line_no", "x", "m", "new", n.alias("n"))
     edge = f"cast(least({EDGE}, floor(n / 2)) as int)"
     ends = {c: F.when(F.expr(edge) >= 2, F.xxhash64(F.expr(f"substring_index(x, ' ', {sign}{edge})"))) for c, sign in (("head", ""), ("tail", "-"))}
-    flat = flat.select("k", "line_no", F.when(F.col("n") >= min_tokens, leaf).alias("leaf"), F.xxhash64("m").alias("h"), _short(F.md5("x")).alias("d"), *[e.alias(c) for c, e in ends.items()])
+    flat = flat.select("k", "line_no", "new", F.when(F.col("n") >= min_tokens, leaf).alias("leaf"), F.when(F.col("n") >= min_tokens, F.xxhash64("m")).alias("h"), "d", *[F.when(F.col("new"), e).alias(c) for c, e in ends.items()])
     flat = written(flat, "lines")
-    rows = written(flat.groupBy("k", "d").agg(*[F.first(c).alias(c) for c in ("leaf", "h", "head", "tail")]), "document-lines")
-    sigs = _own_signatures(rows.drop("leaf", "h"), min_docs)
+    rows = flat.where("new")
+    sigs = _own_signatures(rows.select("k", "d", "head", "tail"), min_docs)
     flat = flat.where("leaf is not null").select("k", "line_no", "leaf", "h")
     # One row per different line and signature of a leaf that recurs: all later counts are over these.
-    kinds = written(rows.where("leaf is not null").join(sigs, "k").groupBy("leaf", "h", "sig").agg(F.count("*").alias("docs")), "line-kinds")
+    kinds = rows.where("leaf is not null").select("k", "leaf", "h").join(sigs, "k").groupBy("leaf", "h", "sig").agg(F.count("*").alias("docs"))
+    kinds = written(kinds, "line-kinds")
     busy = checked(written(kinds.groupBy("leaf").agg(F.count_distinct("sig").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "busy-leaves"))
-    counts = written(kinds.groupBy("leaf", "h").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")).join(busy, "leaf", "left_semi"), "line-counts")
+    counts = written(kinds.join(busy, "leaf", "left_semi").groupBy("leaf", "h").agg(F.count("*").alias("n"), F.sum("docs").alias("docs")), "line-counts")
     frequent = F.col("n") >= min_docs
-    rare = written(join_skewed(kinds.drop("docs"), counts.drop("docs"), ["leaf", "h"]).where(~frequent).select("leaf", "h", "sig"), "rare-kinds")  # fewer than min_docs a line
-    again = docs.select(F.explode_outer(_lines(t)).alias("x")).select(_masked(F.col("x")).alias("m")).select("m", n.alias("n")).where(F.col("n") >= min_tokens).select("m", leaf.alias("leaf"))
+    again = docs.select(F.explode_outer(F.transform(_lines(t), _masked)).alias("m")).select("m", n.alias("n")).where(F.col("n") >= min_tokens).select("m", leaf.alias("leaf"))
     forms = again.join(busy, "leaf", "left_semi").select("leaf", F.xxhash64("m").alias("h"), "m").distinct()
     tokens = F.transform(F.split("m", " "), lambda x: F.when(x != VARIABLE, F.xxhash64(x)))
     forms = written(forms.select("leaf", "h", tokens.alias("tokens")).join(counts, ["leaf", "h"]), "line-forms")
     words = forms.select("leaf", "h", "n", "docs", F.posexplode("tokens").alias("pos", "token"))
-    sure = words.where(frequent & F.col("token").isNotNull()).select("leaf", "pos", "token")
-    at = forms.where(~frequent).join(rare, ["leaf", "h"]).select("leaf", "sig", F.posexplode("tokens").alias("pos", "token")).where("token is not null")
-    counted = at.groupBy("leaf", "pos", "token").agg(F.count_distinct("sig").alias("n")).where(frequent).select("leaf", "pos", "token")
-    literal = sure.union(counted).distinct()
-    shown = words.join(literal.withColumn("kept", F.lit(True)), ["leaf", "pos", "token"], "left")
+    place = ["leaf", "pos", "token"]
+    # A token can't be literal beyond the sum of its lines' signatures; where one of the lines has enough, it is for sure.
+    bounds = words.where("token is not null").groupBy(*place).agg(F.sum("n").alias("most"), F.max("n").alias("n")).where(F.col("most") >= min_docs)
+    bounds = written(bounds, "literal-bounds")
+    open_words = words.where(~frequent & F.col("token").isNotNull()).join(checked(bounds.where(~frequent).select(*place)), place, "left_semi")
+    rare = join_skewed(kinds.drop("docs"), counts.drop("docs"), ["leaf", "h"]).where(~frequent).select("leaf", "h", "sig")  # fewer than min_docs a line
+    counted = open_words.select("h", *place).join(rare, ["leaf", "h"]).groupBy(*place).agg(F.count_distinct("sig").alias("n")).where(frequent)
+    literal = written(bounds.where(frequent).select(*place).union(counted.select(*place)), "literals")
+    shown = words.join(checked(literal).withColumn("kept", F.lit(True)), place, "left")
     fields = F.xxhash64(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept"), F.col("token")).alias("token")))))
     templates = shown.groupBy("leaf", "h").agg(fields.alias("template"), F.first("n").alias("n"), F.first("docs").alias("docs"), F.count("kept").alias("literals"), F.count("*").alias("n_tokens"))
     templates = written(templates.where(F.col("literals") >= literal_share * F.col("n_tokens")).select("leaf", "h", "template", "n", "docs"), "line-templates")
@@ -129,6 +143,8 @@ def template_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     held = templates.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"))
     recurring = met.join(held, ["leaf", "template"]).where((F.col("sigs") >= min_docs) & (F.col("sigs") >= unlike_share * F.col("docs"))).select("leaf", "template")
     dropped = written(templates.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "h", "n"), "line-dropped")
+    if checked(dropped) is not dropped:
+        return flat.join(F.broadcast(dropped.select("leaf", "h")), ["leaf", "h"], "left_semi").select("k", "line_no")
     return join_skewed(flat, dropped, ["leaf", "h"]).select("k", "line_no")
 
 
@@ -181,7 +197,7 @@ tails AS (SELECT DISTINCT tail FROM marked WHERE is_common AND tail IS NOT NULL)
 own AS (
   SELECT k, d FROM marked m JOIN shares USING (k)
   WHERE NOT is_common AND (n_own > n_common OR head IS NOT NULL AND NOT (EXISTS (SELECT 1 FROM heads WHERE heads.head = m.head) OR EXISTS (SELECT 1 FROM tails WHERE tails.tail = m.tail)))),
-sigs AS (SELECT k, coalesce((SELECT min(d) FROM own WHERE own.k = shares.k), shared) AS sig FROM shares),
+sigs AS (SELECT k, coalesce((SELECT min(d) FROM own WHERE own.k = shares.k), shared, (SELECT min(d) FROM marked WHERE marked.k = shares.k)) AS sig FROM shares),
 signed AS (SELECT k, sig, x, m, line_no FROM tokens JOIN sigs USING (k)),
 placed AS (
   SELECT k, sig, line_no, x, CAST(len(m) AS VARCHAR) || ' ' || array_to_string(m[1:{DEPTH}], ' ') AS leaf, array_to_string(m, ' ') AS m
