@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 
 def names_in(spark: SparkSession, path: str) -> list[str]:
@@ -65,7 +65,7 @@ class Tables:
 
     def log(self, name: str) -> DataFrame:
         """All rows appended by committed batches and this one, with their ``batch``."""
-        schema = StructType([*self.schemas[name].fields]).add("batch", "int")
+        schema = StructType([*self.schemas[name].fields]).add("batch", IntegerType())
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").where(F.col("batch") <= self.number)
 
     def commit(self) -> None:
