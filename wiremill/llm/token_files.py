@@ -21,11 +21,12 @@ The bits of a block are those that a percentile of its differences needs; of
 the percentiles in ``_PERCENTILES`` the one with the fewest bytes is chosen. The
 index lets a reader take any block alone (:func:`ids_at`).
 
-Words are separated by ASCII white space, which the tokenizer drops and never
-looks across; so each different word of a task is encoded once and its ids are
-put together. Words of ASCII and Latin-1 letters are cut up as the tokenizer
-would, so that its model sees each different piece once; all others go through
-the whole tokenizer. That the result equals that of whole texts is tested.
+The tokenizer cuts texts into pieces, drops white space and never looks across
+it; so each different piece of a task is encoded once and its ids are put
+together. Texts of ASCII and Latin-1 letters are cut up as the tokenizer would,
+and its model encodes the pieces; of other texts the words between ASCII white
+space go through the whole tokenizer. That the result equals that of whole texts
+is tested.
 
 Nulls, empty and very long texts, ties, repeats: a null or empty text has the
 end id only; null keys come first; rows of equal key are ordered by a hash of
@@ -40,6 +41,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -79,19 +81,27 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         choices = np.sort(needs, axis=1)[:, at]
         cost = np.stack([choices[:, k] * (BLOCK // 8) + 5 * (needs > choices[:, k : k + 1]).sum(axis=1) for k in range(len(at))], axis=1)
         width = choices[np.arange(len(rows)), cost.argmin(axis=1)]
-        out: list[bytes] = [b""] * len(rows)
         spread = np.unpackbits(np.ascontiguousarray(over, "<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
-        exceeds = needs > width[:, None]
+        of, places = np.nonzero(needs > width[:, None])
+        exceptions = np.bincount(of, minlength=len(rows))
+        after = 6 + width.astype(np.int64) * (BLOCK // 8)  # where a block's exceptions begin
+        size = after + 5 * exceptions
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint8)
         for w in np.unique(width):
             mine = np.flatnonzero(width == w)
-            packed = np.packbits(spread[mine][:, :, :w].reshape(len(mine), -1), axis=1, bitorder="little")
-            for k, i in enumerate(mine):
-                places = np.flatnonzero(exceeds[i])
-                head = int(least[i]).to_bytes(4, "little") + bytes((int(w), len(places)))
-                out[i] = head + packed[k].tobytes() + places.astype(np.uint8).tobytes() + over[i, places].astype("<u4").tobytes()
-        blocks += out
-        sizes += map(len, out)
-    return b"".join(blocks), np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
+            parts = [least[mine].astype("<u4").view(np.uint8).reshape(-1, 4), np.full((len(mine), 1), w, np.uint8), exceptions[mine, None].astype(np.uint8)]
+            parts.append(np.packbits(spread[mine][:, :, :w].reshape(len(mine), -1), axis=1, bitorder="little"))
+            whole = np.concatenate(parts, axis=1)
+            out[first[mine, None] + np.arange(whole.shape[1])] = whole
+        if len(of):
+            nth = np.arange(len(of)) - (np.cumsum(exceptions) - exceptions)[of]
+            start = (first + after)[of]
+            out[start + nth] = places
+            out[(start + exceptions[of] + 4 * nth)[:, None] + np.arange(4)] = over[of, places].astype("<u4").view(np.uint8).reshape(-1, 4)
+        blocks.append(out.tobytes())
+        sizes.append(size)
+    return b"".join(blocks), np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))]).astype(np.uint64)
 
 
 def unpack(body: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
@@ -151,23 +161,11 @@ class Frame:
         return unpack(self._body, self.index[first:last], end - first * BLOCK)[start - first * BLOCK :]
 
 
-class _Words(dict):
-    """Numbers of words; those met for the first time are put down in ``new``."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 #: How the tokenizer of ``word_bpe_49k.json`` cuts up lower-case words, for letters and signs that it leaves as they are; and the characters that stand for the bytes of UTF-8 in its model.
-_SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_SIMPLE = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\t-\\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = "".join(chr(b) if b in _SHOWN else chr(0x100 + sum(x not in _SHOWN for x in range(b))) for b in range(256))
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
 
@@ -181,70 +179,56 @@ def _cuts_up_alike(spec: str) -> bool:
     return pattern == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" and all("<|" in t["content"] for t in parts["added_tokens"])
 
 
-class _Pieces(dict):
-    """Ids of pieces by the tokenizer's model."""
+class _Known(dict):
+    """Numbers of pieces (str) and words (bytes); the ids of each stand in ``ids``, as many as ``sizes`` says."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        self._model = tokenizer.model
-
-    def __missing__(self, piece: str) -> list[int]:
-        shown = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
-        self[piece] = ids = [t.id for t in self._model.tokenize(shown)]
-        return ids
+        self._tokenizer, self._model = tokenizer, tokenizer.model
+        self.ids, self.sizes = array("I"), array("q")
+
+    def __missing__(self, part: str | bytes) -> int:
+        if isinstance(part, bytes):
+            found = self._tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
+        else:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = [t.id for t in self._model.tokenize(shown)]
+        self.ids.extend(found)
+        self.sizes.append(len(found))
+        self[part] = n = len(self)
+        return n
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops ASCII white space; each different word is encoded once while the cache lasts."""
+    """Ids of texts by a tokenizer that drops ASCII white space; each different piece is encoded once while the cache lasts."""
 
     def __init__(self, spec: str) -> None:
         self._tokenizer = Tokenizer.from_str(spec)
         self._alike = _cuts_up_alike(spec)
-        self._clear()
-
-    def _clear(self) -> None:
-        self._words, self._pieces = _Words(), _Pieces(self._tokenizer)
-        self._ids, self._first, self._size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._known = _Known(self._tokenizer)
 
-    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of different words."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        out: list[list[int] | None] = [None] * len(texts)
+    def _parts(self, text: bytes) -> list[str] | list[bytes]:
         if self._alike:
-            pieces, simple, cut = self._pieces, _SIMPLE.fullmatch, _PIECES.findall
-            for i, text in enumerate(texts):
-                if text.isascii() and text.isalpha():
-                    out[i] = pieces[text.lower()]
-                elif simple(text) and "<|" not in text:
-                    found = cut(text.lower())
-                    out[i] = pieces[found[0]] if len(found) == 1 else [x for p in found for x in pieces[p]]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self._tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+            spelt = text.decode("utf-8", "replace")
+            if _SIMPLE.fullmatch(spelt) and "<|" not in spelt:
+                return _PIECES.findall(spelt.lower())
+        return text.split()
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with ``end`` appended, and how many each has."""
-        if len(self._ids) > _CACHED_IDS:
-            self._clear()
-        words = self._words
-        parts = [text.split() for text in texts]
+        if len(self._known.ids) > _CACHED_IDS:
+            self._known = _Known(self._tokenizer)
+        known = self._known
+        parts = [self._parts(text) for text in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        n = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if words.new:
-            fresh = self._ids_of(words.new)
-            size = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self._first = np.concatenate([self._first, len(self._ids) + np.cumsum(size) - size])
-            self._size = np.concatenate([self._size, size])
-            self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(fresh), np.uint32, int(size.sum()))])
-            words.new = []
-        size = self._size[n]
-        of = np.repeat(np.arange(len(texts)), counts)
-        lengths = np.bincount(of, size, minlength=len(texts)).astype(np.int64) + 1
+        n = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        sizes, pool = np.array(known.sizes, np.int64), np.array(known.ids, np.uint32)
+        size = sizes[n]
+        lengths = np.bincount(np.repeat(np.arange(len(texts)), counts), size, minlength=len(texts)).astype(np.int64) + 1
         out = np.full(int(lengths.sum()), end, np.uint32)
         inner = np.ones(len(out), bool)
         inner[np.cumsum(lengths) - 1] = False
-        places = np.repeat(self._first[n] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[inner] = self._ids[places]
+        places = np.repeat((np.cumsum(sizes) - sizes)[n] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out[inner] = pool[places]
         return out, lengths
 
 
