@@ -72,11 +72,48 @@ def seconds_between(start: str, end: str) -> Column:
     return F.timestamp_diff("SECOND", F.col(start), F.col(end))
 
 
-def cycle_quantiles(runs: DataFrame) -> DataFrame:
-    """Median and 95th percentile of the run time per day, and cumulative counts by bucket."""
-    took = runs.where("finished_at is not null").withColumn("s", seconds_between("started_at", "finished_at").cast("double"))
-    buckets = [F.count_if(F.col("s") <= b).alias(f"le_{b}") for b in (1, 10, 60, 300, 600)]
-    return took.groupBy(F.date_trunc("DAY", "started_at").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.percentile("s", 0.5).alias("p50"), F.percentile("s", 0.95).alias("p95"), *buckets)
+#: Limits of the histograms of cycles and of requests, in seconds.
+CYCLE_LIMITS = (0.1, 0.25, 0.5, 1, 2, 5, 10, 20, 30, 60, 120, 300, 600)
+REQUEST_LIMITS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)
+
+
+def histogram(rows: DataFrame, seconds: Column, limits: tuple[float, ...], keys: list[str], ts: str, minutes: int = 5) -> DataFrame:
+    """``keys, slot, c0 .. cn``: how many values of each slot lie up to each limit and above the one before (the last: above all).
+
+    Histograms of slots can be added up to any window (:func:`rolled_up`), so
+    no task ever needs the values themselves.
+    """
+    at = F.size(F.filter(F.array(*[F.lit(float(x)) for x in limits]), lambda x: x < seconds))
+    found = rows.where(seconds.isNotNull()).withColumn("at", at)
+    return found.groupBy(*keys, slot(ts, minutes).alias("slot")).agg(*[F.count_if(F.col("at") == i).alias(f"c{i}") for i in range(len(limits) + 1)])
+
+
+def rolled_up(counts: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+    """Histograms of slots added up to windows of ``minutes``."""
+    names = [c for c in counts.columns if c not in (*keys, "slot")]
+    return counts.groupBy(*keys, slot("slot", minutes).alias("slot")).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def bucket_quantile(limits: tuple[float, ...], q: float) -> Column:
+    """The ``q`` quantile of a histogram, taken as even inside a bucket; the last limit where it lies above all."""
+    counts = [F.col(f"c{i}") for i in range(len(limits) + 1)]
+    upto = [sum(counts[1 : i + 1], counts[0]) for i in range(len(counts))]
+    rank = F.lit(q) * upto[-1]
+    out = F.lit(float(limits[-1]))
+    for i in reversed(range(len(limits))):
+        low = float(limits[i - 1]) if i else 0.0
+        before = upto[i - 1] if i else F.lit(0)
+        out = F.when(upto[i] >= rank, F.lit(low) + F.lit(float(limits[i]) - low) * (rank - before) / counts[i]).otherwise(out)
+    return F.when(upto[-1] > 0, out)
+
+
+def cycle_quantiles(runs: DataFrame, minutes: int = 1440) -> DataFrame:
+    """Median and 95th percentile of the run time per window, by histograms of five minutes, and cumulative counts by limit."""
+    took = F.when(F.col("finished_at").isNotNull(), seconds_between("started_at", "finished_at").cast("double"))
+    rows = rolled_up(histogram(runs, took, CYCLE_LIMITS, [], "started_at"), [], minutes)
+    upto = [sum((F.col(f"c{j}") for j in range(1, i + 1)), F.col("c0")) for i in range(len(CYCLE_LIMITS) + 1)]
+    shown = [n.alias(f"le_{str(x).replace('.', '_')}") for n, x in zip(upto, CYCLE_LIMITS, strict=False)]
+    return rows.select(F.col("slot").alias("day"), upto[-1].alias("n"), bucket_quantile(CYCLE_LIMITS, 0.5).alias("p50"), bucket_quantile(CYCLE_LIMITS, 0.95).alias("p95"), *shown)
 
 
 def slot(ts: str, minutes: int) -> Column:
@@ -90,7 +127,10 @@ def outcome_rates(runs: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 def route_latency(requests: DataFrame, minutes: int = 60) -> DataFrame:
-    return requests.groupBy("path", slot("ts", minutes).alias("slot")).agg(F.count("*").alias("n"), F.percentile("duration_ms", 0.95).alias("p95_ms"))
+    """Requests and 95th percentile of their time per route and window, by histograms of five minutes."""
+    rows = rolled_up(histogram(requests, F.col("duration_ms") / 1000, REQUEST_LIMITS, ["path"], "ts"), ["path"], minutes)
+    n = sum((F.col(f"c{i}") for i in range(1, len(REQUEST_LIMITS) + 1)), F.col("c0"))
+    return rows.select("path", "slot", n.alias("n"), (bucket_quantile(REQUEST_LIMITS, 0.95) * 1000).alias("p95_ms"))
 
 
 def sliding(rows: DataFrame, ts: str, minutes: int, step: int, keys: list[str], *sums: Column) -> DataFrame:
@@ -122,10 +162,27 @@ def no_inserts(runs: DataFrame, hours: int = 6, step: int = 60) -> DataFrame:
 
 
 def stalled(runs: DataFrame, now: str, most_s: int = 600) -> DataFrame:
-    """Per source, whether the last finished run is older than ``most_s``, or none ever finished."""
-    by = runs.groupBy("source_id").agg(F.max("finished_at").alias("last_finished"))
-    age = F.timestamp_diff("SECOND", F.col("last_finished"), F.lit(now).cast("timestamp_ntz"))
-    return by.withColumn("stalled", F.coalesce(age > most_s, F.lit(True)))
+    """Per source, whether the last finished run is older than ``most_s``; where none ever finished, whether the first started longer ago."""
+    by = runs.groupBy("source_id").agg(F.max("finished_at").alias("last_finished"), F.min("started_at").alias("began"))
+    age = F.timestamp_diff("SECOND", F.coalesce("last_finished", "began"), F.lit(now).cast("timestamp_ntz"))
+    return by.select("source_id", "last_finished", (age > most_s).alias("stalled"))
+
+
+def alert_periods(active: DataFrame, keys: list[str], step: int, hold: int, at: str = "window_end") -> DataFrame:
+    """``keys, pending_since, last_active, firing_since``: the periods in which an alert's condition held without a break.
+
+    ``active``: the times of a grid of ``step`` minutes at which the condition
+    held. An alert fires when it has held for ``hold`` minutes (null if it never
+    did). Only where periods begin and end is put in order, which is found by
+    joins on neighbouring times.
+    """
+    rows = active.select(*keys, F.col(at).alias("t")).distinct()
+    moved = lambda by: rows.select(*keys, F.timestamp_add("MINUTE", F.lit(by), "t").alias("t"))
+    edges = rows.join(moved(step), [*keys, "t"], "left_anti").withColumn("end", F.lit(0)).unionByName(rows.join(moved(-step), [*keys, "t"], "left_anti").withColumn("end", F.lit(1)))
+    until = F.lead("t").over(Window.partitionBy(*keys).orderBy("t", "end"))
+    due = F.timestamp_add("MINUTE", F.lit(hold), "pending_since")
+    found = edges.withColumn("last_active", until).where("end = 0").withColumnRenamed("t", "pending_since")
+    return found.select(*keys, "pending_since", "last_active", F.when(F.col("last_active") >= due, due).alias("firing_since"))
 
 
 def max_over_time(runs: DataFrame, hours: int = 6) -> DataFrame:

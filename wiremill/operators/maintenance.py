@@ -213,6 +213,13 @@ def alert_counts(articles: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def newest_read_keys(reads: DataFrame, most: int = 20_000) -> DataFrame:
-    """Each reader's last ``most`` keys by time of reading (the limit is the feature)."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return reads.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+    """Each reader's last ``most`` keys by time of reading (the limit is the feature).
+
+    Days are added up from the newest on first; only a day's reads are put in
+    order, so no task holds a reader's history.
+    """
+    rows = reads.withColumn("day", F.to_date("ts"))
+    newer = F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = rows.groupBy("user_id", "day").agg(F.count("*").alias("n")).withColumn("newer", newer).where(F.col("newer") < most).drop("n")
+    place = F.row_number().over(Window.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id")))
+    return rows.join(days, ["user_id", "day"]).withColumn("place", place).where(F.col("newer") + F.col("place") <= most).drop("day", "newer", "place")

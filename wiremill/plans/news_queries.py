@@ -187,7 +187,30 @@ def feed_backoff(spark: SparkSession, d: str) -> DataFrame:
     return H.feed_backoff(M.runs(spark, d))
 
 
-@query(f"{MODEL}, t AS (SELECT started_at, CAST(date_diff('second', started_at, finished_at) AS DOUBLE) AS s FROM runs WHERE finished_at IS NOT NULL) SELECT date_trunc('day', started_at)::TIMESTAMP AS day, count(*) AS n, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.95) AS p95, count(*) FILTER (s <= 1) AS le_1, count(*) FILTER (s <= 10) AS le_10, count(*) FILTER (s <= 60) AS le_60, count(*) FILTER (s <= 300) AS le_300, count(*) FILTER (s <= 600) AS le_600 FROM t GROUP BY 1")
+def _histogram(value: str, limits: tuple[float, ...]) -> str:
+    """Counts of values by limit, ``c0 .. cn``."""
+    bounds = [*zip([None, *limits], [*limits, None], strict=True)]
+    inside = [" AND ".join(([f"{value} > {a}"] if a is not None else []) + ([f"{value} <= {b}"] if b is not None else [])) for a, b in bounds]
+    return ", ".join(f"count(*) FILTER ({w}) AS c{i}" for i, w in enumerate(inside))
+
+
+def _quantile(limits: tuple[float, ...], q: float) -> str:
+    total = " + ".join(f"c{i}" for i in range(len(limits) + 1))
+    cases = []
+    for i, limit in enumerate(limits):
+        low, before = (limits[i - 1], " + ".join(f"c{j}" for j in range(i))) if i else (0, "0")
+        cases.append(f"WHEN {' + '.join(f'c{j}' for j in range(i + 1))} >= {q}::DOUBLE * ({total}) THEN {low}::DOUBLE + ({limit}::DOUBLE - {low}) * ({q}::DOUBLE * ({total}) - ({before})) / c{i}")
+    return f"CASE {' '.join(cases)} ELSE {limits[-1]}::DOUBLE END"
+
+
+_UPTO = ", ".join(f"{' + '.join(f'c{j}' for j in range(i + 1))} AS le_{str(x).replace('.', '_')}" for i, x in enumerate(H.CYCLE_LIMITS))
+
+
+@query(
+    f"""{MODEL}, t AS (SELECT started_at, CAST(date_diff('second', started_at, finished_at) AS DOUBLE) AS s FROM runs WHERE finished_at IS NOT NULL),
+    h AS (SELECT date_trunc('day', started_at)::TIMESTAMP AS day, count(*) AS n, {_histogram('s', H.CYCLE_LIMITS)} FROM t GROUP BY 1)
+    SELECT day, n, {_quantile(H.CYCLE_LIMITS, 0.5)} AS p50, {_quantile(H.CYCLE_LIMITS, 0.95)} AS p95, {_UPTO} FROM h"""
+)
 def cycle_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return H.cycle_quantiles(M.runs(spark, d))
 
@@ -197,7 +220,10 @@ def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
     return H.outcome_rates(M.runs(spark, d))
 
 
-@query(f"{MODEL} SELECT path, {slot('ts', 60)} AS slot, count(*) AS n, quantile_cont(duration_ms, 0.95) AS p95_ms FROM requests GROUP BY ALL")
+@query(
+    f"""{MODEL}, h AS (SELECT path, {slot('ts', 60)} AS slot, count(*) AS n, {_histogram('duration_ms / 1000', H.REQUEST_LIMITS)} FROM requests WHERE duration_ms IS NOT NULL GROUP BY ALL)
+    SELECT path, slot, n, {_quantile(H.REQUEST_LIMITS, 0.95)} * 1000 AS p95_ms FROM h"""
+)
 def route_latency(spark: SparkSession, d: str) -> DataFrame:
     return H.route_latency(M.requests(spark, d))
 
@@ -222,7 +248,26 @@ def no_inserts(spark: SparkSession, d: str) -> DataFrame:
     return H.no_inserts(M.runs(spark, d))
 
 
-@query(f"{MODEL} SELECT source_id, max(finished_at) AS last_finished, coalesce(date_diff('second', max(finished_at), TIMESTAMP '{NOW}') > 600, true) AS stalled FROM runs GROUP BY source_id")
+@query(
+    f"""{MODEL}, w1 AS ({_windows('runs', 'started_at', 15, 5, 'source_id,', 'count(*) FILTER (status = $$failed$$) AS failed, count(*) FILTER (status = $$success$$) AS ok')}), w2 AS ({_windows('runs', 'started_at', 360, 60, 'source_id,', 'count(*) FILTER (status = $$success$$) AS ok, count(*) FILTER (items_inserted > 0) AS inserting')}), w3 AS ({_windows('(FROM requests WHERE path <> $$signup$$)', 'ts', 60, 10, '', 'count(*) AS n, count(*) FILTER (status >= 500) AS errors')}),
+    a AS (SELECT 'failing' AS alert, source_id, window_end AS t, 5 AS step, 5 AS hold FROM w1 WHERE failed > 0 AND ok = 0 UNION ALL SELECT 'no inserts', source_id, window_end, 60, 30 FROM w2 WHERE ok > 0 AND inserting = 0
+      UNION ALL SELECT 'errors', -1, window_end, 10, 10 FROM w3 WHERE errors > 0.05 * n AND n >= 0.001 * 3600),
+    n AS (SELECT *, t - to_minutes(CAST(step * row_number() OVER (PARTITION BY alert, source_id ORDER BY t) AS INT)) AS island FROM a),
+    p AS (SELECT alert, source_id, any_value(hold) AS hold, min(t) AS pending_since, max(t) AS last_active FROM n GROUP BY alert, source_id, island)
+    SELECT alert, source_id, pending_since, last_active, CASE WHEN last_active >= pending_since + to_minutes(hold) THEN pending_since + to_minutes(hold) END AS firing_since FROM p"""
+)
+def alert_holds(spark: SparkSession, d: str) -> DataFrame:
+    """When alerts were pending and when they fired, by source (-1: of all requests)."""
+    runs = M.runs(spark, d)
+    parts = [
+        H.alert_periods(H.failing_without_recovery(runs), ["source_id"], 5, 5).withColumn("alert", F.lit("failing")),
+        H.alert_periods(H.no_inserts(runs), ["source_id"], 60, 30).withColumn("alert", F.lit("no inserts")),
+        H.alert_periods(H.high_error_rate(M.requests(spark, d), minutes=60, step=10, least_rate=0.001).withColumn("source_id", F.lit(-1)), ["source_id"], 10, 10).withColumn("alert", F.lit("errors")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("alert", "source_id", "pending_since", "last_active", "firing_since")
+
+
+@query(f"{MODEL} SELECT source_id, max(finished_at) AS last_finished, date_diff('second', coalesce(max(finished_at), min(started_at)), TIMESTAMP '{NOW}') > 600 AS stalled FROM runs GROUP BY source_id")
 def stalled_sources(spark: SparkSession, d: str) -> DataFrame:
     return H.stalled(M.runs(spark, d), NOW)
 
