@@ -84,8 +84,8 @@ def histogram(rows: DataFrame, seconds: Column, limits: tuple[float, ...], keys:
     no task ever needs the values themselves.
     """
     at = F.size(F.filter(F.array(*[F.lit(float(x)) for x in limits]), lambda x: x < seconds))
-    found = rows.where(seconds.isNotNull()).withColumn("at", at)
-    return found.groupBy(*keys, slot(ts, minutes).alias("slot")).agg(*[F.count_if(F.col("at") == i).alias(f"c{i}") for i in range(len(limits) + 1)])
+    found = rows.where(seconds.isNotNull()).withColumn("__at", at)
+    return found.groupBy(*keys, slot(ts, minutes).alias("slot")).agg(*[F.count_if(F.col("__at") == i).alias(f"c{i}") for i in range(len(limits) + 1)])
 
 
 def rolled_up(counts: DataFrame, keys: list[str], minutes: int) -> DataFrame:

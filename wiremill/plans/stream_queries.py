@@ -193,7 +193,7 @@ def stream_new_counts(spark: SparkSession, d: str) -> DataFrame:
     return J.new_counts(_stream_articles(spark, d))
 
 
-@query(f"SELECT {slot('ts', 5)} + to_minutes(k * 5) AS window_end, event_type, count(*) AS n FROM (SELECT *, unnest(generate_series(1, 3)) AS k FROM events) GROUP BY ALL")
+@query(f"SELECT * FROM (SELECT {slot('ts', 5)} + to_minutes(k * 5) AS window_end, event_type, count(*) AS n FROM (SELECT *, unnest(generate_series(1, 3)) AS k FROM events) GROUP BY ALL) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return J.sliding_outcomes(spark, f"{d}/events.parquet")
 
@@ -206,6 +206,26 @@ def stream_feed_health(spark: SparkSession, d: str) -> DataFrame:
     return J.feed_health(spark, f"{d}/events.parquet")
 
 
+@query(
+    """WITH RECURSIVE a AS (SELECT 'feed/' || user_id AS feed_url, ts, event_type = 'error' AS failed, CASE WHEN event_id % 7 = 0 THEN 5400.0 END AS hint, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error') AS k FROM events),
+    p AS (
+      SELECT feed_url, k, ts, CASE WHEN failed THEN 'failed' ELSE 'success' END AS status, CAST(failed AS INT) AS failure_count,
+        CASE WHEN failed THEN ts + to_microseconds(CAST(1000000 * least(greatest(600.0, coalesce(hint, 0)), 36000.0) AS BIGINT)) END AS backoff_until FROM a WHERE k = 1
+      UNION ALL
+      SELECT a.feed_url, a.k, a.ts, CASE WHEN a.ts < p.backoff_until THEN 'skipped_backoff' WHEN failed THEN 'failed' ELSE 'success' END, CASE WHEN a.ts < p.backoff_until THEN p.failure_count WHEN failed THEN p.failure_count + 1 ELSE 0 END,
+        CASE WHEN a.ts < p.backoff_until THEN p.backoff_until WHEN failed THEN a.ts + to_microseconds(CAST(1000000 * least(greatest(600.0 * pow(2, least(p.failure_count, 64)), coalesce(hint, 0)), 36000.0) AS BIGINT)) END
+      FROM p JOIN a ON a.feed_url = p.feed_url AND a.k = p.k + 1)
+    SELECT feed_url, ts AS at, status, failure_count, backoff_until FROM p"""
+)
+def stream_polls(spark: SparkSession, d: str) -> DataFrame:
+    """Polls of feeds under backoff, with a server's hint for every seventh attempt."""
+    rows = J.stream(spark, f"{d}/events.parquet")
+    hint = F.when(F.col("event_id") % 7 == 0, F.lit(5400.0))
+    attempts = rows.select(F.concat(F.lit("feed/"), F.col("user_id").cast("string")).alias("feed_url"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("failed"), hint.alias("hint_s"))
+    out = J.polls(spark, attempts, base=600.0, cap=36000.0)
+    return out.select("feed_url", F.col("at").cast("timestamp_ntz").alias("at"), "status", "failure_count", F.col("backoff_until").cast("timestamp_ntz").alias("backoff_until"))
+
+
 #: Feeds of 5000 documents each; every 50th item is broken, and two items in a row share a URL.
 _FEED = "'feed/' || source || '/' || (doc_id // 5000)"
 _CYCLES = f"""WITH e AS (SELECT doc_id, source, doc_id % 2 AS c, {_FEED} AS feed_url, doc_id // 2 AS u, lower({_TITLE}) || ' no ' || doc_id || CASE WHEN doc_id % 13 = 0 THEN ' NYSE: QUE' ELSE '' END AS title, doc_id % 50 = 7 AS broken, source = 'src0' OR doc_id % 13 = 0 AS sure,

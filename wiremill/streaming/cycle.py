@@ -26,7 +26,7 @@ from wiremill.operators import extract as E
 from wiremill.operators import upsert as U
 from wiremill.session import written
 from wiremill.sources import feeds as S
-from wiremill.streaming.tables import Tables, names_in
+from wiremill.streaming.tables import Tables, last_batch
 
 ARTICLE = (
     "id bigint, title string, summary string, published_at timestamp_ntz, created_at timestamp_ntz, source_name string, provider_name string, canonical_url string, "
@@ -219,12 +219,6 @@ def run_cycles(spark: SparkSession, landing: str, root: str, cycle: Cycle, files
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def last_batch(spark: SparkSession, root: str) -> int:
-    """The number of the last committed batch; -1 without one."""
-    made = [n for n in names_in(spark, f"{root}/_snapshots") if n.startswith("batch=")]
-    return max((int(n.split("=")[1]) for n in made if "_SUCCESS" in names_in(spark, f"{root}/_snapshots/{n}")), default=-1)
-
-
 def committed(spark: SparkSession, root: str, buckets: int = 64) -> Tables:
     """The tables as the last committed batch left them."""
     return Tables(spark, root, last_batch(spark, root) + 1, SCHEMAS, buckets)

@@ -10,14 +10,17 @@ with the files that landed since.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from wiremill.functions.text import normalize_title
 from wiremill.operators.upsert import match_articles, upsert_articles
 from wiremill.session import shared_dir
+from wiremill.streaming.tables import Tables, last_batch
 
 
 def stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -46,17 +49,23 @@ def _drain(rows: DataFrame, mode: str, fold: Callable[[DataFrame, DataFrame | No
     return spark.read.parquet(f"{at}/{table}/version={last}")
 
 
-def ingest(spark: SparkSession, path: str, state: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """Title hashes of landed documents with the lowest id that had each and their number, kept up to date batch by batch."""
+def ingest(spark: SparkSession, path: str, state: str | None = None, files_per_batch: int = 64, buckets: int = 16) -> DataFrame:
+    """Title hashes of landed documents with the lowest id that had each and their number, kept up to date batch by batch.
 
-    def fold(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    A batch reads and writes the buckets that its titles fall into.
+    """
+    at, schemas = _folder(spark, "ingest", state), {"titles": "title_hash string, first_id bigint, n bigint"}
+
+    def sink(batch: DataFrame, number: int) -> None:
+        tables = Tables(batch.sparkSession, at, number, schemas, buckets)
         new = batch.groupBy(F.sha2(normalize_title(F.substring_index("text", "\n", 1), entities=False), 256).alias("title_hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-        if before is None:
-            return new
-        rows = new.join(before.toDF("title_hash", "o_id", "o_n"), "title_hash", "full_outer")
-        return rows.select("title_hash", F.least("first_id", "o_id").alias("first_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("o_n", F.lit(0))).alias("n"))
+        touched = tables.buckets_of(new.select("title_hash"))
+        rows = new.unionByName(tables.read("titles", touched)).groupBy("title_hash").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
+        tables.write("titles", rows, "title_hash", touched)
+        tables.commit()
 
-    return _drain(stream(spark, path, files_per_batch), "append", fold, _folder(spark, "ingest", state))
+    stream(spark, path, files_per_batch).writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return Tables(spark, at, last_batch(spark, at) + 1, schemas, buckets).read("titles")
 
 
 def ingest_articles(spark: SparkSession, path: str, to_entries: Callable[[DataFrame], DataFrame], general: str, state: str | None = None, files_per_batch: int = 64, hours: int = 48) -> DataFrame:
@@ -88,12 +97,22 @@ def new_counts(articles: DataFrame) -> DataFrame:
     return articles.groupBy("batch").agg(F.count("*").alias("inserted"))
 
 
-def sliding_outcomes(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
-    """Events per type in windows of 15 minutes every 5, with a watermark of an hour, as counted when the stream was read up."""
-    rows = stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+def sliding_outcomes(spark: SparkSession, path: str, state: str | None = None, files_per_batch: int = 64) -> DataFrame:
+    """Events per type in windows of 15 minutes every 5 that are closed: that ended an hour or longer before the newest event.
+
+    Closed windows are appended and leave the state, so that it holds an hour of
+    windows and no more; events later than that count for nothing.
+    """
+    at = _folder(spark, "outcomes", state)
+    rows = stream(spark, path, files_per_batch).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     counts = rows.groupBy(F.window("ts", "15 minutes", "5 minutes"), "event_type").agg(F.count("*").alias("n"))
-    shown = lambda batch, before: batch.select(F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
-    return _drain(counts, "complete", shown, _folder(spark, "outcomes", state))
+    closed = counts.select(F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/windows/batch={number}")
+
+    closed.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{at}/windows").select(*closed.columns)
 
 
 def feed_health(spark: SparkSession, path: str, state: str | None = None, files_per_batch: int = 64) -> DataFrame:
@@ -115,3 +134,53 @@ def feed_health(spark: SparkSession, path: str, state: str | None = None, files_
     rows = stream(spark, path, files_per_batch).select("user_id", "event_id", "event_type", "ts")
     table = _drain(rows, "append", fold, _folder(spark, "health", state))
     return table.groupBy("user_id").agg(F.count("failed").cast("int").alias("failure_count"))
+
+
+ATTEMPT = "feed_url string, at timestamp, failed boolean, hint_s double"
+POLL = "feed_url string, at timestamp, status string, failure_count int, backoff_until timestamp"
+
+
+def polls(spark: SparkSession, attempts: DataFrame, state: str | None = None, base: float = 30.0, cap: float = 3600.0) -> DataFrame:
+    """What became of each attempt of a stream (``ATTEMPT``) to read a feed, as ``POLL``, feed by feed in order of time.
+
+    Keyed state holds a feed's failures in a row, and until when it is left
+    alone. An attempt inside that time is skipped and changes nothing; a failure
+    doubles it, from ``base`` up to ``cap`` seconds, a server's hint being a
+    floor; a success ends it. The split into batches doesn't matter as long as a
+    feed's attempts arrive in order. A feed without attempts for a day beyond
+    its time loses its state, which says no more by then than a new one's, but
+    for its failures, which are forgotten.
+    """
+    at = _folder(spark, "polls", state)
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        failures, until = held.get if held.exists else (0, 0)  # until: in microseconds
+        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
+        out = []
+        for when, failed, hint in zip(rows["at"], rows["failed"], rows["hint_s"], strict=True):
+            now = when.value // 1000
+            if now < until:
+                status = "skipped_backoff"
+            elif failed:
+                failures += 1
+                wait = min(base * 2.0 ** min(failures - 1, 64), cap) if base > 0 and cap > 0 else 0.0
+                if hint > 0:  # a missing hint is not
+                    wait = min(max(wait, hint), cap)
+                status, until = "failed", now + int(wait * 1_000_000)
+            else:
+                status, failures, until = "success", 0, 0
+            out.append((key[0], when, status, failures, pd.Timestamp(until, unit="us") if until else pd.NaT))
+        held.update((failures, until))
+        held.setTimeoutTimestamp(max(until // 1000, now // 1000, held.getCurrentWatermarkMs()) + 86_400_000)
+        yield pd.DataFrame(out, columns=["feed_url", "at", "status", "failure_count", "backoff_until"])
+
+    rows = attempts.withWatermark("at", "1 hour").groupBy("feed_url").applyInPandasWithState(follow, POLL, "failures int, until bigint", "append", "EventTimeTimeout")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/polls/batch={number}")
+
+    rows.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/polls").select(*rows.columns)
