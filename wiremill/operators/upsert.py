@@ -137,6 +137,15 @@ def detached_repeats(entries: DataFrame, items: DataFrame) -> DataFrame:
     return entries.join(held, F.expr(" and ".join(f"{c} <=> h_{c}" for c in same)), "left_semi")
 
 
+def refresh_detached(items: DataFrame, entries: DataFrame, now: str) -> DataFrame:
+    """Stored items, detached ones that entries repeat in every stored field fetched ``now``; nothing else of them changes."""
+    same = ("source_id", "feed_url", "raw_guid", "raw_title", "raw_link", "raw_pub_date")
+    again = entries.select(*[F.col(c).alias(f"a_{c}") for c in same]).distinct().withColumn("again", F.lit(True))
+    rows = items.join(again, F.col("article_id").isNull() & F.expr(" and ".join(f"{c} <=> a_{c}" for c in same)), "left")
+    at = F.when(F.col("again"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("fetched_at"))
+    return rows.select(*[at.alias(c) if c == "fetched_at" else F.col(c) for c in items.columns])
+
+
 def content_hash(title_hash: Column, normal_summary: Column) -> Column:
     """Hash of a title's hash and the first 300 letters of the summary in its normal form."""
     return F.sha2(F.concat(title_hash, F.lit("|"), F.substring(F.coalesce(normal_summary, F.lit("")), 1, 300)), 256)

@@ -262,6 +262,14 @@ def detached_repeats(spark: SparkSession, d: str) -> DataFrame:
     return U.detached_repeats(again, items).select("id")
 
 
+@query(f"{MODEL} SELECT id, CASE WHEN article_id IS NULL AND id % 3 <> 0 THEN TIMESTAMP '2024-02-01' ELSE fetched_at END AS fetched_at FROM raw_items")
+def detached_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """Fetch times after detached and attached items were polled again, every third with another title."""
+    items = M.raw_items(spark, d)
+    again = items.withColumn("raw_title", F.when(F.col("id") % 3 == 0, F.concat("raw_title", F.lit("#"))).otherwise(F.col("raw_title")))
+    return U.refresh_detached(items, again, "2024-02-01").select("id", "fetched_at")
+
+
 MATCHES = f"""{MODEL}, old AS (SELECT * FROM articles WHERE id % 3 <> 0),
 ent AS (SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN sha256('https://www.{M.GENERAL_HOST}/news/' || ((id + 1) // 2) || CASE WHEN (id + 1) % 2 = 1 THEN '?feedref=x' ELSE '' END) ELSE canonical_url_hash END AS canonical_url_hash) FROM articles WHERE id % 3 = 0),
 facts AS (SELECT article_id, bool_or(source_id = 0) AS from_general FROM raw_items WHERE article_id IS NOT NULL GROUP BY 1),
