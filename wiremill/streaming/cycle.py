@@ -79,15 +79,16 @@ def changed(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items of ``files`` (with ``content``), and those that are malformed as ``feed_url, file, place, reason, item``."""
+    """Items of ``files`` (with ``content``), and those that are malformed as ``feed_url, file, place, reason, item``; parsed once and written, as several tables need them."""
     text = F.decode("content", "UTF-8")
     items = F.regexp_extract_all(text, F.lit(r"(?s)<item\b[^>]*>.*?(?:</item\s*>|(?=<item\b)|(?=</channel\b)|$)"), F.lit(0))
     title = F.regexp_extract(F.substring_index(text, "<item", 1), r"(?s)<title[^>]*>(.*?)</title", 1)
     rows = files.select(*[c for c in files.columns if c != "content"], T.clean_summary(title).alias("feed_title"), F.posexplode(items).alias("place", "item"))
     made = rows.withColumn("x", F.from_xml("item", f"{S.ITEM}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
     broken = F.col("x").isNull() | F.col("x._broken").isNotNull()
-    bad = made.where(broken).select("feed_url", "file", "place", F.lit("not well-formed").alias("reason"), "item")
-    return made.where(~broken).select(*[c for c in rows.columns if c != "item"], *[f"x.{f.split()[0]}" for f in S.ITEM.split(", ")]), bad
+    made = written(made.withColumns({"bad": broken, "item": F.when(broken, F.col("item"))}), "parsed-items")
+    bad = made.where("bad").select("feed_url", "file", "place", F.lit("not well-formed").alias("reason"), "item")
+    return made.where("not bad").select(*[c for c in rows.columns if c != "item"], *[f"x.{f.split()[0]}" for f in S.ITEM.split(", ")]), bad
 
 
 def entries_of(items: DataFrame, cycle: Cycle) -> DataFrame:
@@ -208,9 +209,14 @@ def run_batch(files: DataFrame, number: int, root: str, cycle: Cycle, buckets: i
     tables.commit()
 
 
-def run_cycles(spark: SparkSession, landing: str, root: str, cycle: Cycle, files_per_batch: int = 256, buckets: int = 64) -> None:
-    """Run cycles over the files that have landed since the last call; a batch that was not committed runs again first."""
-    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+def run_cycles(spark: SparkSession, landing: str, root: str, cycle: Cycle, files_per_batch: int | None = None, buckets: int = 64) -> None:
+    """Run cycles over the files that have landed since the last call; a batch that was not committed runs again first.
+
+    All of them are one cycle, however many feeds there are, unless ``files_per_batch`` says how many go into one.
+    """
+    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    if files_per_batch is not None:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
     rows = source.schema("path string, modificationTime timestamp, length bigint, content binary").load(landing)
 
     def sink(batch: DataFrame, number: int) -> None:
