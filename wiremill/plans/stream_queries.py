@@ -78,9 +78,8 @@ def feed_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = _items(spark, d).where(F.col("source_code").isin("src0", "src1", "src2"))
     files = rows.groupBy("source_code", F.floor(F.col("doc_id") / 100).alias("part")).agg(F.array_join(F.collect_list(F.regexp_replace("xml", "[\\r\\n]", " ")), "").alias("items"))
     rss = F.concat(F.lit("<rss><channel><title>Channel "), F.col("source_code"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>"))
-    files.select("source_code", "part", rss.alias("value")).write.partitionBy("source_code", "part").text(path)
-    channels = S.scan_channels(spark, path).distinct()
-    items = S.scan_feeds(spark, path).join(channels, "feed_file")
+    files.select("source_code", rss.alias("value")).write.partitionBy("source_code").option("maxRecordsPerFile", 1).text(path)  # a file a feed, no folder of its own
+    items = S.scan_channel_items(spark, path)
     code = F.regexp_extract("feed_file", "source_code=([^/]+)", 1)
     labels = S.registry(spark).select(F.col("code").alias("c"), "label")
     out = S.prepare(items.withColumn("code", code), "2024-02-01 00:00:00").join(labels, F.col("code") == F.col("c"))

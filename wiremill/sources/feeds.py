@@ -28,6 +28,13 @@ def scan_channels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("feed_file"), T.clean_summary(F.col("title")).alias("feed_title"))
 
 
+def scan_channel_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of landed RSS files with ``feed_file`` and the ``feed_title`` of the channel that each stands in, in one pass over the files."""
+    rows = spark.read.schema(f"title string, item array<struct<{ITEM.replace(' string', ': string')}>>").option("rowTag", "channel").format("xml").load(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("feed_file"), T.clean_summary(F.col("title")).alias("feed_title"), "item")  # once a channel, not once an item
+    return rows.select("feed_file", "feed_title", F.explode("item").alias("item")).select("item.*", "feed_file", "feed_title")
+
+
 def source_label(code: Column, feed_title: Column, label: Column) -> Column:
     """What a feed's entries are labelled with: its own title, but the configured label for the general and the scoped source, or without a title."""
     configured = code.isin(*(c for c, _, policy, _ in REGISTRY if policy != "validated_mapping_required"))
