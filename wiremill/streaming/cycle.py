@@ -79,11 +79,17 @@ def changed(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items of ``files`` (with ``content``), and those that are malformed as ``feed_url, file, place, reason, item``; parsed once and written, as several tables need them."""
+    """Items of ``files`` (with ``content``), and those that are malformed as ``feed_url, file, place, reason, item``; parsed once and written, as several tables need them.
+
+    A file's items and title are cut out of it before it is dealt into items,
+    so no item's row carries its whole file.
+    """
     text = F.decode("content", "UTF-8")
     items = F.regexp_extract_all(text, F.lit(r"(?s)<item\b[^>]*>.*?(?:</item\s*>|(?=<item\b)|(?=</channel\b)|$)"), F.lit(0))
     title = F.regexp_extract(F.substring_index(text, "<item", 1), r"(?s)<title[^>]*>(.*?)</title", 1)
-    rows = files.select(*[c for c in files.columns if c != "content"], T.clean_summary(title).alias("feed_title"), F.posexplode(items).alias("place", "item"))
+    own = [c for c in files.columns if c != "content"]
+    rows = files.select(*own, title.alias("head"), items.alias("items")).select(*own, "head", F.posexplode_outer("items").alias("place", "item"))  # outer: else items are cut out again for a filter
+    rows = rows.where("item is not null").select(*own, T.clean_summary(F.col("head")).alias("feed_title"), "place", "item")
     made = rows.withColumn("x", F.from_xml("item", f"{S.ITEM}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
     broken = F.col("x").isNull() | F.col("x._broken").isNotNull()
     made = written(made.withColumns({"bad": broken, "item": F.when(broken, F.col("item"))}), "parsed-items")
@@ -123,14 +129,16 @@ def run_batch(files: DataFrame, number: int, root: str, cycle: Cycle, buckets: i
             raise RuntimeError(f"stopped behind {name}")
         return out
 
-    polls = files.select(cycle.feed_of(F.col("path")).alias("feed_url"), F.col("path").alias("file"), F.col("modificationTime").alias("at"), F.sha2("content", 256).alias("digest"), "content")
+    contents = files.select(F.col("path").alias("file"), "content")
+    polls = files.select(cycle.feed_of(F.col("path")).alias("feed_url"), F.col("path").alias("file"), F.col("modificationTime").alias("at"), F.sha2("content", 256).alias("digest"))
     touched = tables.buckets_of(polls.select("feed_url"))
     ledger = tables.read("ledger", touched)
+    # Without their contents; those of fresh polls are read once more and are neither dealt nor written.
     polls = written(changed(polls, ledger).join(F.broadcast(cycle.feeds.select("feed_url", "source_code", "source_id", "policy", "label")), "feed_url"), "polls")
     newest = polls.groupBy("feed_url").agg(F.max_by("digest", F.struct("at", "file")).alias("digest"))
     put("ledger", ledger.join(newest, "feed_url", "left_anti").unionByName(newest), "feed_url", touched)
 
-    items, bad = parsed(polls.where("fresh"))
+    items, bad = parsed(contents.join(polls.where("fresh"), "file"))
     tables.append("quarantine", bad)
     entries = written(entries_of(items, cycle), "entries")
     # Entries whose guid, or link and date, are recorded with an article are old news.
