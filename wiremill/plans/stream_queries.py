@@ -233,10 +233,10 @@ good AS (SELECT a.*, a.sure OR coalesce(b.sure AND b.c < a.c, false) AS stored,
 
 
 def _land_cycle(spark: SparkSession, d: str, path: str, number: int, of: int) -> None:
-    """Land the feeds of one cycle: documents whose id leaves ``of`` by 2, a file a feed."""
+    """Land the feeds of one cycle: documents whose id leaves ``of`` by 2, a file a feed. A title is HTML inside XML, so plain text is escaped for both."""
     i = F.col("doc_id")
     rows = M.read(spark, d, "documents").where((i % 2 == of) & F.col("source").isNotNull() & F.col("text").isNotNull())
-    title = F.concat(_escaped(F.lower(F.substring_index("text", "\n", 1))), F.lit(" no "), i.cast("string"), F.when(i % 13 == 0, " NYSE: QUE").otherwise(""))
+    title = F.concat(_escaped(_escaped(F.lower(F.substring_index("text", "\n", 1)))), F.lit(" no "), i.cast("string"), F.when(i % 13 == 0, " NYSE: QUE").otherwise(""))
     date = F.concat(F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit(" Jan 2024 10:00:00 +0000"))
     good = F.concat(
         F.lit("<item><title>"), title, F.lit("</title><link>https://www.wire.example/news/"), F.floor(i / 2).cast("string"), F.lit("/?utm_source=rss</link><guid>g"), i.cast("string"), F.lit("</guid><pubDate>"), date, F.lit("</pubDate></item>")
